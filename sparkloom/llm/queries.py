@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, sentencepiece_codec
+from sparkloom.llm import mixing, sentencepiece_codec, simhash
 from sparkloom.session import table
 
 
@@ -21,6 +21,10 @@ def tokenizer_bytes(name: str = "piece_bpe_32k.model", folder: str | None = None
         return f.read()
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
@@ -32,6 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op4_simhash,
         op6_sentencepiece,
         op10_mixing,
     )
