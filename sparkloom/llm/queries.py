@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import mixing, sentencepiece_codec, simhash, suffix_dedup
+from sparkloom.llm import langid, mixing, nbsvm, sentencepiece_codec, simhash, suffix_dedup
 from sparkloom.session import table
 
 
@@ -21,10 +21,18 @@ def tokenizer_bytes(name: str = "piece_bpe_32k.model", folder: str | None = None
         return f.read()
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
@@ -40,7 +48,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_language_id,
         op4_simhash,
+        op5_quality_classifier,
         op6_sentencepiece,
         op9_suffix_array,
         op10_mixing,
