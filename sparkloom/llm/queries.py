@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, mixing, nbsvm, sentencepiece_codec, simhash, suffix_dedup
+from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, sentencepiece_codec, simhash, suffix_dedup
 from sparkloom.session import table
 
 
@@ -21,6 +21,10 @@ def tokenizer_bytes(name: str = "piece_bpe_32k.model", folder: str | None = None
         return f.read()
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -48,12 +56,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_rules,
         op3_language_id,
         op4_simhash,
         op5_quality_classifier,
         op6_sentencepiece,
+        op7_license_scan,
         op9_suffix_array,
         op10_mixing,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+    "op7_license_scan": licenses.sql(),
+}
