@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, sentencepiece_codec, simhash, suffix_dedup
+from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc
 from sparkloom.session import table
 
 
@@ -25,6 +25,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_warc,
         op3_language_id,
         op4_simhash,
         op5_quality_classifier,
@@ -68,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
+    "op2_warc": warc.SQL,
     "op7_license_scan": licenses.sql(),
 }
