@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, sentencepiece_codec, simhash, suffix_dedup, warc
+from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, rabitq, sentencepiece_codec, simhash, suffix_dedup, warc
 from sparkloom.session import table
 
 
@@ -49,6 +49,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_quality_classifier,
         op6_sentencepiece,
         op7_license_scan,
+        op8_embedding_near_dedup,
         op9_suffix_array,
         op10_mixing,
     )
