@@ -179,3 +179,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
 def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Fits on the rows that are not held out, and predicts all."""
     return predict(docs, fit(docs.filter(~held_out(F.col("doc_id")))), keep=keep)
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a language with a score of at least so much."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (sent.value.predict(t) for t in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

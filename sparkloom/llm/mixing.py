@@ -32,11 +32,11 @@ STEP_BITS, STEPS, ROUNDS = 14, 2, 3
 PICKS = "array<struct<start:long,cut:long,most:long>>"
 
 
-def shares(sizes: list[int], weights: list[float], cap: float) -> list[float]:
-    """Targets that share the sum of the sizes by weight. None exceeds cap times its size: what one would have above
+def shares(sizes: list[int], weights: list[float], cap: float, total: int) -> list[float]:
+    """Targets that share the total by weight. None exceeds cap times its size: what one would have above
     that goes to the others by weight, until none is above."""
-    total, target = float(sum(sizes)), [0.0] * len(sizes)
-    open_, left = {i for i, s in enumerate(sizes) if s > 0}, total
+    target = [0.0] * len(sizes)
+    open_, left = {i for i, s in enumerate(sizes) if s > 0}, float(total)
     while open_:
         weight = sum(weights[i] for i in sorted(open_))
         full = {i for i in open_ if left * weights[i] / weight > cap * sizes[i]}
@@ -127,56 +127,81 @@ def _seeded(seed: int, key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), key.cast("string")), 64 - bits)
 
 
-def mix(
-    docs: DataFrame,
-    weights: tuple[float, ...] = (5, 2, 1),
-    cap: int = 3,
-    seed: int = 17,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """The mix, a row for each document: doc_id, source, size, source_size, target, taken, copies.
-
-    source_col: a string, or an array of strings where a document belongs to several sources; source_size and target
-    are sums over a document's sources then. weights: of the sources in code-point order, repeating. cap: the most
-    passes over a document, and the most that a target is of its source's size.
-    """
+@dataclass
+class Recipe:
+    """How often to take each document: the settings, and the picks of each pattern."""
+
+    seed: int
+    id_col: str
+    text_col: str
+    source_col: str
+    cuts: DataFrame
+
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """docs with _pattern, _size and _place."""
+        many = docs.schema[self.source_col].dataType.typeName() == "array"
+        pattern = F.array_sort(F.array_distinct(F.col(self.source_col))) if many else F.array(F.col(self.source_col))
+        return docs.withColumns({
+            "_pattern": F.to_json(F.struct(pattern.alias("s"))),
+            "_size": F.coalesce(F.regexp_count(F.col(self.text_col), F.lit(WORD)), F.lit(0)).cast("long"),
+            "_place": _seeded(self.seed, F.col(self.id_col)),
+        })
+
+    def counted(self, measured: DataFrame) -> DataFrame:
+        """measured rows with _source_size, _target and _copies. The picks have a row for each pattern, MAX_PATTERNS at
+        most, so they are sent to all."""
+        out = measured.join(F.broadcast(self.cuts), F.col("_pattern") == F.col("_p"), "left")
+        again = F.exists("_picks", lambda p: (F.col("_place") >= p["start"]) & (F.col("_place") < p["cut"]) & (F.col("_size") <= p["most"]))
+        return out.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_passes") + again.cast("long")).otherwise(F.lit(0)).cast("long")).drop("_p")
+
+
+def recipe(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Recipe, DataFrame]:
+    """The recipe for a mix of the documents, and their measures (id, source, _pattern, _size, _place).
+
+    source_col: a string, or an array of strings where a document belongs to several sources. weights: of the sources in
+    code-point order, repeating. cap: the most passes over a document, and the most that a target is of its source's
+    size."""
     spark = docs.sparkSession
+    found = Recipe(seed, id_col, text_col, source_col, docs)
     many = docs.schema[source_col].dataType.typeName() == "array"
-    pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.to_json(F.struct(pattern.alias("s"))).alias("pattern"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        _seeded(seed, F.col(id_col)).alias("place"),
-    )
+    rows = found.measured(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "_pattern", "_size", "_place")
     rows = materialize(rows, "mixing-sizes")
-    counted = (
-        rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("source").alias("source")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
-    )
+    counted = rows.groupBy("_pattern").agg(F.sum("_size").alias("size"), F.first("source").alias("source")).orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
     if len(counted) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} source patterns")
     members = [sorted(set(r["source"] or [None]), key=_order) if many else [r["source"]] for r in counted]
     names = sorted({x for m in members for x in m}, key=_order)
     place = {x: i for i, x in enumerate(names)}
-    sizes = [sum(r["size"] for r, m in zip(counted, members, strict=True) if x in m) for x in names]
-    target = shares(sizes, [weights[i % len(weights)] for i in range(len(names))], cap)
+    sizes = [0] * len(names)
+    for r, m in zip(counted, members, strict=True):
+        for x in m:
+            sizes[place[x]] += r["size"]
+    # words in several sources count once towards what is shared out
+    target = shares(sizes, [weights[i % len(weights)] for i in range(len(names))], cap, sum(r["size"] for r in counted))
     flows = route([(tuple(place[x] for x in m), r["size"]) for r, m in zip(counted, members, strict=True)], [round(t) for t in target], cap)
-
     plan = []
     for r, m, flow in zip(counted, members, flows, strict=True):
-        words = sum(flow.values())
-        passes, part = divmod(words, r["size"]) if r["size"] else (0, 0)
-        plan.append((r["pattern"], sum(sizes[place[x]] for x in m), float(sum(target[place[x]] for x in m)), int(passes), int(part)))
-    schema = "pattern string, source_size long, target double, passes long, part long"
-    plans = spark.createDataFrame(plan, schema)
-    cuts = _cuts(rows, plans)
-    out = rows.join(cuts, rows["pattern"].eqNullSafe(cuts["pattern"]), "left")
-    again = F.exists("picks", lambda p: (F.col("place") >= p["start"]) & (F.col("place") < p["cut"]) & (F.col("size") <= p["most"]))
-    copies = F.when(F.col("size") > 0, F.col("passes") + again.cast("long")).otherwise(F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+        passes, part = divmod(sum(flow.values()), r["size"]) if r["size"] else (0, 0)
+        plan.append((r["_pattern"], sum(sizes[place[x]] for x in m), float(sum(target[place[x]] for x in m)), int(passes), int(part)))
+    plans = spark.createDataFrame(plan, "pattern string, source_size long, target double, passes long, part long")
+    measured = rows.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_place").alias("place"))
+    found.cuts = _cuts(measured, plans).toDF("_p", "_source_size", "_target", "_passes", "_picks")
+    return found, rows
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """The mix, a row for each document: doc_id, source, size, source_size, target, taken, copies. Settings as of
+    recipe(); source_size and target are sums over a document's sources."""
+    found, rows = recipe(docs, **settings)
+    out = found.counted(rows)
+    return out.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_copies").alias("copies"))
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, with the columns it has."""
+    found, _ = recipe(docs, **settings)
+    out = found.counted(found.measured(docs)).filter("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
 
 
 def _order(name: str | None) -> tuple[bool, str]:

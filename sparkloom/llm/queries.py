@@ -54,7 +54,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "kept_text")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.storage import materialize
+from sparkloom.storage import materialize, reread, stored_bytes
 
 SEED = 42
 #: Fingerprints that the sharding tree is grown from, at most; fingerprints meant for a shard; shards at most.
 SAMPLE, SHARD, MAX_SHARDS = 60_000, 6_000, 4_096
+#: Ids that are sent to all machines, up to this size as stored; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 #: Fingerprints of a block that is compared in full.
 BLOCK = 256
 
@@ -221,3 +223,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
     classes = materialize(alone.join(linked, F.col("known") == F.col("linked"), "left").select("known", F.coalesce("least", "first").alias("component_id")), "simhash-classes")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(classes, rows["fp"] == classes["known"]).select("doc_id", hexed, "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, as they are, that have the smallest id of their component, one for each id. Rows without an id stay."""
+    spark = docs.sparkSession
+    found = materialize(near_duplicates(docs, shingle, bits, id_col, text_col), "simhash-found")
+    gone, where = reread(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "simhash-gone")
+    small = stored_bytes(spark, where) <= BROADCAST_BYTES
+    rest = docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_id"), "left_anti")
+    again, where = reread(found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 and _id is not null").select("_id"), "simhash-repeated")
+    if again.isEmpty():
+        return rest
+    again = F.broadcast(again) if stored_bytes(spark, where) <= BROADCAST_BYTES else again
+    once = rest.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return rest.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)

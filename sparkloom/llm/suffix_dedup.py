@@ -355,7 +355,8 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256, and the columns named in keep."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_text (those bytes as text, without the parts
+    of characters that were cut apart), kept_sha256, and the columns named in keep."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     rows = docs.select(
@@ -369,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, removed, count, kept, sha = [], [], [], [], []
+            n, removed, count, kept, clean, sha = [], [], [], [], [], []
             for text, begins, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = text.encode()
                 at, rest = 0, []
@@ -382,9 +383,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 removed.append(len(data) - len(left))
                 count.append(len(begins or []))
                 kept.append(left)
+                clean.append(left.decode(errors="ignore"))
                 sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha, pa.string())], names=["own", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(clean, pa.string()), pa.array(sha, pa.string())], names=["own", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"])
 
     own = joined.schema["own"].dataType.simpleString()
-    out = joined.select("own", "text", "begins", "ends").mapInArrow(apply, f"own {own}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.select(F.col("own.doc_id").cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *(F.col(f"own.c{i}").alias(c) for i, c in enumerate(keep)))
+    out = joined.select("own", "text", "begins", "ends").mapInArrow(apply, f"own {own}, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string")
+    return out.select(F.col("own.doc_id").cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256", *(F.col(f"own.c{i}").alias(c) for i, c in enumerate(keep)))
