@@ -1,22 +1,6 @@
 """Every query of the library by name, and the SQL that gives the same rows in another engine."""
 
-from __future__ import annotations
+from sparkloom.plans import changes, knowledge, records, texts, work  # noqa: F401  they register their queries
+from sparkloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its own name, with its SQL where there is some."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLES", "QUERIES"]
