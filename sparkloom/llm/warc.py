@@ -1,7 +1,9 @@
 """Web archives (WARC) as a Spark data source, for reading and writing.
 
 Reading: a partition is some whole files, up to ``partitionBytes`` together. Predicates on the record type and on other
-headers are pushed down to the reader. It parses a record's headers first, and the payload of a record that the
+headers are pushed down to the reader: by the option ``where``, or from filters of the query if the session sets
+``spark.sql.python.filterPushdown.enabled``. (It is off by default for a reason: Spark 4.1 keeps pushed filters with the
+loaded table, so a DataFrame that was read with a filter must not be read again without.) The reader parses a record's headers first, and the payload of a record that the
 predicates reject, or all payloads with the option ``payload`` set to false, is not decoded: a plain record is jumped
 over by its length, a compressed one by the member size in its gzip header (subfield ``sl``) where the writer left one,
 else it is inflated past. Files come through pyarrow's file systems, so paths may name a store.
@@ -15,6 +17,7 @@ files or records reads as an empty table. Damaged files fail with the file's nam
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -270,6 +273,10 @@ class WarcReader(DataSourceReader):
         self.path = path
         self.most = int(options.get("partitionbytes", 64 << 20))
         self.payload = options.get("payload", "true").lower() != "false"
+        #: Values that a header must have, by column.
+        self.where: dict[str, list[str]] = json.loads(options.get("where", "{}"))
+        if unknown := set(self.where) - set(HEADERS):
+            raise ValueError(f"no headers: {sorted(unknown)}")
         self.filters: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -295,7 +302,8 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, _ = _files(self.path)
-        reading = Reading([_test(f) for f in self.filters], self.payload)
+        chosen = [lambda row, c=c, values=frozenset(v): row[c] in values for c, v in self.where.items()]
+        reading = Reading([*chosen, *(_test(f) for f in self.filters)], self.payload)
         names = [*HEADERS, "payload_bytes", "payload"]
         kinds = [*[pa.string()] * len(HEADERS), pa.int64(), pa.binary()]
 
@@ -411,14 +419,15 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session, and lets Spark offer it filters."""
+    """Makes the format known to the session."""
     spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True, **where: str | list[str]) -> DataFrame:
+    """An archive's records, those whose headers have the given values (record_type="response", for one)."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    wanted = {c: [v] if isinstance(v, str) else list(v) for c, v in where.items()}
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("where", json.dumps(wanted)).load(path)
 
 
 def archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -453,9 +462,9 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     archive(pages, path)
     number = lambda c: F.substring_index(c, ":", -1).cast("long")
-    full = read(spark, path).filter("record_type = 'response'")
+    full = read(spark, path, record_type="response")
     full = full.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
-    light = read(spark, path, payload=False).filter("record_type = 'revisit'")
+    light = read(spark, path, payload=False, record_type="revisit")
     light = light.select(number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
     return full.unionByName(light)
 
