@@ -34,6 +34,9 @@ CALL_PUNCTUATION = set(".,:=()<>{}[];")
 CALL_FORBIDDEN = set("await throw try catch lock using".split())
 ACCESSORS = set("get set init add remove".split())
 
+# Labels in the order in which a reason names them.
+LABELS = "generated-artifact config-formatting-only snapshots-formatting-only license-header-only project-noise deletions-only whitespace-only comments-only imports-only regions-only typo-fix pure-rename bad-rename callsite-adaptation-only tests-behavior-changed tests-refactor-only logic-changed signature-or-visibility-changed control-flow-changed concurrency-changed error-handling-logging-changed data-access-changed security-or-boundary-changed build-or-runtime-values-changed uncertain-keep".split()
+
 NUMBER = r"\b(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+\-]?\d+)?)\b"
 STRING = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''
 PUNCTUATION = r"[~!%^&*()\-+={}\[\]|:;,<>?./\\]"
@@ -285,8 +288,8 @@ def noise(path: str) -> tuple[Language, set[str]] | None:
 
 
 def decide(labels: set[str]) -> tuple[bool, str]:
-    """As text.decide, with labels in order of their names."""
-    out, keep = ([x for x in sorted(labels) if x in known] for known in (KEEP_OUT, REVIEW))
+    """As text.decide, with labels in their fixed order."""
+    out, keep = ([x for x in LABELS if x in labels and x in known] for known in (KEEP_OUT, REVIEW))
     if keep == ["logic-changed"] and {"pure-rename", "typo-fix", "callsite-adaptation-only"} & set(out):
         keep = []
     if keep and out:

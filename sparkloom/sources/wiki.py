@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +65,26 @@ def land(docs: DataFrame, path: str) -> None:
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown files below a folder with the metadata beside them; files without are left out."""
+    """Markdown files below a folder with the metadata beside them (_Metadata.json, a name that Spark's readers hide);
+    files without are left out, and metadata that hold nothing are an error."""
     name = F.col("_metadata.file_path")
-    folder = F.regexp_replace(name, "/[^/]*$", "")
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_Markdown.txt").text(root).select(folder.alias("folder"), name.alias("md_path"), F.col("value").alias("markdown"))
-    meta = spark.read.schema("id string, space string, title string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "_Metadata.json").json(root).select(folder.alias("folder"), F.col("id").alias("doc_id"), "space", "title")
-    return text.join(meta, "folder")
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_Markdown.txt").text(root)
+    text = text.select(F.regexp_replace(name, "/[^/]*$", "").alias("folder"), name.alias("md_path"), F.col("value").alias("markdown"))
+    beside = text.withColumn("meta", F.pandas_udf(_beside, "string")(F.col("folder"))).filter("meta is not null")
+    known = F.from_json("meta", "id string, space string, title string")
+    return beside.select("folder", "md_path", "markdown", F.coalesce(known["id"], F.raise_error(F.concat(F.lit("no metadata in "), "folder"))).alias("doc_id"), known["space"].alias("space"), known["title"].alias("title"))
+
+
+def _beside(folders: pd.Series) -> pd.Series:
+    """What the metadata file of each folder holds; null if there is none."""
+    from pyarrow import fs
+
+    out = []
+    for folder in folders:
+        system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+        try:
+            with system.open_input_stream(f"{path}/_Metadata.json") as f:
+                out.append(f.read().decode())
+        except FileNotFoundError:
+            out.append(None)
+    return pd.Series(out, dtype=object)
