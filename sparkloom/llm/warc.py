@@ -1,9 +1,9 @@
 """Web archives (WARC) as a Spark data source, for reading and writing.
 
 Reading: a partition is some whole files, up to ``partitionBytes`` together. Predicates on the record type and on other
-headers are pushed down to the reader: by the option ``where``, or from filters of the query if the session sets
-``spark.sql.python.filterPushdown.enabled``. (It is off by default for a reason: Spark 4.1 keeps pushed filters with the
-loaded table, so a DataFrame that was read with a filter must not be read again without.) The reader parses a record's headers first, and the payload of a record that the
+headers are pushed down to the reader: by the option ``where``, or with the option ``pushdown`` from the query's own filters. (The latter is
+off by default: Spark 4.1 keeps pushed filters with the loaded table, so a DataFrame that was read with a filter must not
+be read again without.) The reader parses a record's headers first, and the payload of a record that the
 predicates reject, or all payloads with the option ``payload`` set to false, is not decoded: a plain record is jumped
 over by its length, a compressed one by the member size in its gzip header (subfield ``sl``) where the writer left one,
 else it is inflated past. Files come through pyarrow's file systems, so paths may name a store.
@@ -279,13 +279,6 @@ class WarcReader(DataSourceReader):
             raise ValueError(f"no headers: {sorted(unknown)}")
         self.filters: list[Filter] = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if _test(f) is None:
-                yield f
-            else:
-                self.filters.append(f)
-
     def partitions(self) -> list[Files]:
         from pyarrow import fs
 
@@ -327,6 +320,17 @@ class WarcReader(DataSourceReader):
             yield batch(rows)
 
 
+class PushedWarcReader(WarcReader):
+    """Also takes filters on headers from the query."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if _test(f) is None:
+                yield f
+            else:
+                self.filters.append(f)
+
+
 def member(data: bytes, level: int = 4) -> bytes:
     """One gzip member whose header says how long it is."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
@@ -412,7 +416,8 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], {k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushedWarcReader if options.get("pushdown") == "true" else WarcReader)(self.options["path"], options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], {k.lower(): v for k, v in self.options.items()})
@@ -423,11 +428,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def read(spark: SparkSession, path: str, payload: bool = True, **where: str | list[str]) -> DataFrame:
-    """An archive's records, those whose headers have the given values (record_type="response", for one)."""
+def read(spark: SparkSession, path: str, payload: bool = True, pushdown: bool = False, **where: str | list[str]) -> DataFrame:
+    """An archive's records, those whose headers have the given values (record_type="response", for one). pushdown: take
+    the query's filters too, for a DataFrame that is used once."""
     register(spark)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     wanted = {c: [v] if isinstance(v, str) else list(v) for c, v in where.items()}
-    return spark.read.format("warc").option("payload", str(payload).lower()).option("where", json.dumps(wanted)).load(path)
+    options = {"payload": str(payload).lower(), "pushdown": str(pushdown).lower(), "where": json.dumps(wanted)}
+    return spark.read.format("warc").options(**options).load(path)
 
 
 def archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
