@@ -75,6 +75,6 @@ class Settings:
 
 def summarize_folder(spark: SparkSession, path: str, endpoint: models.Chat) -> str:
     """A summary of the summaries of a folder's files. The number of files is a person's folder, not a corpus."""
-    files = spark.read.option("wholetext", True).text(path).select(F.lit(1).alias("k"), F.col("_metadata.file_path").alias("f"), models.complete(F.col("value"), endpoint).alias("a"))
+    files = spark.read.text(path, wholetext=True).select(F.lit(1).alias("k"), F.col("_metadata.file_path").alias("f"), models.complete(F.col("value"), endpoint).alias("a"))
     row: Row | None = models.merge(files, "k", "f", "a", endpoint).first()
     return row["a"] if row else ""

@@ -68,7 +68,7 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files below a folder with the metadata beside them (_Metadata.json, a name that Spark's readers hide);
     files without are left out, and metadata that hold nothing are an error."""
     name = F.col("_metadata.file_path")
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_Markdown.txt").text(root)
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*_Markdown.txt")
     text = text.select(F.regexp_replace(name, "/[^/]*$", "").alias("folder"), name.alias("md_path"), F.col("value").alias("markdown"))
     beside = text.withColumn("meta", F.pandas_udf(_beside, "string")(F.col("folder"))).filter("meta is not null")
     known = F.from_json("meta", "id string, space string, title string")
