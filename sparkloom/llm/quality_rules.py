@@ -101,10 +101,11 @@ def judge(docs: DataFrame) -> DataFrame:
     wide = F.struct(*names)
     own = bounds.filter("level = 0").select(F.col("lang").alias("l0"), F.col("source").alias("s0"), F.when(F.col("n") >= LEAST, wide).alias("b0"))
     lang = bounds.filter("level = 1").select(F.col("lang").alias("l1"), F.when(F.col("n") >= LEAST, wide).alias("b1"))
-    total = bounds.filter("level = 2").select(wide.alias("b2"))
+    total = bounds.filter("level = 2").select(*names).first()  # one row, none for an empty table
+    every = F.struct(*(F.lit(total and total[c]).cast("long").alias(c) for c in names))
     # resolved once for each group, so that texts meet one table only
-    best = own.join(lang, F.col("l0").eqNullSafe(F.col("l1")), "left").join(F.broadcast(total), how="left")
-    best = best.select("l0", "s0", F.coalesce("b0", "b1", "b2").alias("b"))
+    best = own.join(lang, F.col("l0").eqNullSafe(F.col("l1")), "left")
+    best = best.select("l0", "s0", F.coalesce("b0", "b1", every).alias("b"))
     joined = rows.join(best, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     inside = F.lit(True)
