@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import header_level, header_text
 
-SEGMENT = "struct<key:string,content:string>"
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def segments(markdown: Column) -> Column:
@@ -16,26 +18,32 @@ def segments(markdown: Column) -> Column:
     A heading takes the place of those at its level and below on the path. Levels that are left out are not filled, so a
     third-level heading right under a first-level one stands second, and another third-level one goes below it. Blank
     lines count as text, so a heading followed by blank lines alone has an empty segment; one followed by a heading has
-    none. Text before any heading has an empty key. A fold over the lines, in the JVM."""
+    none. Text before any heading has an empty key. The paths are a fold over the headings alone, and a segment's lines
+    are a slice, so a long text takes time in proportion."""
     lines = F.transform(F.split(markdown, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"),
-        F.array().cast("array<string>").alias("held"),
-        F.array().cast(f"array<{SEGMENT}>").alias("done"),
-    )
-
-    def flushed(s: Column) -> Column:
-        one = F.struct(F.array_join(s["path"], " > ").alias("key"), F.trim(F.array_join(s["held"], "\n"), F.lit("\n ")).alias("content")).cast(SEGMENT)
-        return F.when(F.size(s["held"]) > 0, F.concat(s["done"], F.array(one))).otherwise(s["done"])
-
-    def step(s: Column, line: Column) -> Column:
-        level = header_level(line)
-        under = F.slice(s["path"], F.lit(1), F.least(F.size(s["path"]), F.greatest(level - 1, F.lit(0))))
-        head = F.struct(F.concat(under, F.array(header_text(line))).alias("path"), F.array().cast("array<string>").alias("held"), flushed(s).alias("done"))
-        body = F.struct(s["path"].alias("path"), F.concat(s["held"], F.array(line)).alias("held"), s["done"].alias("done"))
-        return F.when(level > 0, head).otherwise(body)
-
-    return F.aggregate(lines, start, step, flushed)
+
+    def heads(lines: Column) -> Column:
+        each = F.transform(lines, lambda x, i: F.struct(i.alias("at"), header_level(x).alias("level"), header_text(x).alias("text")))
+        return F.filter(each, lambda h: h["level"] > 0)
+
+    def marks(heads: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("path"), F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("key"))).alias("out"))
+
+        def step(s: Column, h: Column) -> Column:
+            path = F.concat(F.slice(s["path"], F.lit(1), F.least(F.size(s["path"]), h["level"] - 1)), F.array(h["text"]))
+            return _let(path, lambda p: F.struct(p.alias("path"), F.concat(s["out"], F.array(F.struct(h["at"].alias("at"), F.array_join(p, " > ").alias("key")))).alias("out")))
+
+        return F.aggregate(heads, start, step, lambda s: s["out"])
+
+    def cut(lines: Column, marks: Column) -> Column:
+        def below(m: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(marks, k + 1)["at"], F.size(lines))
+            return F.struct(m["key"].alias("key"), F.slice(lines, m["at"] + 2, end - m["at"] - 1).alias("held"))
+
+        own = F.filter(F.transform(marks, below), lambda s: F.size(s["held"]) > 0)
+        return F.transform(own, lambda s: F.struct(s["key"].alias("key"), F.trim(F.array_join(s["held"], "\n"), F.lit("\n ")).alias("content")))
+
+    return _let(lines, lambda L: _let(_let(heads(L), marks), lambda M: cut(L, M)))
 
 
 def explode_segments(docs: DataFrame, markdown: str = "md", *keep: str) -> DataFrame:
