@@ -37,6 +37,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver delete what was written at the path when it ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back under the same schema."""
     return reread(df, label)[0]
@@ -47,6 +53,7 @@ def reread(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
