@@ -47,7 +47,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from sparkloom.storage import fresh_path, reread, stored_bytes
+from sparkloom.storage import drop_at_exit, fresh_path, reread, stored_bytes
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Columns that are headers, all known before a payload is decoded.
@@ -470,6 +470,7 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     archive(pages, path)
+    drop_at_exit(spark, path)
     number = lambda c: F.substring_index(c, ":", -1).cast("long")
     full = read(spark, path, record_type="response")
     full = full.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
