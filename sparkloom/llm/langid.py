@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import pieces
 from sparkloom.storage import materialize
 
 MAX_TRAIN, MAX_WORDS, MAX_GRAMS, ORDERS = 4_000, 150_000, 150_000, 5
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [sent.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["own", "lang_pred", "score"])
 
@@ -187,7 +188,7 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = (sent.value.predict(t) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import pieces
 from sparkloom.llm.langid import held_out
 
 MAX_TRAIN, BUCKETS, TABLE_ENTRIES = 8_000, 1 << 20, 300_000
@@ -163,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
     rows = docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * max_train)), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [features(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "good", "features"])
 
@@ -177,7 +178,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.filter(~held_out(F.col("doc_id")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

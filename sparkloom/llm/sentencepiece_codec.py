@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkloom.llm.arrow import pieces
+
 SPACE = "▁"
 #: Entries of a worker's table of segmented words; it has two generations of so many.
 TABLE_ENTRIES = 150_000
@@ -286,9 +288,8 @@ def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [r for i in range(0, len(texts), 256) for r in c.digest(texts[i : i + 256])]
+        for batch in pieces(batches):
+            rows = c.digest(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].hex() for r in rows], pa.string()), pa.array([r[2].hex() for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"],
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 e = c.encode(text)

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.arrow import pieces
 from sparkloom.storage import materialize, reread, stored_bytes
 
 LENGTH = 50
@@ -369,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     joined = rows.join(F.broadcast(cuts) if stored_bytes(spark, path) <= BROADCAST_BYTES else cuts, ["ord", "th"], "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             n, removed, count, kept, clean, sha = [], [], [], [], [], []
             for text, begins, ends in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = text.encode()
