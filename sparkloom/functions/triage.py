@@ -37,6 +37,7 @@ ACCESSORS = set("get set init add remove".split())
 # Labels in the order in which a reason names them.
 LABELS = "generated-artifact config-formatting-only snapshots-formatting-only license-header-only project-noise deletions-only whitespace-only comments-only imports-only regions-only typo-fix pure-rename bad-rename callsite-adaptation-only tests-behavior-changed tests-refactor-only logic-changed signature-or-visibility-changed control-flow-changed concurrency-changed error-handling-logging-changed data-access-changed security-or-boundary-changed build-or-runtime-values-changed uncertain-keep".split()
 
+# Patterns of tokens, hunk headers and assertions.
 NUMBER = r"\b(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+\-]?\d+)?)\b"
 STRING = r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\''
 PUNCTUATION = r"[~!%^&*()\-+={}\[\]|:;,<>?./\\]"

@@ -30,8 +30,8 @@ def similarity(a: Column, b: Column, places: int = 6) -> Column:
 def nearest(samples: DataFrame, query: DataFrame, vector: str = "vec", key: str = "sampling", candidates: int = CANDIDATES) -> DataFrame:
     """The samples nearest to the query, a one-row table with a column query, with their similarity. Ties are in order of
     the key. The limit belongs to the meaning: documents whose samples all lie beyond it are not found."""
-    one = query.limit(1).select("query")
-    scored = samples.join(F.broadcast(one)).withColumn("similarity", similarity(F.col(vector), F.col("query"))).drop("query", vector)
+    one = query.select("query").limit(1).scalar()  # a subquery that runs once, no join
+    scored = samples.withColumn("_query", one).withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
     return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(candidates)
 
 

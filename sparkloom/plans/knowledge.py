@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import index, packing, segments, vector
+from sparkloom.operators import flows, index, models, packing, segments, vector
 from sparkloom.plans.registry import query
 from sparkloom.session import table
+from sparkloom.sources import wiki
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -120,3 +121,36 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation packed into contexts, the longest first."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("n"))
     return packing.pack(c, "turn", "n", 400, "conv_id", carry=100)
+
+
+@query(
+    """WITH s AS (SELECT 'S' || (3 + vec_id % 4) AS series, vec_id AS sampling, label AS doc_id, embedding FROM embeddings WHERE vec_id <> 0), q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+    n AS (SELECT series, sampling, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM s, q WHERE series IN ('S3', 'S5') QUALIFY row_number() OVER (PARTITION BY series ORDER BY similarity DESC, sampling) <= 4096),
+    d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY series, doc_id ORDER BY similarity DESC, sampling) = 1)
+    SELECT *, row_number() OVER (PARTITION BY series ORDER BY similarity DESC, sampling)::INTEGER AS place FROM d WHERE similarity >= 0.1 QUALIFY place <= 10"""
+)
+def series_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, one = _samples(spark, sf_dir)
+    samples = samples.withColumn("series", F.concat(F.lit("S"), (3 + F.col("sampling") % 4).cast("string")))
+    asked = one.select(F.explode(F.array(F.lit("S3"), F.lit("S5"))).alias("series"), "query")
+    return flows.search_series(samples, asked, 0.1)
+
+
+@query("SELECT series, 1::BIGINT AS n FROM (VALUES ('S3'), ('S5')) t(series)")
+def series_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question answered from the documents found, one answer a series, by the stand-in model."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int"), "text")
+    found = flows.answer(series_search(spark, sf_dir), docs, "what is it", models.StubChat())
+    return found.groupBy("series").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT page_id, (lower(t) LIKE '%requirements') AND page_id % 2 = 0 AS is_requirement, (lower(t) LIKE '%design document') AND page_id % 2 = 0 AS is_design
+    FROM (SELECT page_id, concat('Plan ', CASE WHEN page_id % 2 = 0 THEN 'S4 ' ELSE 'S9 ' END, CASE page_id % 3 WHEN 0 THEN 'REQUIREMENTS' WHEN 1 THEN 'Design Document' ELSE 'notes' END) AS t FROM pages)"""
+)
+def title_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    kind = F.when(F.col("page_id") % 3 == 0, "REQUIREMENTS").when(F.col("page_id") % 3 == 1, "Design Document").otherwise("notes")
+    title = F.concat(F.lit("Plan "), F.when(F.col("page_id") % 2 == 0, "S4 ").otherwise("S9 "), kind)
+    labels = F.when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise(F.array(F.struct(F.lit("other").alias("name"))))
+    return p.select("page_id", wiki.is_requirement(title, labels).alias("is_requirement"), wiki.is_design(title, labels).alias("is_design"))

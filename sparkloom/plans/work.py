@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import work
+from sparkloom.operators import flows, work
 from sparkloom.plans.registry import query
 from sparkloom.session import table
 
@@ -186,3 +186,28 @@ def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.concat(F.lit("see "), "url", F.lit(".")).alias("summary"), F.array(F.lit("https://wiki.example.org/d")).alias("declared"))
     return work.links_of(issues, "summary", declared="declared")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS pr, (l_suppkey % 4)::INTEGER AS risk, 1 << (l_linenumber - 1) AS min_class, 'f' || l_linenumber AS file,
+      concat('### ', CASE l_suppkey % 4 WHEN 0 THEN '⚪' WHEN 1 THEN '🟢' WHEN 2 THEN '🟡' ELSE '🔴' END, ' `f', l_linenumber, '`', chr(10), 'fine', chr(10), '- part ', l_partkey) AS text FROM lineitem),
+    t AS (SELECT *, sum(length(text) + 4) OVER (PARTITION BY pr ORDER BY risk, min_class, file, text ROWS UNBOUNDED PRECEDING) - 4 AS total FROM f)
+    SELECT pr, string_agg(text, chr(10) || chr(10) || chr(10) || chr(10) ORDER BY risk, min_class, file, text) AS comment, count(*)::BIGINT AS n_files FROM t WHERE total <= 120 GROUP BY pr"""
+)
+def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    risk, file = (F.col("l_suppkey") % 4).cast("int"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string"))
+    text = flows.file_review(file, F.lit(" fine "), risk, F.array(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))))
+    rows = li.select(F.col("l_orderkey").alias("pr"), risk.alias("risk"), F.expr("shiftleft(1, l_linenumber - 1)").alias("min_class"), file.alias("file"), text.alias("text"))
+    return flows.review_comment(rows, most=120)
+
+
+@query(
+    """SELECT o_orderkey AS number, 'ISW-' || o_orderkey || ' done' AS title, CASE WHEN o_orderkey % 2 = 0 THEN '<!-- Overview --> ' || o_orderkey END AS overview, ['ISW-' || o_orderkey] AS issues FROM orders"""
+)
+def pull_request_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    i = F.col("o_orderkey").cast("string")
+    pulls = o.select(F.col("o_orderkey").alias("number"), F.concat(F.lit("ISW-"), i, F.lit(" done")).alias("title"), F.lit("x").alias("_internal"))
+    comments = o.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("number"), F.col("o_custkey").alias("id"), F.concat(F.lit("<!-- Overview --> "), i).alias("body"))
+    return flows.pull_request_view(pulls, comments, "<!-- overview -->")

@@ -135,3 +135,20 @@ def test_packing(spark):
     assert [r["k"] for r in packing.truncate(rows, "n", (F.col("k"),)).collect()] == [1]
     sizes = F.array(*(F.lit(n) for n in (100, 90, 80, 10)))
     assert one(spark, packing.bins(sizes, 50)) == [0, 1, 2, 2]
+
+
+def test_exact_tokens(spark):
+    import public_tokenizers as P
+
+    from sparkloom.functions.tokens import count_tokens
+
+    files = {"known": P.path("byte_bpe_50k.tiktoken")}
+    assert one(spark, count_tokens(F.lit("hello world"), "known", files, P.PATTERN)) == 2
+    assert one(spark, count_tokens(F.lit("hello world"), "other", files, P.PATTERN)) == 4
+
+
+def test_json_without_hidden(spark):
+    from sparkloom.operators.flows import as_json
+
+    rows = spark.createDataFrame([(1, "s")], "a int, secret string")
+    assert [r["json"] for r in as_json(rows, "secret").collect()] == ['{"a":1}']

@@ -199,3 +199,25 @@ def test_event_windows(spark, sf_dir, tmp_path):
         assert spark.sql("SELECT sum(n) FROM windows").first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     finally:
         q.stop()
+
+
+def test_changed_only(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "repo string, number int, last_commit timestamp"
+
+    def land(name: str, *rows: str) -> None:
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text("\n".join(rows))
+
+    land("a.json", '{"repo": "r", "number": 1, "last_commit": "2024-01-01T00:00:00Z"}', '{"repo": "r", "number": 2}')
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    q = polling.changed_only(stream).writeStream.outputMode("update").format("memory").queryName("changed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        land("b.json", '{"repo": "r", "number": 1, "last_commit": "2024-01-01T00:00:00Z"}')
+        q.processAllAvailable()
+        land("c.json", '{"repo": "r", "number": 1, "last_commit": "2024-01-02T00:00:00Z"}')
+        q.processAllAvailable()
+        assert sorted(str(r["last_commit"]) for r in spark.table("changed").collect()) == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]
+    finally:
+        q.stop()
