@@ -341,7 +341,8 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     mine = cut.filter("kind = 1").select("grp", "ids", "data")
     found = mine.groupBy("grp").cogroup(ordered.groupBy("grp")).applyInArrow(settle, "ord long, th long, begins array<long>, ends array<long>")
     whole = copies.distinct().select("ord", "th", F.array(F.lit(0).cast("long")).alias("begins"), F.array("n").alias("ends"))
-    return found.unionByName(whole)
+    # repeated rows have the same spans, which the join on (ord, th) deals to all of them
+    return found.dropDuplicates(["ord", "th"]).unionByName(whole)
 
 
 def _pack(key: np.ndarray, buckets: int) -> bytes:

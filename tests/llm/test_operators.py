@@ -367,6 +367,14 @@ def test_removal_as_plain(docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_removal_from_repeated_rows(spark):
+    shared = "a passage of more than fifty bytes that the first document holds as well. "
+    rows = [(1, shared + "first"), *[(2, shared + "second")] * 3, *[(None, "third " + shared)] * 2]
+    got = sorted((r["doc_id"] or 1 << 60, r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    texts = [(d or 1 << 60, t) for d, t in rows]
+    assert got == sorted((d, len(t) - len(k), n, plain.sha(k)) for (d, t), (_, k, n) in zip(texts, plain.repeats(texts), strict=True))
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=12), min_size=2, max_size=8), st.randoms())
 def test_removal_of_shared_passages(spark, plans, rng):
