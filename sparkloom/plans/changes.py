@@ -140,7 +140,7 @@ def diff_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of each kind documents' lines have as code."""
-    t = _lines(spark, sf_dir).filter("type = 'I'").select("doc_id", F.explode(triage.tokens_of(F.col("text"))).alias("t"))
+    t = _lines(spark, sf_dir).select("doc_id", F.explode(triage.tokens_of(F.col("text"))).alias("t"))
     return t.groupBy("doc_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("n"))
 
 
