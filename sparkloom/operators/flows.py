@@ -12,16 +12,19 @@ from sparkloom.operators import models, packing, vector
 RISK_SIGNS = ("⚪", "🟢", "🟡", "🔴")
 
 
-def search_series(samples: DataFrame, queries: DataFrame, threshold: float = 0.6, most: int = vector.MOST, candidates: int = vector.CANDIDATES) -> DataFrame:
+def search_series(samples: DataFrame, queries: DataFrame, threshold: float = 0.6, most: int = vector.MOST, candidates: int = vector.CANDIDATES, each: str | None = None) -> DataFrame:
     """Best documents of every series asked for: samples (series, sampling, doc_id, vec), queries (series, query). The
     ranks are limits within a series, which Spark applies in each task before the shuffle, so a large series is cut to its
-    candidates where it lies."""
-    scored = samples.join(queries, "series").withColumn("similarity", vector.similarity(F.col("vec"), F.col("query"))).drop("vec", "query")
+    candidates where it lies. With each, a column of queries, a series is ranked for each of its queries, without the sample
+    whose key is the query's own."""
+    by = ["series", each] if each else ["series"]
+    pairs = samples.join(queries, "series")
+    scored = (pairs.filter(F.col("sampling") != F.col(each)) if each else pairs).withColumn("similarity", vector.similarity(F.col("vec"), F.col("query"))).drop("vec", "query")
     order = (F.desc_nulls_last("similarity"), "sampling")
-    near = scored.withColumn("_n", F.row_number().over(Window.partitionBy("series").orderBy(*order))).filter(F.col("_n") <= candidates)
-    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("series", "doc_id").orderBy(*order))).filter("_n = 1")
+    near = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= candidates)
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "doc_id").orderBy(*order))).filter("_n = 1")
     good = first.filter(F.col("similarity") >= threshold)
-    return good.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy(*order))).filter(F.col("place") <= most).drop("_n")
+    return good.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most).drop("_n")
 
 
 def answer(hits: DataFrame, docs: DataFrame, question: str, endpoint: models.Chat) -> DataFrame:

@@ -27,35 +27,51 @@ def similarity(a: Column, b: Column, places: int = 6) -> Column:
     return F.when((size > 0) & (F.size(a) == F.size(b)), F.round(dot(a, b) / size, places))
 
 
-def nearest(samples: DataFrame, query: DataFrame, vector: str = "vec", key: str = "sampling", candidates: int = CANDIDATES) -> DataFrame:
-    """The samples nearest to the query, a one-row table with a column query, with their similarity. Ties are in order of
-    the key. The limit belongs to the meaning: documents whose samples all lie beyond it are not found."""
-    one = query.select("query").limit(1).scalar()  # a subquery that runs once, no join
-    scored = samples.withColumn("_query", one).withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
-    return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(candidates)
+def nearest(samples: DataFrame, query: DataFrame, vector: str = "vec", key: str = "sampling", candidates: int = CANDIDATES, each: str | None = None) -> DataFrame:
+    """The samples nearest to the query, with their similarity. Ties are in order of the key. The limit belongs to the
+    meaning: documents whose samples all lie beyond it are not found. query has a column query and one row (more are an
+    error), or with each any number of rows, which that column tells apart: all samples are then ranked for every row, and
+    a sample whose key is the row's own is left out. The ranks are limits that Spark applies in each task before the
+    shuffle."""
+    if each is None:
+        one = query.select("query").scalar()  # a subquery that runs once, no join
+        scored = samples.withColumn("_query", one).withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
+        return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(candidates)
+    pairs = samples.join(query.select(F.col(each), F.col("query").alias("_query")), F.col(key) != F.col(each))
+    scored = pairs.withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
+    return _ranked(scored, (F.desc_nulls_last("similarity"), key), candidates, each)
 
 
-def first_of_document(hits: DataFrame, document: str = "doc_id", key: str = "sampling") -> DataFrame:
-    w = Window.partitionBy(document).orderBy(F.desc_nulls_last("similarity"), key)
-    return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def _ranked(hits: DataFrame, order: tuple, most: int, *by: str) -> DataFrame:
+    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
 
 
-def search_by_threshold(samples: DataFrame, query: DataFrame, threshold: float, most: int = MOST, document: str = "doc_id", key: str = "sampling", **settings) -> DataFrame:
-    """Documents whose best sample is at least so similar, best first, at most so many."""
-    hits = first_of_document(nearest(samples, query, key=key, **settings), document, key)
-    return hits.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), key).limit(most)
+def first_of_document(hits: DataFrame, document: str = "doc_id", key: str = "sampling", each: str | None = None) -> DataFrame:
+    return _ranked(hits, (F.desc_nulls_last("similarity"), key), 1, *([each] if each else []), document)
 
 
-def search_by_count(samples: DataFrame, query: DataFrame, most: int, document: str = "doc_id", key: str = "sampling", **settings) -> DataFrame:
+def _best(hits: DataFrame, most: int, key: str, each: str | None) -> DataFrame:
+    order = (F.desc("similarity"), key)
+    return _ranked(hits, order, most, each) if each else hits.orderBy(*order).limit(most)
+
+
+def search_by_threshold(samples: DataFrame, query: DataFrame, threshold: float, most: int = MOST, document: str = "doc_id", key: str = "sampling", each: str | None = None, **settings) -> DataFrame:
+    """Documents whose best sample is at least so similar, best first, at most so many (for each query, without an order of rows, if each is given)."""
+    hits = first_of_document(nearest(samples, query, key=key, each=each, **settings), document, key, each)
+    return _best(hits.filter(F.col("similarity") >= threshold), most, key, each)
+
+
+def search_by_count(samples: DataFrame, query: DataFrame, most: int, document: str = "doc_id", key: str = "sampling", each: str | None = None, **settings) -> DataFrame:
     """The so many documents nearest; without a similarity they count as 0."""
     if most < 1:
         raise ValueError("at least one document must be asked for")
-    hits = first_of_document(nearest(samples, query, key=key, **settings), document, key)
-    return hits.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).orderBy(F.desc("similarity"), key).limit(most)
+    hits = first_of_document(nearest(samples, query, key=key, each=each, **settings), document, key, each)
+    return _best(hits.withColumn("similarity", F.coalesce("similarity", F.lit(0.0))), most, key, each)
 
 
-def best_by_title(hits: DataFrame, title: str = "title") -> DataFrame:
-    return hits.groupBy(title).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), title)
+def best_by_title(hits: DataFrame, title: str = "title", each: str | None = None) -> DataFrame:
+    by = [each, title] if each else [title]
+    return hits.groupBy(*by).agg(F.max("similarity").alias("similarity")).orderBy(*by[:-1], F.desc("similarity"), title)
 
 
 def quality(samples: DataFrame, vector: str = "vec", dimensions: int = 1024) -> DataFrame:

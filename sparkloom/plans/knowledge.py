@@ -41,6 +41,35 @@ def hits_by_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.best_by_title(vector.nearest(samples, one).withColumnRenamed("doc_id", "title"))
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors as samples, and those whose id is divisible by 100 as queries."""
+    e = table(spark, sf_dir, "embeddings")
+    samples = e.select(F.col("vec_id").alias("sampling"), F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
+    return samples, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("query"))
+
+
+_NEAREST_EACH = """WITH q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+n AS (SELECT asked, vec_id AS sampling, label AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity
+  FROM embeddings, q WHERE vec_id <> asked QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, sampling) <= 4096),
+d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY asked, doc_id ORDER BY similarity DESC, sampling) = 1) """
+_BEST_EACH = "QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, sampling)"
+
+
+@query(_NEAREST_EACH + f"SELECT asked, sampling, doc_id, similarity FROM d WHERE similarity >= 0.2 {_BEST_EACH} <= 10")
+def knn_threshold_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.search_by_threshold(*_asked(spark, sf_dir), 0.2, each="asked").select("asked", "sampling", "doc_id", "similarity")
+
+
+@query(_NEAREST_EACH + f"SELECT asked, sampling, doc_id, similarity FROM d {_BEST_EACH} <= 5")
+def knn_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.search_by_count(*_asked(spark, sf_dir), 5, each="asked").select("asked", "sampling", "doc_id", "similarity")
+
+
+@query(_NEAREST_EACH + "SELECT asked, doc_id AS title, max(similarity) AS similarity FROM n GROUP BY asked, doc_id")
+def hits_by_doc_max_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.best_by_title(vector.nearest(*_asked(spark, sf_dir), each="asked").withColumnRenamed("doc_id", "title"), each="asked")
+
+
 @query(
     """SELECT count(*)::BIGINT AS n, count(*) FILTER (len(embedding) <> 64)::BIGINT AS bad_dimension,
     count(*) FILTER (list_max(list_transform(embedding, lambda x: abs(x))) < 1e-6)::BIGINT AS zero_vector FROM embeddings"""
@@ -136,6 +165,20 @@ def series_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.search_series(samples, asked, 0.1)
 
 
+@query(
+    """WITH s AS (SELECT 'S' || (3 + vec_id % 4) AS series, vec_id AS sampling, label AS doc_id, embedding FROM embeddings),
+    q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+    n AS (SELECT asked, series, sampling, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM s, q WHERE sampling <> asked QUALIFY row_number() OVER (PARTITION BY asked, series ORDER BY similarity DESC, sampling) <= 4096),
+    d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY asked, series, doc_id ORDER BY similarity DESC, sampling) = 1)
+    SELECT *, row_number() OVER (PARTITION BY asked, series ORDER BY similarity DESC, sampling)::INTEGER AS place FROM d WHERE similarity >= 0.1 QUALIFY place <= 10"""
+)
+def series_search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, asked = _asked(spark, sf_dir)
+    samples = samples.withColumn("series", F.concat(F.lit("S"), (3 + F.col("sampling") % 4).cast("string")))
+    asked = asked.select(F.explode(F.array(*map(F.lit, ("S3", "S4", "S5", "S6")))).alias("series"), "asked", "query")
+    return flows.search_series(samples, asked, 0.1, each="asked")
+
+
 @query("SELECT series, 1::BIGINT AS n FROM (VALUES ('S3'), ('S5')) t(series)")
 def series_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question answered from the documents found, one answer a series, by the stand-in model."""

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 from sparkloom.functions import triage
+from sparkloom.operators import vector
 from sparkloom.plans.catalogue import QUERIES
 
 
@@ -14,3 +17,24 @@ def test_line_tokens_of_every_line(spark, tmp_path):
     want = Counter((d, t.kind) for d, text in texts.items() for line in text.split("\n") for t in triage.CSHARP.tokens(line))
     got = {(r["doc_id"], r["kind"]): r["n"] for r in QUERIES["line_tokens"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_search_for_each_of_many_queries(spark):
+    rows = [(n, f"d{n % 3}", [float(n % 5), float(n % 7), 1.0]) for n in range(20)]
+    samples = spark.createDataFrame(rows, "sampling int, doc_id string, vec array<float>")
+    asked = samples.filter("sampling % 4 = 0").selectExpr("sampling as asked", "vec as query")
+    got = {(r["asked"], r["sampling"], r["doc_id"]) for r in vector.search_by_count(samples, asked, 2, each="asked").collect()}
+    want = set()
+    for a, _, q in rows[::4]:
+        cos = {k: round(sum(x * y for x, y in zip(v, q)) / (sum(x * x for x in v) * sum(x * x for x in q)) ** 0.5, 6) for k, _, v in rows}
+        best: dict[str, int] = {}
+        for k, d, _ in sorted((r for r in rows if r[0] != a), key=lambda r: (-cos[r[0]], r[0])):
+            best.setdefault(d, k)
+        want |= {(a, k, d) for d, k in sorted(best.items(), key=lambda x: (-cos[x[1]], x[1]))[:2]}
+    assert got == want
+
+
+def test_more_than_one_query_row_is_an_error(spark):
+    samples = spark.createDataFrame([(1, "d", [1.0]), (2, "d", [2.0])], "sampling int, doc_id string, vec array<float>")
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        vector.nearest(samples, samples.selectExpr("vec as query")).collect()
