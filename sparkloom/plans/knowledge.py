@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import flows, index, models, packing, segments, vector
@@ -125,6 +125,22 @@ def markdown_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.explode_segments(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "md", "doc_id")
 
 
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(0, len(t)))::INTEGER AS pos, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))
+    SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN 'Part ' || pos WHEN 1 THEN 'Part ' || (pos - 1) || ' > Requirements ' || pos ELSE 'Part ' || (pos - 2) || ' > Notes ' || pos END AS key,
+    trim(line, chr(10) || ' ') AS content FROM l"""
+)
+def markdown_segments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of all lines of documents, each under a heading of its own."""
+
+    def headed(line: Column, i: Column) -> Column:
+        title = F.when(i % 3 == 0, "# Part ").when(i % 3 == 1, "## Requirements ").otherwise("## Notes ")
+        return F.concat(title, i.cast("string"), F.lit("\n"), line)
+
+    md = F.array_join(F.transform(F.split("text", "\n"), headed), "\n")
+    return segments.explode_segments(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "md", "doc_id")
+
+
 @query(
     """SELECT doc_id, 2::INTEGER AS pos, 'requirement' AS rule, trim(concat('T > Requirements', chr(10), 'R ' || doc_id)) AS sample FROM documents
     UNION ALL SELECT doc_id, 1::INTEGER, 'motivation', concat('T > Background & Motivation', chr(10), 'M ' || doc_id) FROM documents"""

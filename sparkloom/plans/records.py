@@ -45,9 +45,9 @@ def stage_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _consoles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Console pages with two stages, the second within the first, that print a page's title."""
+    """Console pages with two stages, the second within the first, that print a page's whole HTML as text."""
     i = F.col("page_id").cast("string")
-    text = F.regexp_replace(F.substring("html", 1, 60), "[<>&\"]", " ")
+    text = F.regexp_replace("html", "[<>&\"]", " ")
     page = F.concat(
         F.lit('<html><body><pre id="out">BUILD_TAG=build-'), i,
         F.lit('<span class="pipeline-new-node" nodeId="5" startId="5" enclosingId="2" label="Build">[Pipeline] { (Build)</span>'),

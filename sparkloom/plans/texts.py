@@ -187,6 +187,17 @@ def body_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", X.cut_from(body, "<!--start-->").alias("before_marker"), X.cut_between(body, "<!--START-->", "<!--end-->").alias("without_block"))
 
 
+@query(
+    """SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS before_marker, trim(concat(text, chr(10), chr(10), text), chr(32) || chr(9) || chr(10) || chr(13)) AS without_block
+    FROM conversations WHERE text IS NOT NULL AND length(text) > 0"""
+)
+def body_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As body_strip, with the whole text before and after the block."""
+    c = table(spark, sf_dir, "conversations").filter("text is not null and length(text) > 0")
+    body = F.concat("text", F.lit("<!--Start-->\nchecks\n<!--END-->"), "text")
+    return c.select("conv_id", "turn", X.cut_from(body, "<!--start-->").alias("before_marker"), X.cut_between(body, "<!--START-->", "<!--end-->").alias("without_block"))
+
+
 @query(
     """SELECT event_id, '{"id": ' || event_id || ', "p": {"k": 1}}' AS json, event_id::BIGINT AS id FROM events"""
 )

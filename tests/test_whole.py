@@ -38,3 +38,20 @@ def test_more_than_one_query_row_is_an_error(spark):
     samples = spark.createDataFrame([(1, "d", [1.0]), (2, "d", [2.0])], "sampling int, doc_id string, vec array<float>")
     with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
         vector.nearest(samples, samples.selectExpr("vec as query")).collect()
+
+
+def test_consoles_hold_whole_pages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from sparkloom.plans import records
+
+    rows = [(n, "u", "<p>" + "word " * 200 * n + f"last{n}</p>") for n in (1, 2)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = records._consoles(spark, str(tmp_path)).select("page_id", F.to_json("p").alias("p")).collect()
+    assert len(found) == 2 and all(f"last{r['page_id']}" in r["p"] for r in found)
+
+
+def test_segments_of_every_line(spark, tmp_path):
+    spark.createDataFrame([(7, "\n".join(f"line {n}" for n in range(8)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["pos"], r["content"]) for r in QUERIES["markdown_segments_whole"](spark, str(tmp_path)).collect())
+    assert got == [(n, f"line {n}") for n in range(8)]
