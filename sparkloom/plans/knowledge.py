@@ -114,6 +114,46 @@ def upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.batches(_prefixed(spark, sf_dir), 100)
 
 
+#: The same with whole texts.
+_WHOLE = "SELECT doc_id, unnest(list_slice(['S3', 'S4', 'S5', 'S6'], 1, (doc_id % 4 + 1)::INT)) AS series, text AS sample FROM documents"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = F.slice(F.array(*map(F.lit, ("S3", "S4", "S5", "S6"))), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(series).alias("series"), F.col("text").alias("sample"))
+
+
+@query(f"WITH s AS ({_WHOLE}), i AS (SELECT series, text AS sample FROM documents CROSS JOIN (VALUES ('S3'), ('S5')) t(series) JOIN labels USING (doc_id)) SELECT doc_id, series, sample FROM s ANTI JOIN i USING (series, sample)")
+def index_incremental_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts that an index of the labelled documents under two series does not hold."""
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    held = known.select(F.explode(F.array(F.lit("S3"), F.lit("S5"))).alias("series"), F.col("text").alias("sample"))
+    return index.missing(_whole(spark, sf_dir), held)
+
+
+@query(f"WITH s AS ({_WHOLE}) SELECT series, sample, count(*)::BIGINT AS n FROM s GROUP BY ALL HAVING count(*) > 1")
+def dup_samples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.duplicates(_whole(spark, sf_dir))
+
+
+@query(
+    f"""WITH s AS ({_WHOLE}), o AS (SELECT series, sample AS sampling, max(doc_id) AS ts, 'old' AS origin FROM s GROUP BY ALL),
+    n AS (SELECT series, sample AS sampling, max(doc_id) AS ts, 'new' AS origin FROM s JOIN labels USING (doc_id) GROUP BY series, sample)
+    SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (series, sampling)"""
+)
+def index_upsert_last_wins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of the labelled documents put into an index that holds those of all."""
+    s = _whole(spark, sf_dir).select("series", F.col("sample").alias("sampling"), F.col("doc_id").alias("ts"))
+    held = s.groupBy("series", "sampling").agg(F.max("ts").alias("ts")).withColumn("origin", F.lit("old"))
+    new = s.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ts")), "ts")
+    return index.upsert(held, new.select("series", "sampling", "ts").withColumn("origin", F.lit("new")))
+
+
+@query(f"WITH s AS ({_WHOLE}) SELECT series, count(*)::BIGINT AS n, CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches FROM s GROUP BY series")
+def upsert_batches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.batches(_whole(spark, sf_dir), 100)
+
+
 @query(
     """SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest(['', 'Title ' || doc_id, 'Title ' || doc_id || ' > Requirements', 'Title ' || doc_id || ' > Notes']) AS key,
     unnest(['intro', trim(string_split(text, chr(10))[1], chr(10) || ' '), trim(coalesce(string_split(text, chr(10))[2], 'none'), chr(10) || ' '), '']) AS content FROM documents"""
