@@ -1,15 +1,46 @@
-"""Arrow batches of texts in pieces, so that a worker holds the Python objects of few rows at a time."""
+"""Arrow batches of texts, small enough that neither the JVM nor a worker holds many texts at a time, and names for
+columns that a table does not have yet."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 ROWS = 512
+#: Bytes of a batch that Spark hands to a worker, in place of its 64 MB; one row at least.
+BATCH_BYTES = 2 << 20
+_LIMIT, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows, whose session hands them to workers in batches of BATCH_BYTES from now on, unless it has a limit of its
+    own. Spark reads the limit when the plan runs, so it stays set."""
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, _UNSET) == _UNSET:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+    """The rows in slices, so that a worker holds the Python objects of few of them. Gives back at the end what the task
+    has used, as workers are used again."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that is no column of the table, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out

@@ -4,13 +4,15 @@ A known word scores each language by its log frequency there. An unseen word is
 ends marked) of the longest order of which the model knows any, five characters first, then fewer. A text's score sums
 up its words; the prediction is the language with the highest sum, its score the softmax over the languages.
 
-The model is fitted on a sample of labelled texts, at most about ``MAX_TRAIN`` of them by a hash of their id, and holds
-at most ``MAX_WORDS`` words and ``MAX_GRAMS`` n-grams, so it is bounded and can be sent to every worker. Whole texts are
-counted and predicted. Words and n-grams seen once are left to the shorter n-grams.
-
-Null texts and texts without a letter are ``und`` with score 0, as is every text if there is nothing to learn from. Ties
-go to the language first in order. Rows without text or language teach nothing; repeated rows count as often as they
-come. Columns besides those named are not read.
+The model is fitted on a sample of labelled texts, at most about ``MAX_TRAIN`` of them with ``TRAIN_BYTES`` of text, by a
+hash of the whole row. That alone bounds its vocabulary, which is sent to every worker: no word or n-gram is left out by
+rank. Whole texts are counted and predicted. Words and n-grams seen once in the sample are left to the shorter n-grams.
+
+A letter is a character of Unicode's letter categories: digits, fractions and signs are neither learned nor scored. Null
+texts and texts without a letter are ``und`` with score 0, as is every text if there is nothing to learn from. Ties go to
+the language first in order. Rows without text or language teach nothing; equal rows teach once and get equal results.
+Very long texts are read whole, word by word. An empty table gives an empty one. Columns besides those named are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import pieces
-from sparkloom.storage import materialize
+from sparkloom.llm.arrow import bounded, pieces
+from sparkloom.llm.sampling import bounded_sample
+from sparkloom.storage import materialize, scratch
 
-MAX_TRAIN, MAX_WORDS, MAX_GRAMS, ORDERS = 4_000, 150_000, 150_000, 5
+MAX_TRAIN, TRAIN_BYTES, ORDERS = 4_000, 16 << 20, 5
 #: Added to every count, and words whose scores a worker keeps.
-SMOOTHING, TABLE_ENTRIES = 0.5, 200_000
+SMOOTHING, TABLE_ENTRIES = 0.5, 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -41,7 +44,9 @@ def held_out(id_col: Column) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters and of number characters that are no digits, those without a letter left out."""
+    found = LETTERS.findall(text.lower())
+    return found if text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -60,18 +65,16 @@ class Model:
     _gram_at: dict[str, int] = field(default_factory=dict, repr=False)
 
     def prepare(self) -> None:
-        """Tables of a worker: row 0 of the scores is for what has no letter."""
-        self._word_at = {w: i + 1 for i, w in enumerate(self.words)}
+        """Tables of a worker: the scores of known words, and after them those of unseen words."""
+        self._word_at = {w: i for i, w in enumerate(self.words)}
         self._gram_at = {g: i for i, g in enumerate(self.grams)}
-        self._fixed = len(self.words) + 1
+        self._fixed = len(self.words)
         self._scores = np.zeros((self._fixed + TABLE_ENTRIES, len(self.langs)), np.float32)
-        self._scores[1 : self._fixed] = self.word_scores
+        self._scores[: self._fixed] = self.word_scores
         self._seen: dict[str, int] = {}
 
-    def back_off(self, word: str) -> np.ndarray | None:
-        """Scores of an unseen word; None if it has no letter."""
-        if not word.isalpha() and not any(c.isalpha() for c in word):
-            return None
+    def back_off(self, word: str) -> np.ndarray:
+        """Scores of an unseen word: the mean of its n-grams of the longest order of which any is known."""
         for order in range(ORDERS, 0, -1):
             known = [i for g in grams_of(word, order) if (i := self._gram_at.get(g)) is not None]
             if known:
@@ -83,31 +86,25 @@ class Model:
             self.prepare()
         if not text or not self.langs:
             return UNKNOWN, 0.0
+        words = words_of(text)
+        if not words:
+            return UNKNOWN, 0.0
         known, seen = self._word_at, self._seen
-        total, letters, at = np.zeros(len(self.langs)), 0, []
-        for word in words_of(text):
+        total, at = np.zeros(len(self.langs)), []
+        for word in words:
             i = known.get(word)
             if i is None:
                 i = seen.get(word)
                 if i is None:
-                    score = self.back_off(word)
-                    if score is None:
-                        i = 0
-                    else:
-                        if len(seen) == TABLE_ENTRIES:  # rows are reused only when no text refers to them
-                            letters += np.count_nonzero(at)
-                            total += self._scores[at].sum(0, dtype=float)
-                            at.clear()
-                            seen.clear()
-                        i = self._fixed + len(seen)
-                        self._scores[i] = score
-                        seen[word] = i
+                    if len(seen) == TABLE_ENTRIES:  # rows are used again only when no word of this text refers to them
+                        total += self._scores[at].sum(0, dtype=float)
+                        at.clear()
+                        seen.clear()
+                    i = self._fixed + len(seen)
+                    self._scores[i] = self.back_off(word)
+                    seen[word] = i
             at.append(i)
-        letters += np.count_nonzero(at)
-        if not letters:
-            return UNKNOWN, 0.0
-        if at:
-            total += self._scores[at].sum(0, dtype=float)
+        total += self._scores[at].sum(0, dtype=float)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -144,22 +141,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in counter], pa.string()), pa.array([x[1] for x in counter], pa.string()), pa.array([gram] * len(counter), pa.bool_()), pa.array(counter.values(), pa.int64())], names=["lang", "item", "gram", "n"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> Model:
-    """Learns from the texts that have a language, all if there are at most max_train, else as large a share of them."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).filter("text is not null and lang is not null")
-    n = rows.count()
-    if n > max_train:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Learns from the texts that have a language: all if they are at most max_train with train_bytes of text, else as
+    large a share of them. What the driver collects grows with these two and not with the table."""
+    rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     spread = docs.sparkSession.sparkContext.defaultParallelism * 2  # the sample may lie in a few large files
-    counted = rows.select("text", "lang").repartition(spread).mapInArrow(_counts, "lang string, item string, gram boolean, n long").groupBy("gram", "item", "lang").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "langid-counts")
-    totals = counted.groupBy("gram", "item").agg(F.sum("n").alias("total"))
-    found = []
-    for which, most in ((False, MAX_WORDS), (True, MAX_GRAMS)):
-        top = totals.filter((F.col("gram") == which) & (F.col("total") > 1)).orderBy(F.desc("total"), "item").limit(most).select("gram", "item")
-        found.append(counted.join(top, ["gram", "item"]).orderBy("item", "lang").collect())
-    langs = sorted({r["lang"] for rows in found for r in rows})
-    return Model(langs, *_log_frequency(found[0], langs), *_log_frequency(found[1], langs))
+    with scratch(docs.sparkSession):
+        rows = bounded_sample(rows, "text", max_train, train_bytes, "langid-sample")
+        counted = rows.repartition(spread).mapInArrow(_counts, "lang string, item string, gram boolean, n long").groupBy("gram", "item", "lang").agg(F.sum("n").alias("n"))
+        counted = materialize(counted, "langid-counts")
+        several = counted.groupBy("gram", "item").agg(F.sum("n").alias("total")).filter("total > 1").select("gram", "item")
+        kept = counted.join(several, ["gram", "item"]).orderBy("gram", "item", "lang").collect()
+    langs = sorted({r["lang"] for r in kept})
+    return Model(langs, *_log_frequency([r for r in kept if not r["gram"]], langs), *_log_frequency([r for r in kept if r["gram"]], langs))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -172,7 +166,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["own", "lang_pred", "score"])
 
     own = F.struct(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("own")
-    rows = docs.select(own, F.col(text_col).alias("text"))
+    rows = bounded(docs).select(own, F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(F.col("own.doc_id"), F.coalesce(held_out(F.col("own.doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", *(F.col(f"own.c{i}").alias(c) for i, c in enumerate(keep)))
 
@@ -192,4 +186,4 @@ def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text"
             found = (sent.value.predict(t) for t in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
