@@ -1,16 +1,19 @@
 """Quality classifier: a linear hinge-loss model over n-gram indicators scaled by naive Bayes log-count ratios.
 
 A text's features are the indicators of its token n-grams (words and runs of other characters; one and two tokens),
-hashed into ``BUCKETS``. Each is scaled by the log of how much more of the good texts' features it makes up than of the
+hashed into ``BUCKETS``. Two more indicators stand in for a whole class of n-grams each: that some token comes twice in a
+row, and that some pair does, whatever the token (repetition is what many bad texts share, and no two of them repeat the
+same words). Each is scaled by the log of how much more of the good texts' features it makes up than of the
 bad ones'. Dual coordinate descent fits the hinge-loss model, and a logistic curve over margins from models that had not
 seen the text turns margins into scores.
 
-Fitted on at most about ``MAX_TRAIN`` labelled texts, by a hash of their id: that bounds what reaches the driver and the
-model's size. Whole texts are read. A document with several labels has their mean, rounded up at a half.
+Fitted on at most about ``MAX_TRAIN`` labelled texts with ``TRAIN_BYTES`` of text, by a hash of the row: that bounds what
+reaches the driver. Whole texts are read, however long. A document with several labels has their mean, rounded up at a
+half.
 
 Null and empty texts have no features and get the score of the intercept. With no labels, or of one class only, every
-score is that class's share (a half if there is none). Repeated rows get repeated results; columns besides those named
-are not read.
+score is that class's share (a half if there is none). A score at the threshold counts as good. Equal rows teach once and
+get equal results; an empty table gives an empty one; columns besides those named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import pieces
+from sparkloom.llm.arrow import bounded, pieces
 from sparkloom.llm.langid import held_out
+from sparkloom.llm.sampling import bounded_sample
+from sparkloom.storage import scratch
 
-MAX_TRAIN, BUCKETS, TABLE_ENTRIES = 8_000, 1 << 20, 300_000
+MAX_TRAIN, TRAIN_BYTES, BUCKETS, TABLE_ENTRIES = 8_000, 48 << 20, 1 << 20, 100_000
 EPOCHS, COST, SMOOTHING = 12, 1.0, 1.0
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Stands for any token that comes twice in a row, and 2 ** 60 more for any pair.
@@ -153,15 +158,16 @@ def train(rows: list[np.ndarray], good: np.ndarray) -> Scorer:
     return Scorer(ratio.astype(np.float32), w.astype(np.float32), bias, slope, shift)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN) -> Scorer:
-    """Learns from the labelled documents, all if they are at most max_train, else as large a share of them."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_train: int = MAX_TRAIN, train_bytes: int = TRAIN_BYTES) -> Scorer:
+    """Learns from the labelled documents, all if they are at most max_train with train_bytes of text, else as large a share
+    of them. Features take fewer bytes than texts do, so train_bytes bounds what the driver collects."""
     known = labels.select(F.col("doc_id"), F.col(label_col).alias("label")).filter("doc_id is not null and label is not null")
     known = known.groupBy("doc_id").agg((F.avg("label") >= 0.5).alias("good"))
     n = known.count()
     if n > max_train:
         known = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    # bounded by max_train, so it may be sent to all
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.limit(2 * max_train)), "doc_id")
+    # about max_train rows of a few bytes, so they may be sent to all; rows that share an id are told apart below
+    rows = bounded(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -169,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "good", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(((r["doc_id"], bytes(r["features"]), r["good"]) for r in rows.mapInArrow(run, f"doc_id {kind}, good boolean, features binary").toLocalIterator()))
+    with scratch(docs.sparkSession):
+        chosen = bounded_sample(rows.select("doc_id", "text", "good"), "text", max_train, train_bytes, "nbsvm-sample")
+        got = sorted(((r["doc_id"], bytes(r["features"]), r["good"]) for r in chosen.mapInArrow(run, f"doc_id {kind}, good boolean, features binary").toLocalIterator()))
     return train([np.frombuffer(f, np.uint32) for _, f, _ in got], np.array([g for *_, g in got], bool))
 
 
@@ -182,5 +190,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.value.score(t) for t in batch.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
