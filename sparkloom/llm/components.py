@@ -38,4 +38,5 @@ def components(links: DataFrame) -> DataFrame:
         if state_following == state:
             break
         edges, path, state = following, path_following, state_following
+    # the caller's scratch() drops the last table
     return following.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(following.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,55 +10,81 @@ to small blocks, which are compared in full. So all pairs within r are found, wh
 A shard gives a spanning forest of its links (one link for each fingerprint at most), not its pairs, and connected
 components of the forests are the classes. Texts with the same fingerprint are one fingerprint all the way.
 
-Null and empty texts have fingerprint zero and are linked like any other. A row whose id is null gets its fingerprint
-and the component of the others (null if there is none). Repeated rows get repeated results; an empty table gives an
-empty one; columns besides the id and the text are not read.
+``near_duplicates`` links texts by their fingerprints alone. ``near_copies`` links texts whose sets of shingles have a
+Jaccard similarity of at least so much. The fingerprints of two such texts lie too far apart for any tree to prune by
+(at 0.8 some 10 of 64 bits differ, of unrelated texts 32 plus or minus 4), so each text also has ``BANDS`` band values, each
+of ``BAND`` minima of its shingles' hashes under random permutations: a pair at 0.8 shares one with probability 0.998.
+Texts that share a band value, and fingerprints that the trees find close, are candidates, and the similarity of the whole
+sets decides. Within a band a text is held against one leader, who stands for all that are like them. Those who are not
+like the leader are held against ``SLOTS`` members, and those who are like none of these against a leader of their own,
+round by round, until no band has two of them left. So pairs grow with the texts and not with a group's square, and texts
+with equal sets are one text all the way. A text at the very threshold that is like few of a large group may stay apart.
+
+Null and empty texts have fingerprint zero and no shingles, and are linked like any other. A row whose id is null gets its
+fingerprint and the component of the others (null if there is none). Very long texts are read whole, in parts. Ties go to
+the smallest id, and repeated rows get repeated results; an empty table gives an empty one; columns besides the id and the
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from functools import lru_cache, reduce
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import pieces
+from sparkloom.llm.arrow import bounded, pieces, unused
 from sparkloom.llm.components import components
-from sparkloom.storage import materialize, reread, stored_bytes
+from sparkloom.storage import fitted, materialize, remove, reread, scratch
 
 SEED = 42
-#: Fingerprints that the sharding tree is grown from, at most; fingerprints meant for a shard; shards at most.
-SAMPLE, SHARD, MAX_SHARDS = 60_000, 6_000, 4_096
-#: Ids that are sent to all machines, up to this size as stored; more are joined by a shuffle.
+#: Fingerprints of the sample for each shard of the tree that is grown from it; fingerprints meant for a shard; shards at
+#: most, whose tree and sample (8 MB) the driver holds. At 10 thousand million distinct fingerprints a shard has 150,000 of
+#: them, which take 1 MB.
+SAMPLE, SHARD, MAX_SHARDS = 15, 6_000, 65_536
+#: Bands of near_copies, and minima in each; how many ways there are to choose a band's leader, so that a text meets
+#: several of the texts that it shares its bands with; members of a band that those unlike its leader are held against.
+BANDS, BAND, LEADERS, SLOTS = 16, 5, 4, 32
+#: Ids that are sent to all machines take at most so much in memory; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Fingerprints of a block that is compared in full.
 BLOCK = 256
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """64 bits, each set if it is in over half of the shingles' hashes."""
+def hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
+    """The hashes of the text's shingles, in parts of bounded size."""
     from xxhash import xxh64_intdigest as xxh
 
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and blanks are 0x20 and 0x09 to 0x0D
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh(b" ".join(words), SEED)
+        return
     line = b" ".join(words)
     ends = [n + i for i, n in enumerate(accumulate(map(len, words)))]
     starts = [0, *(e + 1 for e in ends)]
-    counts, size = np.zeros(64, np.int64), len(words) - shingle + 1
+    size = max(1, len(words) - shingle + 1)
     for at in range(0, size, 1 << 16):
         upto = min(size, at + (1 << 16))
-        hashes = np.array([xxh(line[s:e], SEED) for s, e in zip(starts[at:upto], ends[at + shingle - 1 : upto + shingle - 1], strict=True)], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        yield np.array([xxh(line[s:e], SEED) for s, e in zip(starts[at:upto], ends[at + min(shingle, len(words)) - 1 : upto + shingle - 1], strict=False)], np.uint64)
+
+
+def _majority(parts: list[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, size = np.zeros(64, np.int64), sum(map(len, parts))
+    for h in parts:
+        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > size).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """64 bits, each set if it is in over half of the shingles' hashes, repeats included."""
+    return _majority(list(hashes(text, shingle)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
@@ -68,7 +94,47 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+
+
+@lru_cache(maxsize=1)
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return tuple(rng.integers(0, 1 << 64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(k) for k in (1, 0))
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """The band values of a set of hashes, as longs."""
+    factor, shift = _permutations()
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 4096):
+        low = np.minimum(low, (grams[None, at : at + 4096] * factor + shift).min(1))
+    value = np.zeros(BANDS, np.uint64)
+    for column in low.reshape(BANDS, BAND).T:
+        value = (value ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value.view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (a hash of the text), fp, same (a digest of the set of shingles), bands, grams (the set, as 32-bit hashes)."""
+    from xxhash import xxh3_128_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            fps, same, values, sets = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                parts = list(hashes(text, shingle))
+                grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+                fps.append(_majority(parts))
+                same.append(xxh3_128_digest(grams.tobytes()))
+                values.append(bands(grams))
+                sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "th", "fp", "same", "bands", "grams"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, same binary, bands array<long>, grams array<int>")
 
 
 @dataclass
@@ -189,9 +255,10 @@ def links(distinct: DataFrame, r: int) -> DataFrame:
     spark = distinct.sparkSession
     n = distinct.count()
     shards = min(MAX_SHARDS, max(1, -(-n // SHARD)))
-    share = min(1.0, SAMPLE / max(1, n))
-    sample = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else distinct
-    points = np.unique(np.array([x[0] for x in sample.select("fp").limit(2 * SAMPLE).collect()], np.int64).view(np.uint64))
+    wanted = max(4_096, SAMPLE * shards)
+    share = min(1.0, wanted / max(1, n))
+    sample = distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else distinct
+    points = np.unique(np.array([x[0] for x in sample.select("fp").limit(2 * wanted).collect()], np.int64).view(np.uint64))
     tree = grow(np.random.default_rng(SEED).permutation(points), shards)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,27 +282,94 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
     """doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable over fingerprints at most so many
     bits apart)."""
     rows = materialize(fingerprints(docs, shingle, id_col, text_col), "simhash-fp")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    label = materialize(components(links(distinct, bits)), "simhash-components")
-    named = label.join(distinct, label["node"] == distinct["fp"]).select("component", "fp", "first")
-    least = named.groupBy("component").agg(F.min("first").alias("least"))
-    linked = named.join(least, "component").select(F.col("fp").alias("linked"), "least")
-    alone = distinct.select(F.col("fp").alias("known"), "first")
-    classes = materialize(alone.join(linked, F.col("known") == F.col("linked"), "left").select("known", F.coalesce("least", "first").alias("component_id")), "simhash-classes")
+    with scratch(docs.sparkSession):
+        distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+        label = materialize(components(links(distinct, bits)), "simhash-components")
+        named = label.join(distinct, label["node"] == distinct["fp"]).select("component", "fp", "first")
+        least = named.groupBy("component").agg(F.min("first").alias("least"))
+        linked = named.join(least, "component").select(F.col("fp").alias("linked"), "least")
+        alone = distinct.select(F.col("fp").alias("known"), "first")
+        classes = alone.join(linked, F.col("known") == F.col("linked"), "left").select("known", F.coalesce("least", "first").alias("component_id"))
+        classes = materialize(classes, "simhash-classes", outlive=True)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return rows.join(classes, rows["fp"] == classes["known"]).select("doc_id", hexed, "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, as they are, that have the smallest id of their component, one for each id. Rows without an id stay."""
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (uid, grams) have a Jaccard similarity of at least so much. Only the sets of texts in
+    some pair are moved."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+    held = sets.join(used, "uid", "left_semi")
+    first, second = (held.select(F.col("uid").alias(n), F.col("grams").alias(f"g{n}")) for n in ("a", "b"))
+    both = pairs.join(first, "a").join(second, "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    union = F.size("ga") + F.size("gb") - common
+    return both.filter((union == 0) | (common >= similarity * union - 1e-9)).select("a", "b")
+
+
+def _leaders(members: DataFrame) -> DataFrame:
+    """One member (b) of each band value that several (uid) have."""
+    each = members.groupBy("band", "value").agg(F.min_by("uid", F.xxhash64("uid", F.col("band") % LEADERS)).alias("b"), F.count("*").alias("n"))
+    return each.filter("n > 1").select("band", "value", "b")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (a hash of the text), component_id (the smallest id reachable over texts so alike in their shingles, or the
+    row's own if all lack one), kept (of each component the row with the smallest id and th). Written to a table."""
     spark = docs.sparkSession
-    found = materialize(near_duplicates(docs, shingle, bits, id_col, text_col), "simhash-found")
-    gone, where = reread(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "simhash-gone")
-    small = stored_bytes(spark, where) <= BROADCAST_BYTES
-    rest = docs.join(F.broadcast(gone) if small else gone, F.col(id_col) == F.col("_id"), "left_anti")
-    again, where = reread(found.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 and _id is not null").select("_id"), "simhash-repeated")
-    if again.isEmpty():
-        return rest
-    again = F.broadcast(again) if stored_bytes(spark, where) <= BROADCAST_BYTES else again
-    once = rest.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return rest.join(again, F.col(id_col) == F.col("_id"), "left_anti").unionByName(once)
+    with scratch(spark):
+        rows = materialize(signatures(docs, shingle, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "simhash-signatures")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "uid")).alias("best")
+        texts = materialize(rows.groupBy("same").agg(best).select("same", "best.*"), "simhash-texts")
+        reps = rows.join(texts.select("uid"), "uid", "left_semi")
+        sets = reps.select("uid", "grams")
+        # from the trees: fingerprints that are close, and texts that share one
+        owners = materialize(reps.groupBy("fp").agg(F.min("uid").alias("owner")), "simhash-owners")
+        near = links(owners.select("fp"), bits).toDF("x", "y")
+        near = near.join(owners.toDF("x", "a"), "x").join(owners.toDF("y", "b"), "y").select("a", "b")
+        equal = reps.join(owners, "fp").filter("uid <> owner").select(F.col("uid").alias("a"), F.col("owner").alias("b"))
+        found = [materialize(alike(near.unionByName(equal).distinct(), sets, similarity), "simhash-links")]
+        # from the bands: every text against one leader of each, who is not like it against SLOTS more, and who is not like
+        # any of these against a leader of their own kind, round by round
+        members = materialize(reps.select("uid", F.posexplode("bands").alias("band", "value")), "simhash-members")
+        slot = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(SLOTS))
+        slots = members.groupBy("band", "value", slot.alias("slot")).agg(F.min_by("uid", F.xxhash64("uid")).alias("b"))
+        rest, where, leaders = members, None, _leaders(members)
+        for step in count():
+            asked = rest.join(leaders, ["band", "value"]).filter("uid <> b").select("band", "value", F.col("uid").alias("a"), "b")
+            asked = materialize(asked, "simhash-asked")
+            if where:
+                remove(spark, where)
+            if asked.isEmpty():
+                break
+            linked = materialize(alike(asked.select("a", "b").distinct(), sets, similarity), "simhash-links")
+            found.append(linked)
+            answered = asked.join(linked, ["a", "b"]).select("band", "value", "a").distinct()
+            rest = asked.select("band", "value", "a").distinct().join(answered, ["band", "value", "a"], "left_anti")
+            rest, where = reread(rest.withColumnRenamed("a", "uid"), "simhash-rest")
+            leaders = slots.select("band", "value", "b") if not step else _leaders(rest)
+        label = components(reduce(DataFrame.unionByName, found))
+        label = materialize(texts.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid")), "simhash-label")
+        low = label.groupBy("component").agg(F.min(F.struct("last", "doc_id", "th")).alias("low"))
+        classes = label.join(low, "component").select("same", "low")
+        out = rows.select("doc_id", "th", "same").join(classes, "same")
+        kept = (F.col("doc_id") == F.col("low.doc_id")) & (F.col("th") == F.col("low.th"))
+        return materialize(out.select("doc_id", "th", F.coalesce("low.doc_id", "doc_id").alias("component_id"), F.coalesce(kept, F.lit(False)).alias("kept")), "simhash-found", outlive=True)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, as they are, but for near copies: of each component the row with the smallest id stays, once. Rows without
+    an id stay."""
+    found = near_copies(docs, shingle, similarity, bits, id_col, text_col)
+    own_id, own_th, gone_id, gone_th = unused(docs, "own_id", "own_th", "gone_id", "gone_th")
+    keyed = docs.withColumn(own_id, F.col(id_col)).withColumn(own_th, F.xxhash64(text_col))
+    same = (F.col(own_id) == F.col(gone_id)) & (F.col(own_th) == F.col(gone_th))
+
+    def listed(rows: DataFrame, label: str) -> DataFrame:
+        return fitted(materialize(rows.select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct(), label), BROADCAST_BYTES)
+
+    rest = keyed.join(listed(found.filter("doc_id is not null and not kept"), "simhash-gone"), same, "left_anti")
+    again = found.filter("kept").groupBy("doc_id", "th").count().filter("count > 1")
+    again = listed(again, "simhash-repeated")
+    once = rest.join(again, same, "left_semi").dropDuplicates([own_id, own_th])
+    return rest.join(again, same, "left_anti").unionByName(once).select(*docs.columns)
