@@ -6,27 +6,35 @@ the sources of the pattern, and from each source to its quota; the cheapest maxi
 pattern the mix takes. A pattern's flow is whole passes over its documents plus part of one more; the documents of that
 part are the first by a seeded hash, whose cut is found by counting words in finer and finer ranges of the hash.
 
+All costs lie on what patterns offer, and the amounts that patterns can give together form a polymatroid, so the cheapest
+flow is found pass by pass: a maximal flow of all first passes, to which second passes are added, and so on. No amount
+found earlier is ever given up. Each is found by blocking flows, in parts of the network that hang together; a pattern
+of one source that shares it with no other needs no search.
+
 Only patterns (not documents) reach the driver: their number is that of the distinct source sets, and more than
 ``MAX_PATTERNS`` of them is an error. No group of documents is ordered or gathered in one task, so a source that holds
 a third of all rows costs no more than as many rows spread out.
 
-Null or empty texts have size 0 and are never taken. A null source is a source of its own, last in order. Repeated rows
-(same id) share their hash, and are taken or left together. An empty table gives an empty mix. Columns besides the id,
-the text and the source are not read.
+Null or empty texts have size 0 and are never taken. A null source is a source of its own, last in order. Very long texts
+count whole and are taken or left whole. Documents that tie in the seeded hash are taken or left together, as are
+repeated rows (same id). An empty table gives an empty mix. Columns besides the id, the text and the source are not read,
+and go along unchanged, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.storage import materialize
+from sparkloom.storage import fitted, materialize, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PATTERNS = 200_000
+#: The recipe is sent to all machines if it takes no more than this in memory, and joined by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 #: Bits of the seeded hash that each counting pass resolves, the passes, and the rounds of selection.
 STEP_BITS, STEPS, ROUNDS = 14, 2, 3
 PICKS = "array<struct<start:long,cut:long,most:long>>"
@@ -51,74 +59,109 @@ def shares(sizes: list[int], weights: list[float], cap: float, total: int) -> li
     return target
 
 
-@dataclass
-class _Arc:
-    to: int
-    room: int
-    cost: int
-    back: int
-
-
 class _Network:
-    """Residual network with successive shortest paths."""
+    """A network with maximal flows by blocking flows; arcs come in pairs, each the other's way back."""
 
     def __init__(self, nodes: int):
-        self.arcs: list[list[_Arc]] = [[] for _ in range(nodes)]
-
-    def add(self, a: int, b: int, room: int, cost: int = 0) -> _Arc:
-        self.arcs[a].append(_Arc(b, room, cost, len(self.arcs[b])))
-        self.arcs[b].append(_Arc(a, 0, -cost, len(self.arcs[a]) - 1))
-        return self.arcs[a][-1]
-
-    def run(self, source: int, sink: int) -> None:
-        potential = [0] * len(self.arcs)  # costs start at 0 or more
-        while True:
-            far: dict[int, int] = {source: 0}
-            came: dict[int, _Arc] = {}
-            heap, done = [(0, source)], set()
-            while heap:
-                d, a = heapq.heappop(heap)
-                if a in done:
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def add(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(r)
+        return len(self.to) - 2
+
+    def _levels(self, source: int, sink: int) -> list[int] | None:
+        level = [-1] * len(self.out)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            a = queue.popleft()
+            for arc in self.out[a]:
+                if self.room[arc] and level[self.to[arc]] < 0:
+                    level[self.to[arc]] = level[a] + 1
+                    queue.append(self.to[arc])
+        return level if level[sink] >= 0 else None
+
+    def fill(self, source: int, sink: int) -> None:
+        """Adds flow until it is maximal."""
+        while (level := self._levels(source, sink)) is not None:
+            at = [0] * len(self.out)  # the next arc to try
+            path: list[int] = []
+            node = source
+            while True:
+                if node == sink:
+                    amount = min(self.room[arc] for arc in path)
+                    for arc in path:
+                        self.room[arc] -= amount
+                        self.room[arc ^ 1] += amount
+                    while path and not self.room[path[-1]]:
+                        path.pop()
+                    # back to the first arc that is full now
+                    full = next((i for i, arc in enumerate(path) if not self.room[arc]), len(path))
+                    del path[full:]
+                    node = self.to[path[-1]] if path else source
                     continue
-                done.add(a)
-                for arc in self.arcs[a]:
-                    if arc.room > 0 and arc.to not in done:
-                        n = d + arc.cost + potential[a] - potential[arc.to]
-                        if n < far.get(arc.to, 1 << 62):
-                            far[arc.to] = n
-                            came[arc.to] = arc
-                            heapq.heappush(heap, (n, arc.to))
-            if sink not in far:
-                return
-            top = max(far.values())
-            for i in range(len(potential)):
-                potential[i] += far.get(i, top)
-            path, at = [], sink
-            while at != source:
-                arc = came[at]
-                path.append(arc)
-                at = self.arcs[arc.to][arc.back].to
-            amount = min(x.room for x in path)
-            for arc in path:
-                arc.room -= amount
-                self.arcs[arc.to][arc.back].room += amount
+                arcs = self.out[node]
+                while at[node] < len(arcs) and not (self.room[arcs[at[node]]] and level[self.to[arcs[at[node]]]] == level[node] + 1):
+                    at[node] += 1
+                if at[node] < len(arcs):
+                    path.append(arcs[at[node]])
+                    node = self.to[path[-1]]
+                elif path:
+                    node = self.to[path.pop() ^ 1]
+                    at[node] += 1
+                else:
+                    break
+
+
+def _parts(patterns: list[tuple[tuple[int, ...], int]], sources: int) -> list[list[int]]:
+    """Patterns that hang together by sources that they share."""
+    up = list(range(sources))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            a, b = root(members[0]), root(s)
+            up[max(a, b)] = min(a, b)
+    out: dict[int, list[int]] = {}
+    for i, (members, _) in enumerate(patterns):
+        out.setdefault(root(members[0]), []).append(i)
+    return list(out.values())
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], epochs: int) -> list[dict[int, int]]:
-    """Words that each pattern (sources, size) gives to each of its sources. A pass over a pattern costs more than all
-    cheaper passes that could replace it; among equals the order of the patterns decides."""
-    n, m = len(patterns), len(quotas)
-    net = _Network(n + m + 2)
-    source, sink = n + m, n + m + 1
-    links: list[dict[int, _Arc]] = []
-    for i, (members, size) in enumerate(patterns):
-        for epoch in range(epochs):
-            net.add(source, i, size, epoch * epoch)
-        links.append({s: net.add(i, n + s, size * epochs) for s in members})
-    for s, quota in enumerate(quotas):
-        net.add(n + s, sink, quota)
-    net.run(source, sink)
-    return [{s: patterns[i][1] * epochs - arc.room for s, arc in mine.items()} for i, mine in enumerate(links)]
+    """Words that each pattern (sources, size) gives to each of its sources: as many in all as the quotas and so many passes
+    allow, and of those flows one whose sum of costs is the least, a word's cost rising with the pass it is of. Among
+    equals the order of the patterns decides."""
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    for part in _parts(patterns, len(quotas)):
+        if len(part) == 1 and len(patterns[part[0]][0]) == 1:
+            (s,), size = patterns[part[0]]
+            out[part[0]] = {s: min(quotas[s], size * epochs)}
+            continue
+        place = {s: i for i, s in enumerate(sorted({s for i in part for s in patterns[i][0]}))}
+        net = _Network(len(part) + len(place) + 2)
+        source, sink = len(part) + len(place), len(part) + len(place) + 1
+        offers = [net.add(source, k, 0) for k in range(len(part))]
+        links = [{s: net.add(k, len(part) + place[s], patterns[i][1] * epochs) for s in patterns[i][0]} for k, i in enumerate(part)]
+        for s, k in place.items():
+            net.add(len(part) + k, sink, quotas[s])
+        for _ in range(epochs):
+            for k, i in enumerate(part):
+                net.room[offers[k]] += patterns[i][1]
+            net.fill(source, sink)
+        for k, i in enumerate(part):
+            out[i] = {s: net.room[arc ^ 1] for s, arc in links[k].items()}
+    return out
 
 
 def _seeded(seed: int, key: Column) -> Column:
@@ -137,26 +180,22 @@ class Recipe:
     source_col: str
     cuts: DataFrame
 
-    def measured(self, docs: DataFrame) -> DataFrame:
-        """docs with _pattern, _size and _place."""
+    def measured(self, docs: DataFrame, *keep: Column) -> DataFrame:
+        """pattern, size and place of each document, after the columns to keep."""
         many = docs.schema[self.source_col].dataType.typeName() == "array"
         pattern = F.array_sort(F.array_distinct(F.col(self.source_col))) if many else F.array(F.col(self.source_col))
-        return docs.withColumns({
-            "_pattern": F.to_json(F.struct(pattern.alias("s"))),
-            "_size": F.coalesce(F.regexp_count(F.col(self.text_col), F.lit(WORD)), F.lit(0)).cast("long"),
-            "_place": _seeded(self.seed, F.col(self.id_col)),
-        })
+        size = F.coalesce(F.regexp_count(F.col(self.text_col), F.lit(WORD)), F.lit(0)).cast("long")
+        return docs.select(*keep, F.to_json(F.struct(pattern.alias("s"))).alias("pattern"), size.alias("size"), _seeded(self.seed, F.col(self.id_col)).alias("place"))
 
     def counted(self, measured: DataFrame) -> DataFrame:
-        """measured rows with _source_size, _target and _copies. The picks have a row for each pattern, MAX_PATTERNS at
-        most, so they are sent to all."""
-        out = measured.join(F.broadcast(self.cuts), F.col("_pattern") == F.col("_p"), "left")
-        again = F.exists("_picks", lambda p: (F.col("_place") >= p["start"]) & (F.col("_place") < p["cut"]) & (F.col("_size") <= p["most"]))
-        return out.withColumn("_copies", F.when(F.col("_size") > 0, F.col("_passes") + again.cast("long")).otherwise(F.lit(0)).cast("long")).drop("_p")
+        """measured rows with source_size, target and copies."""
+        out = measured.join(fitted(self.cuts, BROADCAST_BYTES), F.col("pattern") == F.col("p"), "left")
+        again = F.exists("picks", lambda x: (F.col("place") >= x["start"]) & (F.col("place") < x["cut"]) & (F.col("size") <= x["most"]))
+        return out.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + again.cast("long")).otherwise(F.lit(0)).cast("long")).drop("p")
 
 
 def recipe(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[Recipe, DataFrame]:
-    """The recipe for a mix of the documents, and their measures (id, source, _pattern, _size, _place).
+    """The recipe for a mix of the documents, and their measures (doc_id, source, pattern, size, place).
 
     source_col: a string, or an array of strings where a document belongs to several sources. weights: of the sources in
     code-point order, repeating. cap: the most passes over a document, and the most that a target is of its source's
@@ -164,9 +203,8 @@ def recipe(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
     spark = docs.sparkSession
     found = Recipe(seed, id_col, text_col, source_col, docs)
     many = docs.schema[source_col].dataType.typeName() == "array"
-    rows = found.measured(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "_pattern", "_size", "_place")
-    rows = materialize(rows, "mixing-sizes")
-    counted = rows.groupBy("_pattern").agg(F.sum("_size").alias("size"), F.first("source").alias("source")).orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
+    rows = materialize(found.measured(docs, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")), "mixing-sizes")
+    counted = rows.groupBy("pattern").agg(F.sum("size").alias("size"), F.first("source").alias("source")).orderBy("pattern").limit(MAX_PATTERNS + 1).collect()
     if len(counted) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} source patterns")
     members = [sorted(set(r["source"] or [None]), key=_order) if many else [r["source"]] for r in counted]
@@ -182,10 +220,11 @@ def recipe(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3
     plan = []
     for r, m, flow in zip(counted, members, flows, strict=True):
         passes, part = divmod(sum(flow.values()), r["size"]) if r["size"] else (0, 0)
-        plan.append((r["_pattern"], sum(sizes[place[x]] for x in m), float(sum(target[place[x]] for x in m)), int(passes), int(part)))
+        plan.append((r["pattern"], sum(sizes[place[x]] for x in m), float(sum(target[place[x]] for x in m)), int(passes), int(part)))
     plans = spark.createDataFrame(plan, "pattern string, source_size long, target double, passes long, part long")
-    measured = rows.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_place").alias("place"))
-    found.cuts = _cuts(measured, plans).toDF("_p", "_source_size", "_target", "_passes", "_picks")
+    with scratch(spark):
+        cuts = _cuts(rows.select("pattern", "size", "place"), plans).toDF("p", "source_size", "target", "passes", "picks")
+        found.cuts = materialize(cuts, "mixing-recipe", outlive=True)
     return found, rows
 
 
@@ -194,14 +233,14 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     recipe(); source_size and target are sums over a document's sources."""
     found, rows = recipe(docs, **settings)
     out = found.counted(rows)
-    return out.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"), F.col("_copies").alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix, each row as often as it is taken, with the columns it has."""
     found, _ = recipe(docs, **settings)
-    out = found.counted(found.measured(docs)).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    out = found.counted(found.measured(docs, F.struct("*").alias("own"))).filter("copies > 0")
+    return out.select("own", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("own.*")
 
 
 def _order(name: str | None) -> tuple[bool, str]:
