@@ -1,18 +1,21 @@
 """Web archives (WARC) as a Spark data source, for reading and writing.
 
-Reading: a partition is some whole files, up to ``partitionBytes`` together. Predicates on the record type and on other
-headers are pushed down to the reader: by the option ``where``, or with the option ``pushdown`` from the query's own filters. (The latter is
-off by default: Spark 4.1 keeps pushed filters with the loaded table, so a DataFrame that was read with a filter must not
-be read again without.) The reader parses a record's headers first, and the payload of a record that the
-predicates reject, or all payloads with the option ``payload`` set to false, is not decoded: a plain record is jumped
-over by its length, a compressed one by the member size in its gzip header (subfield ``sl``) where the writer left one,
-else it is inflated past. Files come through pyarrow's file systems, so paths may name a store.
+Reading: a partition is some whole files, up to ``partitionBytes`` together; a file is not split, as a nested archive in a
+payload holds record starts of its own. Predicates on the record type and on other headers are pushed down to the reader:
+from the query's own filters with the option ``pushdown``, or by the option ``where``. (Spark 4.1 keeps pushed filters with
+the loaded table, so a DataFrame read with ``pushdown`` is to be used once; without it filters run after the scan.) The
+reader parses a record's headers first, and the payload of a record that the predicates reject, or all payloads with the
+option ``payload`` set to false, is not decoded: a plain record is jumped over by its length, a compressed one by the
+member size in its gzip header (subfield ``sl``) where the writer left one, else it is inflated past. Files come through
+pyarrow's file systems, so paths may name a store.
 
 Writing: each record is a gzip member of its own. Tasks write under temporary names and the driver moves the files of
 the tasks that succeeded, so retried and lost tasks leave nothing in the archive. A file is closed at ``fileBytes``.
 
-Null payloads are empty, null headers are left out, and line ends inside headers are percent-encoded. An archive without
-files or records reads as an empty table. Damaged files fail with the file's name and the place.
+Null payloads are empty, null headers are left out, and line ends inside headers are percent-encoded. Very long payloads
+are held whole, one at a time. Of pages with equal payloads the one with the largest id is stored; equal rows give a record
+each, all of them stored if theirs is that id. Columns besides page_id, url and html are not read, whatever their names. An
+archive without files or records reads as an empty table. Damaged files fail with the file's name.
 """
 
 from __future__ import annotations
@@ -47,7 +50,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from sparkloom.storage import drop_at_exit, fresh_path, reread, stored_bytes
+from sparkloom.llm.arrow import bounded, pieces
+from sparkloom.storage import drop_at_exit, fitted, fresh_path, materialize, scratch
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 #: Columns that are headers, all known before a payload is decoded.
@@ -128,7 +132,7 @@ class _Member:
                     pass
         if flags & 2:
             source.exactly(2)
-        self.inflater, self.held = zlib.decompressobj(-15), b""
+        self.inflater, self.held = zlib.decompressobj(-15), bytearray()
 
     def more(self) -> bool:
         if self.inflater.eof or not (data := self.source.some()):
@@ -143,7 +147,7 @@ class _Member:
             self.source.jump(self.end)
             return
         while not self.inflater.eof:
-            self.held = b""
+            self.held.clear()
             if not self.more():
                 raise EOFError
         self.source.exactly(8)
@@ -153,7 +157,7 @@ class _Plain:
     """The bytes of an uncompressed record."""
 
     def __init__(self, source: _Bytes):
-        self.source, self.held, self.begin, self.size = source, b"", source.tell(), 0
+        self.source, self.held, self.begin, self.size = source, bytearray(), source.tell(), 0
 
     def more(self) -> bool:
         data = self.source.some()
@@ -223,7 +227,7 @@ def records(file, reading: Reading) -> Iterator[tuple]:
                 while len(record.held) < size + length:
                     if not record.more():
                         raise EOFError
-                payload = record.held[begin : size + length]
+                payload = bytes(memoryview(record.held)[begin : size + length])
             yield (*row.values(), n, payload)
         record.close()
 
@@ -374,7 +378,7 @@ class WarcWriter(DataSourceArrowWriter):
         system.create_dir(f"{top}/{self.job}", recursive=True)
         names, out, held = [], None, 0
         try:
-            for batch in iterator:
+            for batch in pieces(iterator, 64):
                 columns = [c.to_pylist() for c in batch.columns]
                 for values in zip(*columns, strict=True):
                     if out is None:
@@ -424,16 +428,16 @@ class WarcDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to the session."""
+    """Makes the format known to the session, and lets the session push filters down to Python data sources: without that
+    Spark refuses those that can take them."""
     spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, pushdown: bool = False, **where: str | list[str]) -> DataFrame:
     """An archive's records, those whose headers have the given values (record_type="response", for one). pushdown: take
     the query's filters too, for a DataFrame that is used once."""
     register(spark)
-    if pushdown:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     wanted = {c: [v] if isinstance(v, str) else list(v) for c, v in where.items()}
     options = {"payload": str(payload).lower(), "pushdown": str(pushdown).lower(), "where": json.dumps(wanted)}
     return spark.read.format("warc").options(**options).load(path)
@@ -445,10 +449,10 @@ def archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") ->
     spark = pages.sparkSession
     register(spark)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
+    rows = bounded(pages).select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     shared = rows.filter(F.col("n") >= REVISIT_LEAST).groupBy("digest").agg(F.max("page_id").alias("stored"), F.count("*").alias("c")).filter("c > 1 and stored is not null").drop("c")
-    shared, where = reread(shared, "warc-shared")
-    joined = rows.join(F.broadcast(shared) if stored_bytes(spark, where) <= BROADCAST_BYTES else shared, "digest", "left")
+    shared = materialize(shared, "warc-shared")
+    joined = rows.join(fitted(shared, BROADCAST_BYTES), "digest", "left")
     revisit = F.col("stored").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("stored"))
     name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
     out = joined.select(
@@ -469,12 +473,14 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     refers_to: of responses from the payload that was read, of revisits from their headers."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
-    archive(pages, path)
+    with scratch(spark):
+        archive(pages, path)
     drop_at_exit(spark, path)
     number = lambda c: F.substring_index(c, ":", -1).cast("long")
-    full = read(spark, path, record_type="response")
+    # each branch loads the archive for itself, so that the filter pushed down to it is its own
+    full = read(spark, path, pushdown=True).filter("record_type = 'response'")
     full = full.select(number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
-    light = read(spark, path, payload=False, record_type="revisit")
+    light = read(spark, path, payload=False, pushdown=True).filter("record_type = 'revisit'")
     light = light.select(number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
     return full.unionByName(light)
 
