@@ -1,36 +1,32 @@
 """SentencePiece encoding that keeps, for every piece, the bytes of the source it stands for.
 
 A text is normalised by longest-prefix matches in the model's compiled character map (a double-array trie); each
-normalised byte remembers the source byte it came from. The normalised text is segmented by the library under a copy
+normalised byte remembers the source byte it came from. A model without a map (as the public one that the query uses) only
+has its blanks marked, which is done at once, with the same alignment; the trie runs for models that have one. The normalised text is segmented by the library under a copy
 of the model whose own normaliser does nothing, and the piece boundaries are projected through that alignment.
 
-A normalised text is cut before each space symbol that follows another character, if no piece of the vocabulary spans
-such a place: merges then never cross the cut, and segments of frequent words are kept in a bounded table per worker.
+A worker holds the model and one text's ids at a time; a text is encoded whole, and what its ids decode to is joined from
+the bytes that its pieces stand for.
 
 Null texts count as empty: no ids, the hash of nothing. Nothing is cut off however long the text is. Repeated rows
-give repeated results; an empty table gives an empty table; columns besides the id and the text are not read.
+give repeated results; an empty table gives an empty table; columns besides the id and the text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.arrow import pieces
+from sparkloom.llm.arrow import bounded, pieces
 
 SPACE = "▁"
-#: Entries of a worker's table of segmented words; it has two generations of so many.
-TABLE_ENTRIES = 150_000
-
-
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -125,15 +121,13 @@ class Codec:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=bare)
         pieces = [dict((n, v) for n, v, _ in _fields(v)) for n, v, _ in fields if n == 1]
         names = [p.get(1, b"").decode() for p in pieces]
-        special = any(p.get(3, 1) == 4 for p in pieces)  # user-defined symbols match across words
-        self.by_word = not special and self.escape and not self.suffix and not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in names)
-        #: A plain piece put before others when they are decoded apart from what stood before them.
-        self.guard = next((i for i, p in enumerate(pieces) if p.get(3, 1) == 1 and re.fullmatch("[a-z]", names[i])), None)
-        self.size_of = np.array([1 if p.get(3, 1) == 6 else len(names[i].encode()) for i, p in enumerate(pieces)], "<u4")
-        self.unknown = {i for i, p in enumerate(pieces) if p.get(3, 1) == 2}
-        self.can_fail = not any(p.get(3, 1) == 6 for p in pieces)
-        self.words: dict[str, tuple[str, str, bytes]] = {}
-        self.elder: dict[str, tuple[str, str, bytes]] = {}
+        kinds = [p.get(3, 1) for p in pieces]  # 2 unknown, 3 control, 6 byte
+        self.size_of = np.array([1 if k == 6 else len(x.encode()) for k, x in zip(kinds, names, strict=True)], np.int64)
+        self.unknown = np.array([k == 2 for k in kinds])
+        self.digits = np.array([str(i) for i in range(len(pieces))], object)
+        self.bytes_of = np.array([bytes([int(x[3:5], 16)]) if k == 6 else b"" if k == 3 else x.replace(SPACE, " ").encode() for k, x in zip(kinds, names, strict=True)], object)
+        #: Without byte pieces what is unknown has no bytes of its own, and other rules may follow in decoding.
+        self.joined = 6 in kinds and not self.suffix and self.escape and not any(_fields(v) for n, v, _ in fields if n == 5 and v)
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the source byte of each of its bytes, with the end of the source last."""
@@ -188,84 +182,40 @@ class Codec:
             put(mark, consumed)
         return out.decode(), np.array([*align, consumed])
 
-    def units(self, normal: str) -> list[str]:
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", normal) if self.by_word else [normal] if normal else []
-
-    def learn(self, new: list[str]) -> dict[str, tuple[str, str, bytes]]:
-        """Segments units that the table lacks, all in one call of the library: the ids joined by commas, what they
-        decode to inside a text, and each id's normalised bytes."""
-        coded = self.bare.encode(new, num_threads=1)
-        apart = self.by_word and self.guard is not None
-        texts = self.library.decode([[self.guard, *ids] for ids in coded], num_threads=1) if apart and new else [""] * len(new)
-        sizes = self.size_of[np.fromiter(chain.from_iterable(coded), np.int64)].tobytes()
-        out, at = {}, 0
-        for unit, ids, text in zip(new, coded, texts, strict=True):
-            lengths, at = sizes[at : at + 4 * len(ids)], at + 4 * len(ids)
-            if self.can_fail and not self.unknown.isdisjoint(ids):
-                pieces = self.bare.encode(unit, out_type="immutable_proto").pieces
-                lengths = np.array([len(p.surface.encode()) for p in pieces], "<u4").tobytes()
-            out[unit] = str(ids)[1:-1].replace(" ", ""), text[1:], lengths
-        return out
-
-    def segments(self, texts: list[list[str]]) -> dict[str, tuple[str, str, bytes]]:
-        """What learn() gives for all units of some texts. Long units are not kept for later texts; of the others the
-        table has two generations, and what is not asked for while the younger fills is forgotten with the elder."""
-        units = set().union(*texts)
-        young, old = self.words, self.elder
-        if len(young) > TABLE_ENTRIES:
-            self.words, self.elder = {}, young
-            young, old = self.words, self.elder
-        found, missing = {}, []
-        for u in units:
-            x = young.get(u)
-            if x is None:
-                x = old.get(u)
-                if x is None:
-                    missing.append(u)
-                    continue
-                young[u] = x
-            found[u] = x
-        new = self.learn(missing)
-        found.update(new)
-        young.update((u, x) for u, x in new.items() if len(u) < 64)
-        return found
-
-    def digest(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes, int]]:
-        """Of each text: number of ids, digests of the ids and of their decoding, source bytes that the spans cover."""
-        normal = [self.normalize(t or "") for t in texts]
-        units = [self.units(n) for n, _ in normal]
-        known = self.segments(units)
-        out = []
-        for (_, align), mine in zip(normal, units, strict=True):
-            found = [known[u] for u in mine]
-            ids = ",".join([f[0] for f in found])
-            if self.by_word and self.guard is not None:
-                decoded = "".join([f[1] for f in found])
-                if decoded.startswith(" ") and (self.prefix or self.squeeze):
-                    decoded = decoded[1:]
-            else:
-                decoded = self.library.decode([int(i) for i in ids.split(",") if i])
-            ends = np.cumsum(np.frombuffer(b"".join([f[2] for f in found]), "<u4"), dtype=np.int64)
-            begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            covered = int((align[ends] - align[begins]).sum()) if len(ends) else 0
-            out.append((len(ends), hashlib.sha256(ids.encode()).digest(), hashlib.sha256(decoded.encode()).digest(), covered))
-        return out
+    def segment(self, normal: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a normalised text, and how many of its bytes each stands for."""
+        if not normal:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = np.asarray(self.bare.encode_as_numpy(normal), np.int64)
+        if self.unknown[ids].any():
+            return ids, np.array([len(p.surface.encode()) for p in self.bare.encode(normal, return_type="proto").pieces], np.int64)
+        return ids, self.size_of[ids]
+
+    def text_of(self, ids: np.ndarray) -> bytes:
+        """What the library decodes a text's own ids to."""
+        if not self.joined or self.unknown[ids].any():
+            return self.library.decode(ids.tolist()).encode()
+        out = b"".join(self.bytes_of[ids].tolist())
+        return out[1:] if out.startswith(b" ") and (self.prefix or self.squeeze) else out
+
+    def digest(self, text: str | None) -> tuple[int, bytes, bytes, bytes]:
+        """Number of ids, digests of the ids, of their decoding, and of the spans of source bytes (begin and end of each
+        piece as little-endian 64-bit numbers)."""
+        normal, align = self.normalize(text or "")
+        ids, sizes = self.segment(normal)
+        ends = np.cumsum(sizes)
+        spans = align[np.stack([ends - sizes, ends], 1)].astype("<i8") if len(ids) else align[:0]
+        parts = ",".join(self.digits[ids].tolist()).encode(), self.text_of(ids), spans.tobytes()
+        return len(ids), *(hashlib.sha256(x).digest() for x in parts)
 
     def encode(self, text: str | None) -> Encoded:
         """Ids and pieces of a text with the span of source bytes behind each; the pieces of one character's bytes
         split its span at byte boundaries."""
         normal, align = self.normalize(text or "")
-        ids: list[int] = []
-        sizes: list[int] = []
-        units = self.units(normal)
-        known = self.segments([units])
-        for unit in units:
-            joined, _, lengths = known[unit]
-            ids += map(int, joined.split(","))
-            sizes += np.frombuffer(lengths, "<u4").tolist()
-        ends = np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64)
+        ids, sizes = self.segment(normal)
+        ends = np.cumsum(sizes)
         spans = [(int(align[e - s]), int(align[e])) for e, s in zip(ends, sizes, strict=True)]
-        return Encoded(ids, [self.library.id_to_piece(i) for i in ids], spans)
+        return Encoded(ids.tolist(), [self.library.id_to_piece(i) for i in ids.tolist()], spans)
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -283,20 +233,20 @@ def codec(model: bytes) -> Codec:
 
 
 def digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes every text: id, n_tokens, ids_sha256, decoded_sha256, n_span_bytes."""
+    """Encodes and decodes every text: id, n_tokens, ids_sha256, decoded_sha256, spans_sha256."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in pieces(batches):
-            rows = c.digest(batch.column(1).to_pylist())
+            rows = [c.digest(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].hex() for r in rows], pa.string()), pa.array([r[2].hex() for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_span_bytes"],
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1].hex() for r in rows], pa.string()), pa.array([r[2].hex() for r in rows], pa.string()), pa.array([r[3].hex() for r in rows], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +263,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 out.append([{"id": i, "piece": p, "begin": b, "end": n} for i, p, (b, n) in zip(e.ids, e.pieces, e.spans, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, piece)], names=["doc_id", "pieces"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, pieces array<struct<id:int,piece:string,begin:long,end:long>>")
+    return bounded(docs).select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, pieces array<struct<id:int,piece:string,begin:long,end:long>>")
 
 
 def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
