@@ -1,35 +1,48 @@
 """Quality rules whose thresholds adapt to each language and source.
 
-Fixed rules reject texts that no corpus wants. The others compare a few rates of a text with what is usual in its
-language and source: the quartiles of every rate come from a quantile sketch, and a text is rejected where a rate lies
-far outside them (``SPREAD`` times their distance, and past a floor below which nothing is rejected). A sketch counts
-values in buckets that keep six leading bits, so quartiles are within 1/32 of the true ones, sketches merge by adding
-counts, and neither the order nor the number of parts changes the outcome. A source of fewer than ``LEAST`` texts in a
-language takes the language's thresholds, a language of fewer those of all texts.
+Base rules reject texts that no corpus wants. The others compare a few rates of a text with what is usual in its language
+and source, among the texts that pass the base rules: a rate may lie above a high quantile, or below a low one, by so many
+times that quantile's distance from the median, and no more. No cutoff is fixed; where a distance is smaller than a
+sketch tells apart, the sketch's resolution there counts in its place.
+
+The quantiles come from sketches that count values in buckets which keep six leading bits, so quantiles are within 1/32 of
+the true ones, sketches merge by adding counts, and neither the order nor the number of parts changes the outcome. A
+source's quantiles are drawn towards those of its language as by ``PRIOR`` more texts that are like the language's, and a
+language's likewise towards those of all texts: a source of few texts hardly differs from its language, one of many goes
+its own way. What makes up less of a source than lies beyond its quantile (a quarter, for symbols) does not move its
+thresholds; junk that makes up more passes for what is usual there.
 
 Everything is in built-in functions. Sketches are combined before the shuffle, and the join that brings thresholds back
 is one that adaptive execution splits or broadcasts by size, so a source with a third of all texts is as good as many.
 
-Null texts have no words; they and texts of blanks fail the base rules. A null language or source is a group of its
-own. Repeated rows count each; an empty table gives an empty one; columns besides those named are not read.
+Null texts have no words; they and texts of blanks fail the base rules. Very long texts are read whole. A rate at its
+threshold passes. A null language or source is a group of its own. Repeated rows count each; where no text passes the
+base rules none is kept, and an empty table gives an empty one; columns besides those named are not read, whatever their
+names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.storage import materialize
+from sparkloom.storage import materialize, scratch
 
 BLANKS = " \t\n\x0b\f\r"
 GRAM = 8
-SPREAD, LEAST = 4, 100
-#: Rates, as whole numbers: what they are, and the floors of the distance below and above which a text is rejected.
-RATES: dict[str, tuple[str, int | None, int]] = {
-    "symbols": ("1000 * n_symbols div greatest(word_chars, 1)", None, 40),
-    "word_length": ("100 * word_chars div greatest(n_words, 1)", 150, 1500),
-    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", None, 500),
+#: Texts like the language's (or like all) that a group's quantiles are mixed with.
+PRIOR = 40
+#: Rates, as whole numbers: what they are; the percentage of texts beyond each quantile that bounds them (none for a rate
+#: that may be as low as it likes); and how many times its distance from the median a text may lie beyond it.
+RATES: dict[str, tuple[str, int | None, int, int]] = {
+    "symbols": ("1000 * n_symbols div greatest(word_chars, 1)", None, 25, 4),
+    "word_length": ("100 * word_chars div greatest(n_words, 1)", 25, 25, 8),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_lines, 1)", None, 1, 2),
 }
+BASE = "(n_words < 20 or 100 * n_repeat_words > 30 * n_words)"
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -67,9 +80,10 @@ def bucket(value: Column) -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Counts by language, source, rate and bucket, at three levels: of the source, the language, and all."""
+    """Counts by language, source, rate and bucket of the texts that pass the base rules, at three levels: of the source (0),
+    the language (1), and all (2)."""
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), bucket(F.expr(e)).alias("bucket")) for n, (e, *_) in RATES.items())))
-    own = rows.filter("n_words > 0").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
+    own = rows.filter(f"not {BASE}").select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.rate", "x.bucket").agg(F.count("*").alias("n"))
     own = materialize(own, "quality-sketches")
     null = F.lit(None).cast("string")
     lang = own.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "lang", null.alias("source"), "rate", "bucket", "n")
@@ -77,42 +91,56 @@ def sketches(rows: DataFrame) -> DataFrame:
     return own.select(F.lit(0).alias("level"), "lang", "source", "rate", "bucket", "n").unionByName(lang).unionByName(total)
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """level, lang, source, n, and low_<rate> and high_<rate>: a group's bounds for each rate."""
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """level, lang, source, rate, n, and the quantiles low (null if the rate has none), mid and high."""
     group = ["level", "lang", "source", "rate"]
     w = Window.partitionBy(*group)
     upto = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("n", F.sum("n").over(w))
-    quartiles = upto.groupBy(*group, "n").agg(F.min(F.when(F.col("upto") * 4 >= F.col("n"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("n") * 3, F.col("bucket"))).alias("q3"))
-    width = F.col("q3") - F.col("q1")
+    share = {q: F.coalesce(*(F.when(F.col("rate") == name, F.lit(p)) for name, p in shares.items())) for q, shares in {
+        "low": {name: p for name, (_, p, _, _) in RATES.items() if p is not None},
+        "mid": dict.fromkeys(RATES, 50),
+        "high": {name: 100 - p for name, (_, _, p, _) in RATES.items()},
+    }.items()}
+    return upto.groupBy(*group, "n").agg(*(F.min(F.when(100 * F.col("upto") >= F.col("n") * p, F.col("bucket"))).alias(q) for q, p in share.items()))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """lang, source, and low_<rate> and high_<rate>: a source's bounds for each rate."""
+    found = materialize(quantiles(sketch), "quality-quantiles")
+    names = ["low", "mid", "high"]
+
+    def drawn(own: DataFrame, towards: DataFrame, on: list[str]) -> DataFrame:
+        """own's quantiles mixed with those of the groups above, which are joined on the columns."""
+        above = towards.select(*(F.col(c).alias(f"{c}_") for c in on), *(F.col(c).alias(f"{c}_") for c in names))
+        joined = own.join(above, reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_")) for c in on)))
+        mixed = [F.expr(f"(n * {c} + {PRIOR} * {c}_) div (n + {PRIOR})").alias(c) for c in names]
+        return joined.select("lang", "source", "rate", "n", *mixed)
+
+    level = [found.filter(F.col("level") == i).select("lang", "source", "rate", "n", *names) for i in range(3)]
+    best = drawn(level[0], drawn(level[1], level[2], ["rate"]), ["lang", "rate"])
+    least = "greatest(1, mid div 32)"
     bounds = []
-    for name, (_, low, high) in RATES.items():
+    for name, (_, low, _, times) in RATES.items():
         own = F.col("rate") == name
         if low is not None:
-            bounds.append(F.max(F.when(own, F.least(F.lit(low), F.col("q1") - SPREAD * width))).alias(f"low_{name}"))
-        bounds.append(F.max(F.when(own, F.greatest(F.lit(high), F.col("q3") + SPREAD * width))).alias(f"high_{name}"))
-    return quartiles.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *bounds)
+            bounds.append(F.max(F.when(own, F.expr(f"low - {times} * greatest(mid - low, {least})"))).alias(f"low_{name}"))
+        bounds.append(F.max(F.when(own, F.expr(f"high + {times} * greatest(high - mid, {least})"))).alias(f"high_{name}"))
+    return best.groupBy("lang", "source").agg(*bounds)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     rows = materialize(measures(docs), "quality-measures")
-    bounds = materialize(thresholds(sketches(rows)), "quality-thresholds")
-    names = [c for c in bounds.columns if c not in ("level", "lang", "source", "n")]
-    wide = F.struct(*names)
-    own = bounds.filter("level = 0").select(F.col("lang").alias("l0"), F.col("source").alias("s0"), F.when(F.col("n") >= LEAST, wide).alias("b0"))
-    lang = bounds.filter("level = 1").select(F.col("lang").alias("l1"), F.when(F.col("n") >= LEAST, wide).alias("b1"))
-    total = bounds.filter("level = 2").select(*names).first()  # one row, none for an empty table
-    every = F.struct(*(F.lit(total and total[c]).cast("long").alias(c) for c in names))
-    # resolved once for each group, so that texts meet one table only
-    best = own.join(lang, F.col("l0").eqNullSafe(F.col("l1")), "left")
-    best = best.select("l0", "s0", F.coalesce("b0", "b1", every).alias("b"))
-    joined = rows.join(best, F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    with scratch(docs.sparkSession):
+        bounds = materialize(thresholds(sketches(rows)), "quality-thresholds", outlive=True)
+    bounds = bounds.withColumnsRenamed({"lang": "l", "source": "s"})
+    joined = rows.join(bounds, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     inside = F.lit(True)
-    for name, (rate, low, _) in RATES.items():
-        inside &= F.expr(rate) <= F.col(f"b.high_{name}")
+    for name, (rate, low, _, _) in RATES.items():
+        inside &= F.expr(rate) <= F.col(f"high_{name}")
         if low is not None:
-            inside &= F.expr(rate) >= F.col(f"b.low_{name}")
+            inside &= F.expr(rate) >= F.col(f"low_{name}")
+    base = F.expr(BASE)
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.coalesce(inside, F.lit(False))).alias("kept"))
 
 
@@ -138,7 +166,7 @@ v AS (
   SELECT *, (1000 * n_symbols) // greatest(word_chars, 1) AS symbols, (100 * word_chars) // greatest(n_words, 1) AS word_length,
     (1000 * n_dup_lines) // greatest(n_lines, 1) AS dup_lines
   FROM m),
-x AS (UNPIVOT (SELECT lang, source, symbols, word_length, dup_lines FROM v WHERE n_words > 0)
+x AS (UNPIVOT (SELECT lang, source, symbols, word_length, dup_lines FROM v WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words))
       ON symbols, word_length, dup_lines INTO NAME rate VALUE value),
 b AS (SELECT lang, source, rate, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket FROM x),
 s AS (
@@ -147,21 +175,23 @@ s AS (
   UNION ALL SELECT 2, NULL, NULL, rate, bucket, count(*) FROM b GROUP BY ALL),
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto,
         sum(n) OVER (PARTITION BY level, lang, source, rate) AS total FROM s),
-q AS (SELECT level, lang, source, rate, total, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3
-      FROM u GROUP BY ALL),
-t AS (
-  SELECT level, lang, source, max(total) AS n,
-    max(greatest(40, q3 + 4 * (q3 - q1))) FILTER (rate = 'symbols') AS symbols,
-    max(greatest(1500, q3 + 4 * (q3 - q1))) FILTER (rate = 'word_length') AS longest,
-    max(least(150, q1 - 4 * (q3 - q1))) FILTER (rate = 'word_length') AS shortest,
-    max(greatest(500, q3 + 4 * (q3 - q1))) FILTER (rate = 'dup_lines') AS dup_lines
-  FROM q GROUP BY ALL),
-k AS (
-  SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    CASE WHEN t0.n >= 100 THEN t0 WHEN t1.n >= 100 THEN t1 ELSE t2 END AS t
-  FROM v LEFT JOIN t t0 ON t0.level = 0 AND t0.lang IS NOT DISTINCT FROM v.lang AND t0.source IS NOT DISTINCT FROM v.source
-    LEFT JOIN t t1 ON t1.level = 1 AND t1.lang IS NOT DISTINCT FROM v.lang LEFT JOIN t t2 ON t2.level = 2)
+p(rate, below, above, times) AS (VALUES ('symbols', NULL, 75, 4), ('word_length', 25, 75, 8), ('dup_lines', NULL, 99, 2)),
+q AS (SELECT level, lang, source, rate, times, total::BIGINT AS n, min(bucket) FILTER (100 * upto >= total * below) AS low,
+        min(bucket) FILTER (100 * upto >= total * 50) AS mid, min(bucket) FILTER (100 * upto >= total * above) AS high
+      FROM u JOIN p USING (rate) GROUP BY ALL),
+q1 AS (SELECT a.lang, a.rate, (a.n * a.low + 40 * z.low) // (a.n + 40) AS low, (a.n * a.mid + 40 * z.mid) // (a.n + 40) AS mid,
+         (a.n * a.high + 40 * z.high) // (a.n + 40) AS high
+       FROM q a JOIN q z ON a.level = 1 AND z.level = 2 AND a.rate = z.rate),
+q0 AS (SELECT a.lang, a.source, a.rate, a.times, (a.n * a.low + 40 * z.low) // (a.n + 40) AS low, (a.n * a.mid + 40 * z.mid) // (a.n + 40) AS mid,
+         (a.n * a.high + 40 * z.high) // (a.n + 40) AS high
+       FROM q a JOIN q1 z ON a.level = 0 AND a.lang IS NOT DISTINCT FROM z.lang AND a.rate = z.rate),
+h AS (SELECT lang, source, rate, low - times * greatest(mid - low, 1, mid // 32) AS least, high + times * greatest(high - mid, 1, mid // 32) AS most FROM q0),
+t AS (SELECT lang, source, max(most) FILTER (rate = 'symbols') AS symbols, max(most) FILTER (rate = 'word_length') AS longest,
+        max(least) FILTER (rate = 'word_length') AS shortest, max(most) FILTER (rate = 'dup_lines') AS dup_lines
+      FROM h GROUP BY ALL),
+k AS (SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, t
+      FROM v LEFT JOIN t ON t.lang IS NOT DISTINCT FROM v.lang AND t.source IS NOT DISTINCT FROM v.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND symbols <= t.symbols AND word_length BETWEEN t.shortest AND t.longest AND dup_lines <= t.dup_lines AS kept
+  NOT base_failed AND coalesce(symbols <= t.symbols AND word_length BETWEEN t.shortest AND t.longest AND dup_lines <= t.dup_lines, false) AS kept
 FROM k
 """
