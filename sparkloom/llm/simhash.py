@@ -15,10 +15,11 @@ Jaccard similarity of at least so much. The fingerprints of two such texts lie t
 (at 0.8 some 10 of 64 bits differ, of unrelated texts 32 plus or minus 4), so each text also has ``BANDS`` band values, each
 of ``BAND`` minima of its shingles' hashes under random permutations: a pair at 0.8 shares one with probability 0.998.
 Texts that share a band value, and fingerprints that the trees find close, are candidates, and the similarity of the whole
-sets decides. Within a band a text is held against one leader, who stands for all that are like them. Those who are not
-like the leader are held against ``SLOTS`` members, and those who are like none of these against a leader of their own,
-round by round, until no band has two of them left. So pairs grow with the texts and not with a group's square, and texts
-with equal sets are one text all the way. A text at the very threshold that is like few of a large group may stay apart.
+sets decides. Within a band all are held against one leader: the text whose band values most others share, which is the
+middle of a group of copies if the group has one. Those who are not like it meet again in the next round under a key of one
+band more, which few but those that are more alike than that share, until no key has two of them left. So pairs grow with
+the texts and not with a group's square, and texts with equal sets are one text all the way. A text at the very threshold
+that is like none of its leaders may stay apart from others that it is like.
 
 Null and empty texts have fingerprint zero and no shingles, and are linked like any other. A row whose id is null gets its
 fingerprint and the component of the others (null if there is none). Very long texts are read whole, in parts. Ties go to
@@ -31,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from itertools import accumulate, count
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +48,8 @@ SEED = 42
 #: most, whose tree and sample (8 MB) the driver holds. At 10 thousand million distinct fingerprints a shard has 150,000 of
 #: them, which take 1 MB.
 SAMPLE, SHARD, MAX_SHARDS = 15, 6_000, 65_536
-#: Bands of near_copies, and minima in each; how many ways there are to choose a band's leader, so that a text meets
-#: several of the texts that it shares its bands with; members of a band that those unlike its leader are held against.
-BANDS, BAND, LEADERS, SLOTS = 16, 5, 4, 32
+#: Bands of near_copies, and minima in each.
+BANDS, BAND = 16, 5
 #: Ids that are sent to all machines take at most so much in memory; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Fingerprints of a block that is compared in full.
@@ -307,12 +307,6 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter((union == 0) | (common >= similarity * union - 1e-9)).select("a", "b")
 
 
-def _leaders(members: DataFrame) -> DataFrame:
-    """One member (b) of each band value that several (uid) have."""
-    each = members.groupBy("band", "value").agg(F.min_by("uid", F.xxhash64("uid", F.col("band") % LEADERS)).alias("b"), F.count("*").alias("n"))
-    return each.filter("n > 1").select("band", "value", "b")
-
-
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (a hash of the text), component_id (the smallest id reachable over texts so alike in their shingles, or the
     row's own if all lack one), kept (of each component the row with the smallest id and th). Written to a table."""
@@ -329,25 +323,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
         near = near.join(owners.toDF("x", "a"), "x").join(owners.toDF("y", "b"), "y").select("a", "b")
         equal = reps.join(owners, "fp").filter("uid <> owner").select(F.col("uid").alias("a"), F.col("owner").alias("b"))
         found = [materialize(alike(near.unionByName(equal).distinct(), sets, similarity), "simhash-links")]
-        # from the bands: every text against one leader of each, who is not like it against SLOTS more, and who is not like
-        # any of these against a leader of their own kind, round by round
-        members = materialize(reps.select("uid", F.posexplode("bands").alias("band", "value")), "simhash-members")
-        slot = F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(SLOTS))
-        slots = members.groupBy("band", "value", slot.alias("slot")).agg(F.min_by("uid", F.xxhash64("uid")).alias("b"))
-        rest, where, leaders = members, None, _leaders(members)
-        for step in count():
-            asked = rest.join(leaders, ["band", "value"]).filter("uid <> b").select("band", "value", F.col("uid").alias("a"), "b")
-            asked = materialize(asked, "simhash-asked")
-            if where:
-                remove(spark, where)
+        # from the bands, round by round, each with one band more in its key
+        bands_of = reps.select("uid", "bands")
+        members = reps.select("uid", F.posexplode("bands").alias("band", "value"))
+        shared = members.groupBy("band", "value").agg(F.count("*").alias("n"))
+        company = members.join(shared, ["band", "value"]).groupBy("uid").agg(F.sum("n").alias("company"))
+        members, where = reread(members.join(company, "uid"), "simhash-members")
+        for step in range(1, BANDS + 1):
+            leaders = members.groupBy("band", "value").agg(F.max_by("uid", F.struct("company", F.xxhash64("uid"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+            asked = materialize(members.join(leaders, ["band", "value"]).filter("uid <> b").select("band", "company", F.col("uid").alias("a"), "b"), "simhash-asked")
+            remove(spark, where)
             if asked.isEmpty():
                 break
-            linked = materialize(alike(asked.select("a", "b").distinct(), sets, similarity), "simhash-links")
-            found.append(linked)
-            answered = asked.join(linked, ["a", "b"]).select("band", "value", "a").distinct()
-            rest = asked.select("band", "value", "a").distinct().join(answered, ["band", "value", "a"], "left_anti")
-            rest, where = reread(rest.withColumnRenamed("a", "uid"), "simhash-rest")
-            leaders = slots.select("band", "value", "b") if not step else _leaders(rest)
+            found.append(materialize(alike(asked.select("a", "b").distinct(), sets, similarity), "simhash-links"))
+            rest = asked.join(found[-1], ["a", "b"], "left_anti").select(F.col("a").alias("uid"), "band", "company")
+            key = F.xxhash64(F.slice(F.concat("bands", "bands"), F.col("band") + 1, F.lit(step + 1)))
+            members, where = reread(rest.join(bands_of, "uid").select("uid", "band", key.alias("value"), "company"), "simhash-members")
         label = components(reduce(DataFrame.unionByName, found))
         label = materialize(texts.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid")), "simhash-label")
         low = label.groupBy("component").agg(F.min(F.struct("last", "doc_id", "th")).alias("low"))
