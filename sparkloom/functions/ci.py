@@ -222,3 +222,8 @@ def pipeline_markdown(p: Column) -> Column:
     listed = lambda c: F.array_join(F.transform(p[c], lambda n: F.concat(F.lit("- "), n)), "\n")
     stages = F.array_join(F.transform(p["stages"], lambda s: stage_markdown(s, F.lit(None).cast("string"))), "\n\n")
     return F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce(p["build_tag"], F.lit("unnamed")), F.lit(" ("), p["finish_status"], F.lit(")")), F.lit("## Failed Stages"), listed("failed"), F.lit("## Skipped Stages"), listed("skipped"), F.lit("## Summary"), p["summary"], F.lit("## Stages"), stages)
+
+
+def pipeline_json(pipeline: Column) -> Column:
+    """A pipeline's summary as JSON: its tag, how it finished, and the stages that failed or were skipped."""
+    return F.to_json(F.struct(*(pipeline[c].alias(c) for c in ("build_tag", "finish_status", "failed", "skipped"))))

@@ -23,6 +23,7 @@ REVIEW = ("logic-changed", "signature-or-visibility-changed", "control-flow-chan
 TEST_PARTS = ("/test/", "/tests/", "__tests__/")
 TEST_ENDS = ("tests.cs", "test.cs", ".spec.ts", ".spec.tsx", ".test.ts", ".test.tsx", ".spec.js", ".test.js", ".spec.jsx", ".test.jsx")
 
+# How series, numbered headings, addresses and thoughts are written.
 SERIES = r"(?i)\b(S[3-6]|Series [3-6]|series_[3-6])\b"
 HEADER = r"^(#+)\s+(?:\d+(?:\.\d+)*\.?\s+)?(.*)$"
 URL = r"https?://[^\s<>\"'\])}]+"
@@ -39,11 +40,13 @@ def has_series(text: Column) -> Column:
     return F.coalesce(text.rlike(SERIES), F.lit(False))
 
 
-def series_union(title: Column, prefixes: Column, labels: Column) -> Column:
-    """Series named by a title, given as prefixes, or named by labels (null: none): each once, in that order."""
+def series_union(title: Column, prefixes: Column, labels: Column, labels_first: bool = False) -> Column:
+    """Series named by a title, given as prefixes, or named by labels (null: none): each once, in that order, or with labels
+    before prefixes, as requirements and designs have it."""
     none = F.array().cast("array<string>")
     named = F.flatten(F.transform(F.coalesce(labels, none), lambda x: series_of(x)))
-    return F.array_distinct(F.concat(F.coalesce(series_of(title), none), F.coalesce(prefixes, none), named))
+    given = F.coalesce(prefixes, none)
+    return F.array_distinct(F.concat(F.coalesce(series_of(title), none), *((named, given) if labels_first else (given, named))))
 
 
 def header_level(line: Column) -> Column:
@@ -115,6 +118,12 @@ def urls_of(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda u: u.rlike(r"^https?://[^/]")))
 
 
+def wiki_urls_of(text: Column, host: str) -> Column:
+    """Addresses in a text that are pages of the wiki on the host."""
+    low = host.lower()
+    return F.filter(urls_of(text), lambda u: F.regexp_extract(F.lower(u), "^https?://([^/:?#]+)", 1) == low)
+
+
 def issue_keys(text: Column, prefix: str = "ISW") -> Column:
     """Keys of issues in order of appearance, repeats included."""
     return F.regexp_extract_all(text, F.lit(rf"(?i){prefix}-\d+"), F.lit(0))
@@ -289,6 +298,15 @@ def fahrenheit(celsius: Column) -> Column:
     return F.lit(32) + (celsius / 0.5556).cast("int")
 
 
+def from_epoch_seconds(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
+def seconds_left(reset: Column, now: Column) -> Column:
+    """Seconds from now until a limit is reset, none if that is past."""
+    return F.greatest(F.lit(0).cast("long"), F.unix_seconds(reset.cast("timestamp")) - F.unix_seconds(now.cast("timestamp")))
+
+
 def base64_text(content: Column) -> Column:
     """Text from base64 with line breaks in it; nothing for a missing file."""
     return F.coalesce(F.decode(F.unbase64(F.regexp_replace(content, r"[\r\n]", "")), "UTF-8"), F.lit(""))

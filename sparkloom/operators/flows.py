@@ -59,3 +59,112 @@ def pull_request_view(pulls: DataFrame, comments: DataFrame, marker: str, by: st
 def as_json(rows: DataFrame, *hidden: str) -> DataFrame:
     """Rows as JSON texts without the hidden columns."""
     return rows.drop(*hidden).select(F.to_json(F.struct("*")).alias("json"))
+
+
+# Classes of a change by how much review they need, the most first.
+CLASSES = ("logic", "interface", "tests", "formatting")
+CLASSIFIED = "class string, reason string"
+COMMENTS = "array<struct<line:int,text:string>>"
+
+
+def search_query(question: Column, endpoint: models.Chat) -> Column:
+    """struct(query, optimised): the question as it is searched for, and as a model would put it, which is only reported."""
+    return F.struct(question.alias("query"), models.complete(F.concat(F.lit("Put as a search query:\n"), question), endpoint).alias("optimised"))
+
+
+def background_samples(samples: DataFrame, index: DataFrame, endpoint: models.Chat) -> DataFrame:
+    """Backgrounds (series, title, sample) that the index does not have yet, in a model's words; those it has are not asked
+    for again."""
+    fresh = samples.join(index.select("series", "title").distinct(), ["series", "title"], "left_anti")
+    prompt = F.concat(F.lit("Rephrase the background of "), "title", F.lit(":\n"), "sample")
+    return fresh.withColumn("background", models.complete(prompt, endpoint))
+
+
+def _is_class(prompt: str, answer: str) -> bool:
+    import json
+
+    try:
+        found = json.loads(answer[answer.find("{") : answer.rfind("}") + 1])
+    except ValueError:
+        return False
+    return isinstance(found, dict) and found.get("class") in CLASSES
+
+
+def classify_files(files: DataFrame, endpoint: models.Chat, tries: int = models.TRIES) -> DataFrame:
+    """Files (name, diff) with their class and the reason for it. What a model does not classify in so many tries needs the
+    most review."""
+    prompt = F.concat(F.lit("Classify "), "name", F.lit("\n"), F.coalesce("diff", F.lit("")))
+    answer = models.accepted(prompt, endpoint, _is_class, tries)
+    found = files.withColumn("_c", F.from_json(F.regexp_extract(answer, r"(?s)\{.*\}", 0), CLASSIFIED))
+    return found.withColumn("class", F.coalesce("_c.class", F.lit(CLASSES[0]))).withColumn("reason", F.coalesce("_c.reason", F.lit("not classified"))).drop("_c")
+
+
+def overview(files: DataFrame, endpoint: models.Chat, limit: int, by: str = "number", finals: tuple[str, ...] = ("Shorten:",)) -> DataFrame:
+    """One overview of each pull request from its files' summaries (name, summary): packed into contexts in order of their
+    names, a draft of the first and a refinement for each that follows, and final prompts."""
+    listed = F.array_sort(F.collect_list(F.struct("name", "summary")))
+    rows = files.groupBy(by).agg(F.transform(listed, lambda x: x["summary"]).alias("texts"))
+    rows = rows.withColumn("bin", packing.bins(F.transform("texts", lambda x: F.octet_length(x)), limit))
+    texts = F.transform(F.array_distinct("bin"), lambda b: F.array_join(F.transform(F.filter(F.arrays_zip("texts", "bin"), lambda x: x["bin"] == b), lambda x: x["texts"]), "\n"))
+    # an exchange of its own, since Spark does not take a Python function out of what it folds into the aggregate; it also
+    # spreads the calls
+    packed = rows.select(by, texts.alias("contexts")).repartition(F.col(by))
+    return packed.select(by, models.refined(F.col("contexts"), endpoint, "Draft:", "Refine:", finals).alias("overview"))
+
+
+def _on_lines(prompt: str, answer: str) -> bool:
+    import json
+    import re
+
+    marks = {int(x) for x in re.findall(r"^\[L(\d+)\]", prompt, re.M)}
+    try:
+        found = json.loads(answer[answer.find("[") : answer.rfind("]") + 1])
+        return all(x["line"] in marks and str(x["text"]).strip() for x in found)
+    except (ValueError, TypeError, KeyError):
+        return False
+
+
+def line_comments(files: DataFrame, endpoint: models.Chat, tries: int = models.TRIES) -> DataFrame:
+    """Comments (line, text) on files whose diff has markers; an answer with a line that the diff does not have is asked for
+    again, and a file without a valid answer has no comments."""
+    answer = models.accepted(F.concat(F.lit("Review "), "name", F.lit("\n"), "diff"), endpoint, _on_lines, tries)
+    comments = F.from_json(F.regexp_extract(answer, r"(?s)\[.*\]", 0), COMMENTS)
+    return files.select(*(c for c in files.columns if c != "diff"), F.explode(comments).alias("_x")).select("*", "_x.line", "_x.text").drop("_x")
+
+
+def review_plan(files: DataFrame, endpoint: models.Chat, worst: int, by: str = "number") -> DataFrame:
+    """A plan for the review of each pull request, over its files of no lower class (min_class) than so much."""
+    asked = files.filter(F.col("min_class") <= worst)
+    listed = F.array_sort(F.collect_list(F.struct("min_class", "name")))
+    rows = asked.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["name"]), "\n").alias("_names"))
+    return rows.select(by, models.complete(F.concat(F.lit("Plan the review of:\n"), "_names"), endpoint).alias("plan"))
+
+
+def better_prompt(prompt: Column, endpoint: models.Chat) -> Column:
+    """A system prompt as the model itself would put it."""
+    return models.complete(F.concat(F.lit("Improve this prompt for yourself:\n"), prompt), endpoint)
+
+
+def diagnostics(events: DataFrame, by: str, time: str = "time") -> DataFrame:
+    """What happened, in order of time within each run, and the milliseconds since what came before."""
+    w = Window.partitionBy(by).orderBy(time, "name")
+    since = F.unix_millis(F.col(time).cast("timestamp")) - F.unix_millis(F.lag(time).over(w).cast("timestamp"))
+    return events.withColumn("place", F.row_number().over(w)).withColumn("ms", F.coalesce(since, F.lit(0).cast("long")))
+
+
+def json_schema(rows: DataFrame) -> str:
+    """The rows' JSON schema, which a model is told to answer by."""
+    import json
+
+    kinds = {"string": "string", "boolean": "boolean", "double": "number", "float": "number", "integer": "integer", "long": "integer", "short": "integer", "byte": "integer"}
+
+    def of(kind: dict | str) -> dict:
+        if isinstance(kind, str):
+            return {"type": kinds.get(kind, "string")}
+        if kind["type"] == "array":
+            return {"type": "array", "items": of(kind["elementType"])}
+        if kind["type"] == "struct":
+            return {"type": "object", "properties": {f["name"]: of(f["type"]) for f in kind["fields"]}, "required": [f["name"] for f in kind["fields"]]}
+        return {"type": "object"}
+
+    return json.dumps(of(json.loads(rows.schema.json())))

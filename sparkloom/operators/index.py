@@ -11,6 +11,11 @@ def missing(samples: DataFrame, index: DataFrame, keys: tuple[str, ...] = ("seri
     return samples.join(index.select(*keys), list(keys), "left_anti")
 
 
+def missing_titles(samples: DataFrame, index: DataFrame, title: str = "title") -> DataFrame:
+    """Title samples that the index does not have, whatever their series."""
+    return samples.join(index.select(title).distinct(), title, "left_anti")
+
+
 def duplicates(samples: DataFrame, keys: tuple[str, ...] = ("series", "sample")) -> DataFrame:
     return samples.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts sent in one request, and repairs of an answer that does not parse.
-BATCH, REPAIRS = 1024, 5
+BATCH, REPAIRS, TRIES = 1024, 5, 3
+#: Stands at the end of a prompt that is asked again, once for each answer that was of no use.
+RETRY = "\nThe answer was not valid, try again."
 
 
 class Embedder(Protocol):
@@ -54,6 +56,34 @@ class StubChat:
         return out
 
 
+class ScriptedChat:
+    """Answers by a rule (prompt, attempt) of the caller's, attempts being counted by prompts that begin alike."""
+
+    def __init__(self, rule):
+        self.rule = rule
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        return [self.rule(p.split(RETRY)[0], p.count(RETRY)) for p in prompts]
+
+
+def embedder(kind: str, **settings) -> Embedder:
+    """The embedding endpoint of a kind: one that the caller gives, or the stand-in; any other kind is an error."""
+    if kind == "given":
+        return settings["endpoint"]
+    if kind == "stub":
+        return StubEmbedder(**settings)
+    raise ValueError(f"unknown kind of embedding endpoint: {kind}")
+
+
+def chat(kind: str, **settings) -> Chat:
+    """The chat endpoint of a kind, as embedder()."""
+    if kind == "given":
+        return settings["endpoint"]
+    if kind == "stub":
+        return StubChat()
+    raise ValueError(f"unknown kind of chat endpoint: {kind}")
+
+
 def chat_options(preset: str, seed: int | None = None) -> dict[str, float | int]:
     """Sampling settings by name: greedy, controlled, or of low entropy."""
     known = {"greedy": {"temperature": 0.0, "top_p": 1.0, "top_k": 1}, "controlled": {"temperature": 0.2, "top_p": 0.9, "top_k": 40}, "low_entropy": {"temperature": 0.1, "top_p": 0.5, "top_k": 10}}
@@ -103,6 +133,43 @@ def structured(answer: Column, schema: str, endpoint: Chat, repairs: int = REPAI
     return F.from_json(run(answer), schema)
 
 
+def accepted(prompt: Column, endpoint: Chat, valid, tries: int = TRIES) -> Column:
+    """The first answer that is valid (a function of prompt and answer), asked for so many times at most; null without."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in parts:
+            asked = prompts.fillna("").tolist()
+            out: list[str | None] = [None] * len(asked)
+            for attempt in range(tries):
+                open_ = [i for i, x in enumerate(out) if x is None]
+                for i, a in zip(open_, endpoint.complete([asked[i] + RETRY * attempt for i in open_]) if open_ else [], strict=True):
+                    out[i] = a if valid(asked[i], a) else None
+            yield pd.Series(out, dtype=object)
+
+    return run(prompt)
+
+
+def refined(contexts: Column, endpoint: Chat, first: str, following: str, finals: tuple[str, ...] = ()) -> Column:
+    """One answer from an array of contexts: a draft of the first, refined with each that follows, and given to each final
+    prompt in turn. No contexts give null."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in parts:
+            out = []
+            for texts in rows:
+                answer = None
+                for i, text in enumerate(texts if texts is not None else []):
+                    answer = endpoint.complete([f"{first}\n{text}" if not i else f"{following}\n{answer}\n{text}"])[0]
+                for final in finals if answer is not None else ():
+                    answer = endpoint.complete([f"{final}\n{answer}"])[0]
+                out.append(answer)
+            yield pd.Series(out, dtype=object)
+
+    return run(contexts)
+
+
 def merge(answers: DataFrame, by: str, order: str, answer: str, endpoint: Chat) -> DataFrame:
     """One answer from those that are not empty, in order, for each key."""
     given = F.array_sort(F.collect_list(F.when(F.trim(answer) != "", F.struct(order, answer))))

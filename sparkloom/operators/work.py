@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import has_marker, is_merge, is_start_process, urls_of
+from sparkloom.functions.text import has_marker, is_merge, is_start_process, page_id_of, urls_of
 
 
 def with_epics(issues: DataFrame, epics: DataFrame, key: str = "epic_key") -> DataFrame:
@@ -123,6 +123,98 @@ def suite_cases(suites: DataFrame, cases: DataFrame, refs: str | None = None) ->
     return suites.join(chosen, "suite_id")
 
 
-def review_order(files: DataFrame) -> DataFrame:
-    """Reviews by risk, then by the lowest class, then by file."""
-    return files.orderBy("risk", "min_class", "file")
+def review_order(files: DataFrame, by: str = "pr") -> DataFrame:
+    """Reviews with their place within a pull request: by risk, then by the lowest class, then by file."""
+    return files.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("risk", "min_class", "file")))
+
+
+def file_order(files: DataFrame, by: str = "number") -> DataFrame:
+    """Files (class, name, diff) with their place by class and by the length of the diff, the longest first."""
+    w = Window.partitionBy(by)
+    return files.withColumn("by_class", F.row_number().over(w.orderBy("class", "name"))).withColumn("by_length", F.row_number().over(w.orderBy(F.desc(F.length("diff")), "name")))
+
+
+def commit_order(commits: DataFrame, by: str = "number") -> DataFrame:
+    """Commits (sha, date) with their place by author date, the oldest first, and the newest first."""
+    w = Window.partitionBy(by)
+    return commits.withColumn("oldest_first", F.row_number().over(w.orderBy("date", "sha"))).withColumn("newest_first", F.row_number().over(w.orderBy(F.desc("date"), F.desc("sha"))))
+
+
+def in_time_order(rows: DataFrame, time: str, *columns: str, by: str = "number") -> DataFrame:
+    """Of each pull request an array of its reviews or comments, the oldest first; ties in order of the columns."""
+    listed = F.array_sort(F.collect_list(F.struct(time, *columns)))
+    return rows.groupBy(by).agg(listed.alias("entries"))
+
+
+def with_diffs(files: DataFrame, diffs: DataFrame, by: tuple[str, ...] = ("number", "name")) -> DataFrame:
+    """Files with their diffs (column diff), one to one: a file that is named twice, or has no diff or several, is an error."""
+    own = files.withColumn("_m", F.count("*").over(Window.partitionBy(*by)))
+    held = diffs.groupBy(*by).agg(F.count("*").alias("_n"), F.first("diff").alias("_d"))
+    joined = own.join(held, list(by), "left")
+    wrong = F.raise_error(F.concat(F.lit("no single diff for "), F.col(by[-1]).cast("string")))
+    return joined.withColumn("diff", F.when((F.col("_m") == 1) & (F.col("_n") == 1), F.col("_d")).otherwise(wrong)).drop("_m", "_n", "_d")
+
+
+def changed_files(added: DataFrame, modified: DataFrame, deleted: DataFrame) -> DataFrame:
+    """All files of a change, those added first, with what was done to them."""
+    parts = [(added, "Added"), (modified, "Modified"), (deleted, "Deleted")]
+    first, *rest = (rows.withColumn("change", F.lit(name)) for rows, name in parts)
+    for rows in rest:
+        first = first.unionByName(rows)
+    return first
+
+
+def with_content(reviews: DataFrame, text: str = "review", comments: str = "comments") -> DataFrame:
+    """Reviews that say something: in their text or in comments on lines."""
+    nothing = (F.trim(F.coalesce(text, F.lit(""))) == "") & (F.coalesce(F.size(comments), F.lit(0)) <= 0)
+    return reviews.filter(~nothing)
+
+
+def comments_by_line(comments: DataFrame, *by: str) -> DataFrame:
+    """The comments (id, body) on each line as a list, in order of their ids."""
+    listed = F.array_sort(F.collect_list(F.struct("id", "body")))
+    return comments.groupBy(*by, "line").agg(F.transform(listed, lambda x: x["body"]).alias("bodies"))
+
+
+def change_counts(files: DataFrame) -> DataFrame:
+    """How many files each class of change has, in order of the class."""
+    return files.groupBy("change_type").agg(F.count("*").alias("n")).orderBy("change_type")
+
+
+def touched(files: DataFrame, commits: DataFrame, by: str = "number") -> DataFrame:
+    """Files (number, name), and whether any commit (number, files) touches that name, in any case."""
+    names = commits.select(by, F.explode("files").alias("_f")).select(by, F.lower("_f").alias("_f"), F.lit(True).alias("_t")).distinct()
+    keyed = files.withColumn("_f", F.lower("name"))
+    return keyed.join(names, [by, "_f"], "left").withColumn("touched", F.coalesce("_t", F.lit(False))).drop("_f", "_t")
+
+
+def lookup(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """What is known of each key that is asked for, nulls if nothing is. Keys compare without blanks around them and in
+    any case."""
+    bare = lambda c: F.lower(F.trim(c))
+    known = rows.withColumnRenamed(key, "_known").withColumn("_k", bare(F.col("_known")))
+    return keys.select(F.col(key)).join(known, bare(F.col(key)) == F.col("_k"), "left").drop("_k", "_known")
+
+
+def sprint_issues(issues: DataFrame, sprints: DataFrame, state: str = "active", users: list[str] | None = None) -> DataFrame:
+    """Issues of the sprints in a state, of the users if any are named (none for an empty list)."""
+    if users is not None:
+        issues = issues.filter(F.col("assignee").isin(*users)) if users else issues.limit(0)
+    return issues.join(sprints.filter(F.col("state") == state).select("sprint_id"), "sprint_id", "left_semi")
+
+
+def linked_documents(issues: DataFrame, docs: DataFrame, *texts: str, declared: str | None = None) -> DataFrame:
+    """Issues' keys with the documents (page_id, title) that their addresses name by page."""
+    links = links_of(issues, *texts, declared=declared).withColumn("page_id", page_id_of(F.col("url")).cast("long"))
+    return links.join(docs.select("page_id", "title"), "page_id")
+
+
+def nested(pulls: DataFrame, by: tuple[str, ...] = ("repo", "number"), **parts: DataFrame) -> DataFrame:
+    """Pull requests with all that was read for them: an array for each named part (comments, reviews, commits, files; all
+    with the columns of by and a column at that orders them), empty where there is nothing."""
+    out = pulls
+    for name, rows in parts.items():
+        own = F.struct("at", *(c for c in rows.columns if c not in (*by, "at")))
+        listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(own)).alias(name))
+        out = out.join(listed, list(by), "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out

@@ -168,11 +168,9 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT *, row_number() OVER (PARTITION BY pr ORDER BY risk, min_class, file)::INTEGER AS place FROM f"""
 )
 def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     li = table(spark, sf_dir, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("pr"), F.col("l_linenumber").alias("file"), (F.col("l_suppkey") % 4).alias("risk"), F.expr("shiftleft(1, l_linenumber - 1)").alias("min_class"))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("pr").orderBy("risk", "min_class", "file")))
+    return work.review_order(rows)
 
 
 @query("SELECT l_returnflag AS change_type, count(*)::BIGINT AS n, sum(l_quantity)::BIGINT AS additions, count(DISTINCT l_partkey)::BIGINT AS files FROM lineitem GROUP BY 1")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -15,26 +16,35 @@ from sparkloom.sources.paged import resolve
 
 
 class PollReader(SimpleDataSourceStreamReader):
-    """Each read is one poll; the offset counts rows, and a replay asks the service for the same rows again."""
+    """Each read is one poll. A service lists what is pending now, so its list shrinks as well as grows: a list that differs
+    from the last one is given whole, under the next batch number, and one that does not is no news. A batch is kept until
+    it is committed, so that a replay gives the same rows; after a restart, when it is lost, what is pending then."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.held: dict[int, list[str]] = {}
 
     def initialOffset(self) -> dict:
-        return {"seen": 0}
+        return {"batch": 0, "digest": ""}
 
-    def _all(self) -> list:
-        return json.loads(resolve(self.options["fetch"])(self.options.get("address", "")))
+    def _pending(self) -> list[str]:
+        return [json.dumps(r, sort_keys=True) for r in json.loads(resolve(self.options["fetch"])(self.options.get("address", "")))]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._all()[start["seen"] :]
-        return iter([(json.dumps(r),) for r in rows]), {"seen": start["seen"] + len(rows)}
+        rows = self._pending()
+        digest = hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest() if rows else ""
+        if digest == start["digest"]:
+            return iter([]), start
+        self.held[start["batch"] + 1] = rows
+        return iter([(r,) for r in rows]), {"batch": start["batch"] + 1, "digest": digest}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(json.dumps(r),) for r in self._all()[start["seen"] : end["seen"]]])
+        wanted = range(start["batch"] + 1, end["batch"] + 1)
+        rows = [r for n in wanted for r in self.held[n]] if all(n in self.held for n in wanted) else self._pending()
+        return iter([(r,) for r in rows])
 
     def commit(self, end: dict) -> None:
-        pass
+        self.held = {n: rows for n, rows in self.held.items() if n > end["batch"]}
 
 
 class PollSource(DataSource):
@@ -57,15 +67,20 @@ def requests(spark: SparkSession, fetch: str, address: str = "") -> DataFrame:
     return raw.select(F.from_json("json", "repo string, number int, last_commit timestamp").alias("r")).select("r.*")
 
 
-def review(stream: DataFrame, placeholder: Callable[[DataFrame], None], process: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], seconds: int = 30) -> DataStreamWriter:
+def review(stream: DataFrame, placeholder: Callable[[DataFrame], None], process: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], seconds: int = 30, progress: Callable[[str, int], None] = lambda step, batch: None) -> DataStreamWriter:
     """Micro-batches every so many seconds: each pull request of a batch once, its placeholder first. process() keeps
-    failures in its rows, so one request's does not stop others."""
+    failures in its rows, so one request's does not stop others. progress() is told of each step of a batch."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         each = batch.dropDuplicates(["repo", "number"]).persist()
         try:
+            progress("placeholder", epoch)
             placeholder(each)
-            publish(process(each))
+            progress("process", epoch)
+            done = process(each)
+            progress("publish", epoch)
+            publish(done)
+            progress("done", epoch)
         finally:
             each.unpersist()
 

@@ -221,3 +221,70 @@ def test_changed_only(spark, tmp_path):
         assert sorted(str(r["last_commit"]) for r in spark.table("changed").collect()) == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]
     finally:
         q.stop()
+
+
+def test_deep_trees_and_circles(spark):
+    """A chain of 1,500 nodes, a circle with a tail, and a parent that is no node."""
+    chain = [(i, i - 1 if i else None) for i in range(1500)]
+    rows = [*chain, (9001, 9002), (9002, 9003), (9003, 9001), (9004, 9001), (9100, 77_777), (5, 4), (5, 1400)]
+    e = spark.createDataFrame(rows, "id long, parent long")
+    depth = {r["id"]: r["depth"] for r in tree.depths(e).collect()}
+    assert all(depth[i] == i for i in range(1500)) and depth[9100] == 0 and {depth[i] for i in (9001, 9002, 9003, 9004)} == {None}
+    near = {r["id"]: r["ancestor"] for r in tree.nearest_ancestor(e, spark.createDataFrame([(0,), (700,), (9002,)], "id long")).collect()}
+    assert near[1] == near[700] == 0 and near[701] == near[1499] == 700 and 0 not in near
+    assert {near[i] for i in (9001, 9002, 9003, 9004)} == {9002}
+    flags = spark.createDataFrame([(1499, True, False), (9004, False, True)], "id long, a boolean, b boolean")
+    below = {r["id"]: (r["below_a"], r["below_b"]) for r in tree.any_below(e, flags, "a", "b").collect()}
+    assert all(below[i] == (True, False) for i in range(1499)) and below[1499] == (False, False)
+    assert {below[i] for i in (9001, 9002, 9003)} == {(False, True)} and below[9004] == (False, False)
+
+
+def pending_in_file(address: str) -> str:
+    from pathlib import Path
+
+    return Path(address).read_text()
+
+
+def test_polling_of_a_list_that_shrinks_and_grows(spark, tmp_path):
+    import json
+
+    from sparkloom.streaming.polling import PollReader
+
+    at = tmp_path / "pending.json"
+    reader = PollReader({"fetch": "tests.test_operators:pending_in_file", "address": str(at)})
+
+    def poll(offset: dict, numbers: list[int]) -> tuple[list[int], dict]:
+        at.write_text(json.dumps([{"repo": "r", "number": n} for n in numbers]))
+        rows, following = reader.read(offset)
+        return [json.loads(r)["number"] for (r,) in rows], following
+
+    first, a = poll(reader.initialOffset(), [1, 2, 3, 4, 5])
+    second, b = poll(a, [3, 4, 9])
+    third, c = poll(b, [9, 4, 3])
+    assert (first, second, third) == ([1, 2, 3, 4, 5], [3, 4, 9], []) and c == b
+    assert [json.loads(r)["number"] for (r,) in reader.readBetweenOffsets(a, b)] == [3, 4, 9]
+    reader.commit(b)
+    fourth, d = poll(b, [])
+    fifth, _ = poll(d, [3])
+    assert (fourth, fifth) == ([], [3])
+
+
+def test_strict_join_of_files_and_diffs(spark):
+    from sparkloom.operators import work
+
+    files = spark.createDataFrame([(1, "a"), (1, "b")], "number int, name string")
+    diffs = [(1, "a", "x"), (1, "b", "y")]
+    schema = "number int, name string, diff string"
+    assert work.with_diffs(files, spark.createDataFrame(diffs, schema)).count() == 2
+    for f, d in ((files, diffs[:1]), (files, [*diffs, (1, "a", "z")]), (files.union(files), diffs)):
+        with pytest.raises(Exception, match="no single diff"):
+            work.with_diffs(f, spark.createDataFrame(d, schema)).collect()
+
+
+def test_endpoints_by_kind():
+    assert models.embedder("stub", dimensions=4).dimensions == 4 and models.chat("stub").complete(["a b"]) == ["3: a b"]
+    given = models.StubChat()
+    assert models.chat("given", endpoint=given) is given
+    for f in (models.embedder, models.chat):
+        with pytest.raises(ValueError, match="unknown kind"):
+            f("other")
