@@ -78,43 +78,7 @@ def embedding_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.quality(table(spark, sf_dir, "embeddings"), "embedding", 64)
 
 
-#: Samples of documents under one to four series, from their numbers.
-_SAMPLES = "SELECT doc_id, unnest(list_slice(['S3', 'S4', 'S5', 'S6'], 1, (doc_id % 4 + 1)::INT)) AS series, substring(text, 1, 40) AS sample FROM documents"
-
-
-def _prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = F.slice(F.array(*map(F.lit, ("S3", "S4", "S5", "S6"))), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(series).alias("series"), F.substring("text", 1, 40).alias("sample"))
-
-
-@query(f"WITH s AS ({_SAMPLES}), i AS (SELECT * FROM s WHERE doc_id % 3 = 0) SELECT doc_id, series, sample FROM s ANTI JOIN i USING (series, sample)")
-def index_incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _prefixed(spark, sf_dir)
-    return index.missing(s, s.filter("doc_id % 3 = 0"))
-
-
-@query(f"WITH s AS ({_SAMPLES}) SELECT series, sample, count(*)::BIGINT AS n FROM s GROUP BY ALL HAVING count(*) > 1")
-def dup_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.duplicates(_prefixed(spark, sf_dir))
-
-
-@query(
-    f"""WITH s AS ({_SAMPLES}), o AS (SELECT series, sample AS sampling, max(doc_id) AS ts, 'old' AS origin FROM s WHERE doc_id % 2 = 0 GROUP BY ALL),
-    n AS (SELECT series, sample AS sampling, max(doc_id) AS ts, 'new' AS origin FROM s WHERE doc_id % 5 = 0 GROUP BY ALL)
-    SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (series, sampling)"""
-)
-def index_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _prefixed(spark, sf_dir).select("series", F.col("sample").alias("sampling"), F.col("doc_id").alias("ts"))
-    held = s.filter("ts % 2 = 0").groupBy("series", "sampling").agg(F.max("ts").alias("ts")).withColumn("origin", F.lit("old"))
-    return index.upsert(held, s.filter("ts % 5 = 0").withColumn("origin", F.lit("new")))
-
-
-@query(f"WITH s AS ({_SAMPLES}) SELECT series, count(*)::BIGINT AS n, CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches FROM s GROUP BY series")
-def upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.batches(_prefixed(spark, sf_dir), 100)
-
-
-#: The same with whole texts.
+#: Whole texts of documents under one to four series, from their numbers.
 _WHOLE = "SELECT doc_id, unnest(list_slice(['S3', 'S4', 'S5', 'S6'], 1, (doc_id % 4 + 1)::INT)) AS series, text AS sample FROM documents"
 
 
@@ -124,7 +88,7 @@ def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH s AS ({_WHOLE}), i AS (SELECT series, text AS sample FROM documents CROSS JOIN (VALUES ('S3'), ('S5')) t(series) JOIN labels USING (doc_id)) SELECT doc_id, series, sample FROM s ANTI JOIN i USING (series, sample)")
-def index_incremental_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole texts that an index of the labelled documents under two series does not hold."""
     known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
     held = known.select(F.explode(F.array(F.lit("S3"), F.lit("S5"))).alias("series"), F.col("text").alias("sample"))
@@ -132,7 +96,7 @@ def index_incremental_anti_join_whole(spark: SparkSession, sf_dir: str) -> DataF
 
 
 @query(f"WITH s AS ({_WHOLE}) SELECT series, sample, count(*)::BIGINT AS n FROM s GROUP BY ALL HAVING count(*) > 1")
-def dup_samples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dup_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.duplicates(_whole(spark, sf_dir))
 
 
@@ -141,7 +105,7 @@ def dup_samples_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     n AS (SELECT series, sample AS sampling, max(doc_id) AS ts, 'new' AS origin FROM s JOIN labels USING (doc_id) GROUP BY series, sample)
     SELECT * FROM n UNION ALL SELECT o.* FROM o ANTI JOIN n USING (series, sampling)"""
 )
-def index_upsert_last_wins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of the labelled documents put into an index that holds those of all."""
     s = _whole(spark, sf_dir).select("series", F.col("sample").alias("sampling"), F.col("doc_id").alias("ts"))
     held = s.groupBy("series", "sampling").agg(F.max("ts").alias("ts")).withColumn("origin", F.lit("old"))
@@ -150,27 +114,16 @@ def index_upsert_last_wins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH s AS ({_WHOLE}) SELECT series, count(*)::BIGINT AS n, CAST(ceil(count(*) / 100.0) AS BIGINT) AS batches FROM s GROUP BY series")
-def upsert_batches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upsert_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.batches(_whole(spark, sf_dir), 100)
 
 
-@query(
-    """SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest(['', 'Title ' || doc_id, 'Title ' || doc_id || ' > Requirements', 'Title ' || doc_id || ' > Notes']) AS key,
-    unnest(['intro', trim(string_split(text, chr(10))[1], chr(10) || ' '), trim(coalesce(string_split(text, chr(10))[2], 'none'), chr(10) || ' '), '']) AS content FROM documents"""
-)
-def markdown_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id").cast("string")
-    lines = F.split("text", "\n")
-    md = F.concat(F.lit("intro\n# 1. Title "), i, F.lit("\n"), F.get(lines, F.lit(0)), F.lit("\n## 1.1 Requirements\n"), F.coalesce(F.get(lines, F.lit(1)), F.lit("none")), F.lit("\n## Notes\n\n# End"))
-    return segments.explode_segments(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "md", "doc_id")
-
-
 @query(
     """WITH l AS (SELECT doc_id, unnest(range(0, len(t)))::INTEGER AS pos, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))
     SELECT doc_id, pos, CASE pos % 3 WHEN 0 THEN 'Part ' || pos WHEN 1 THEN 'Part ' || (pos - 1) || ' > Requirements ' || pos ELSE 'Part ' || (pos - 2) || ' > Notes ' || pos END AS key,
     trim(line, chr(10) || ' ') AS content FROM l"""
 )
-def markdown_segments_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def markdown_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of all lines of documents, each under a heading of its own."""
 
     def headed(line: Column, i: Column) -> Column:

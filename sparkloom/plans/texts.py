@@ -177,22 +177,12 @@ def ext_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("path", F.expr(_PATH)).select("page_id", X.classifier_of(F.col("path")).alias("classifier"), "path")
 
 
-@query(
-    """SELECT conv_id, turn, trim(left(text, 20), chr(32) || chr(9) || chr(10) || chr(13)) AS before_marker, trim(concat(left(text, 20), chr(10), chr(10), right(text, 10)), chr(32) || chr(9) || chr(10) || chr(13)) AS without_block
-    FROM conversations WHERE text IS NOT NULL AND length(text) > 0"""
-)
-def body_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").filter("text is not null and length(text) > 0")
-    body = F.concat(F.left("text", F.lit(20)), F.lit("<!--Start-->\nchecks\n<!--END-->"), F.right("text", F.lit(10)))
-    return c.select("conv_id", "turn", X.cut_from(body, "<!--start-->").alias("before_marker"), X.cut_between(body, "<!--START-->", "<!--end-->").alias("without_block"))
-
-
 @query(
     """SELECT conv_id, turn, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS before_marker, trim(concat(text, chr(10), chr(10), text), chr(32) || chr(9) || chr(10) || chr(13)) AS without_block
     FROM conversations WHERE text IS NOT NULL AND length(text) > 0"""
 )
-def body_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As body_strip, with the whole text before and after the block."""
+def body_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block cut out of a body that has the whole text before and after it."""
     c = table(spark, sf_dir, "conversations").filter("text is not null and length(text) > 0")
     body = F.concat("text", F.lit("<!--Start-->\nchecks\n<!--END-->"), "text")
     return c.select("conv_id", "turn", X.cut_from(body, "<!--start-->").alias("before_marker"), X.cut_between(body, "<!--START-->", "<!--end-->").alias("without_block"))

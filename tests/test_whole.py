@@ -53,7 +53,7 @@ def test_consoles_hold_whole_pages(spark, tmp_path):
 
 def test_segments_of_every_line(spark, tmp_path):
     spark.createDataFrame([(7, "\n".join(f"line {n}" for n in range(8)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r["pos"], r["content"]) for r in QUERIES["markdown_segments_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r["pos"], r["content"]) for r in QUERIES["markdown_segments"](spark, str(tmp_path)).collect())
     assert got == [(n, f"line {n}") for n in range(8)]
 
 
@@ -61,6 +61,6 @@ def test_texts_with_one_beginning_are_no_copies(spark, tmp_path):
     same = "the same forty characters at the start of both texts, "
     spark.createDataFrame([(4, same + "a"), (8, same + "b"), (12, same + "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert [tuple(r) for r in QUERIES["dup_samples_whole"](spark, str(tmp_path)).select("sample", "n").collect()] == [(same + "b", 2)]
-    assert sorted(r["doc_id"] for r in QUERIES["index_incremental_anti_join_whole"](spark, str(tmp_path)).collect()) == [8, 12]
-    assert sorted((r["sampling"][-1], r["ts"], r["origin"]) for r in QUERIES["index_upsert_last_wins_whole"](spark, str(tmp_path)).collect()) == [("a", 4, "new"), ("b", 12, "old")]
+    assert [tuple(r) for r in QUERIES["dup_samples"](spark, str(tmp_path)).select("sample", "n").collect()] == [(same + "b", 2)]
+    assert sorted(r["doc_id"] for r in QUERIES["index_incremental_anti_join"](spark, str(tmp_path)).collect()) == [8, 12]
+    assert sorted((r["sampling"][-1], r["ts"], r["origin"]) for r in QUERIES["index_upsert_last_wins"](spark, str(tmp_path)).collect()) == [("a", 4, "new"), ("b", 12, "old")]
