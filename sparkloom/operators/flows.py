@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import COMMENT_CHARS, has_marker, issue_keys
 from sparkloom.operators import models, packing, vector
+from sparkloom.operators.ranks import first_rows
 
 # Signs of a review's risk, from none to high.
 RISK_SIGNS = ("⚪", "🟢", "🟡", "🔴")
@@ -21,10 +22,9 @@ def search_series(samples: DataFrame, queries: DataFrame, threshold: float = 0.6
     pairs = samples.join(queries, "series")
     scored = (pairs.filter(F.col("sampling") != F.col(each)) if each else pairs).withColumn("similarity", vector.similarity(F.col("vec"), F.col("query"))).drop("vec", "query")
     order = (F.desc_nulls_last("similarity"), "sampling")
-    near = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= candidates)
-    first = near.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "doc_id").orderBy(*order))).filter("_n = 1")
-    good = first.filter(F.col("similarity") >= threshold)
-    return good.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("place") <= most).drop("_n")
+    near = first_rows(scored, order, candidates, *by)
+    good = first_rows(near, order, 1, *by, "doc_id").filter(F.col("similarity") >= threshold)
+    return first_rows(good, order, most, *by, rank="place")
 
 
 def answer(hits: DataFrame, docs: DataFrame, question: str, endpoint: models.Chat) -> DataFrame:

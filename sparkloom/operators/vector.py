@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranks import first_rows
+
 #: Nearest samples that a search looks at, and documents it returns.
 CANDIDATES, MOST = 4096, 10
 
@@ -39,20 +41,16 @@ def nearest(samples: DataFrame, query: DataFrame, vector: str = "vec", key: str
         return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(candidates)
     pairs = samples.join(query.select(F.col(each), F.col("query").alias("_query")), F.col(key) != F.col(each))
     scored = pairs.withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
-    return _ranked(scored, (F.desc_nulls_last("similarity"), key), candidates, each)
-
-
-def _ranked(hits: DataFrame, order: tuple, most: int, *by: str) -> DataFrame:
-    return hits.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+    return first_rows(scored, (F.desc_nulls_last("similarity"), key), candidates, each)
 
 
 def first_of_document(hits: DataFrame, document: str = "doc_id", key: str = "sampling", each: str | None = None) -> DataFrame:
-    return _ranked(hits, (F.desc_nulls_last("similarity"), key), 1, *([each] if each else []), document)
+    return first_rows(hits, (F.desc_nulls_last("similarity"), key), 1, *([each] if each else []), document)
 
 
 def _best(hits: DataFrame, most: int, key: str, each: str | None) -> DataFrame:
     order = (F.desc("similarity"), key)
-    return _ranked(hits, order, most, each) if each else hits.orderBy(*order).limit(most)
+    return first_rows(hits, order, most, each) if each else hits.orderBy(*order).limit(most)
 
 
 def search_by_threshold(samples: DataFrame, query: DataFrame, threshold: float, most: int = MOST, document: str = "doc_id", key: str = "sampling", each: str | None = None, **settings) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from sparkloom.functions import triage
-from sparkloom.operators import vector
+from sparkloom.operators import ranks, vector
 from sparkloom.plans.catalogue import QUERIES
 
 
@@ -64,3 +64,21 @@ def test_texts_with_one_beginning_are_no_copies(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["dup_samples"](spark, str(tmp_path)).select("sample", "n").collect()] == [(same + "b", 2)]
     assert sorted(r["doc_id"] for r in QUERIES["index_incremental_anti_join"](spark, str(tmp_path)).collect()) == [8, 12]
     assert sorted((r["sampling"][-1], r["ts"], r["origin"]) for r in QUERIES["index_upsert_last_wins"](spark, str(tmp_path)).collect()) == [("a", 4, "new"), ("b", 12, "old")]
+
+
+def test_groups_are_cut_before_the_shuffle(spark):
+    rows = spark.range(20_000).selectExpr("id % 3 AS g", "id AS k", "hash(id) AS v")
+    before = spark.conf.get(ranks.LIMIT)
+    try:
+        spark.conf.set(ranks.LIMIT, "1000")
+        got = ranks.first_rows(rows, ("v", "k"), 4096, "g", rank="place")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        partial, final = plan.index("Partial"), plan.index("Final")
+        assert "WindowGroupLimit" in plan and final < plan.index("Exchange") < partial
+        want = {(r["g"], r["place"], r["k"]) for r in rows.selectExpr("*", "row_number() OVER (PARTITION BY g ORDER BY v, k) AS place").filter("place <= 4096").collect()}
+        assert {(r["g"], r["place"], r["k"]) for r in got.collect()} == want
+        spark.conf.set(ranks.LIMIT, "-1")
+        assert {(r["g"], r["k"]) for r in ranks.first_rows(rows, ("v", "k"), 4096, "g").collect()} == {(g, k) for g, _, k in want}
+        assert spark.conf.get(ranks.LIMIT) == "-1"
+    finally:
+        spark.conf.set(ranks.LIMIT, before)
