@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import langid, licenses, mixing, nbsvm, quality_rules, rabitq, sentencepiece_codec, simhash, suffix_dedup, warc
+from sparkloom.llm import conversations, filter_audit, langid, licenses, mixing, nbsvm, quality_rules, rabitq, sentencepiece_codec, simhash, suffix_dedup, token_counts, warc
 from sparkloom.session import table
 
 
@@ -61,6 +61,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies", "source")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_bytes("word_bpe_49k.json"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,10 +86,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_embedding_near_dedup,
         op9_suffix_array,
         op10_mixing,
+        op11_token_counts,
+        op12_conversation_repair,
+        op13_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_warc": warc.SQL,
     "op7_license_scan": licenses.sql(),
+    "op12_conversation_repair": conversations.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
