@@ -37,8 +37,8 @@ CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 SIGNS = re.compile(rb"[#$%&*|]")
 #: A task hands on the texts that it has compared with each other when they have so many bytes.
 CHUNK_BYTES = 48 << 20
-#: Partitions that texts are dealt to, for each partition that they come from.
-SPREAD = 2
+#: Bytes of text that a partition of fingerprints is meant to get; there are as many as there are input partitions at least.
+PART_BYTES = 64 << 20
 
 #: doc_id, part, mask
 Row = tuple[int | None, str, int]
@@ -131,8 +131,9 @@ def _resolved(records: Iterator[tuple]) -> Iterator[Row]:
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> RDD:
     """(id, part, mask) of every row."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit(""))).rdd
-    n = max(1, SPREAD * rows.getNumPartitions())
+    n = max(1, rows.getNumPartitions(), -(-size // PART_BYTES))
     return rows.mapPartitions(_compared).map(_keyed).repartitionAndSortWithinPartitions(n, _dealt).mapPartitions(_resolved)
 
 
