@@ -4,8 +4,10 @@ The units compared are a text's lines, its sentences (whatever lines they run ov
 and the whole of it, in lower case with everything but letters and digits as blanks. Templates are notices and their
 sentences, and the full texts in the folder ``licences`` with their paragraphs; of equal ones the first by id is kept. A
 unit and a template with a and b distinct bigrams share at most min(a, b), so a coefficient of t or more needs a between
-b * t / (2 - t) and b * (2 - t) / t: templates outside are not compared. Only units with one of the ``SIGNS`` of a licence
-count: a text without any is passed over before units are made of it, and a unit before its bigrams are.
+b * t / (2 - t) and b * (2 - t) / t: templates outside are not compared. It also holds all but b - b * t / (2 - t) of a
+template's bigrams, so words that lie in more bigrams than that can't all be missing (``marks``): a text without any such
+word of any template is passed over before units are made of it, and a unit before its bigrams are. Both are implied by
+the coefficient, so nothing that reaches it is lost.
 
 All in built-in functions within a row: no shuffle, whatever the texts' or groups' size. The templates are a fixed literal
 of the plan. Bigrams are compared by their 64-bit hashes.
@@ -20,7 +22,9 @@ the text are not read, whatever their names.
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections.abc import Iterable
 from functools import cache
 from pathlib import Path
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 #: Bigrams that a paragraph or sentence of a template has at least, so that headings are none.
 LEAST = 8
-#: What a unit must have one of, in lower case, to be taken for a licence.
+#: What a paragraph or sentence must have one of, in lower case, to be taken as a template. Texts need none of them.
 SIGNS = r"licen[cs]e|copyright|redistribut|warrant|permission|patent|public domain|rights reserved"
 
 #: Notices by SPDX id, beside the full texts in the folder licences.
@@ -73,6 +77,22 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
     return max(1, int(size * ratio - 1e-9)), int(size / ratio + 1e-9)
 
 
+def marks(texts: Iterable[str], threshold: float) -> list[str]:
+    """Words of which a unit has at least one if it reaches the threshold with one of these templates: of each template they
+    lie in more bigrams than such a unit can lack. Small templates first: what serves them serves larger ones; then a
+    template's longest words, as short ones are in most texts."""
+    chosen: set[str] = set()
+    for grams in sorted(({tuple(g.split()) for g in bigrams(text)} for text in texts), key=lambda g: (len(g), sorted(g))):
+        lacking = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        held = sum(not chosen.isdisjoint(g) for g in grams)
+        for word in sorted({w for g in grams for w in g} - chosen, key=lambda w: (-len(w), w)):
+            if held > lacking:
+                break
+            held += sum(word in g and chosen.isdisjoint(g) for g in grams)
+            chosen.add(word)
+    return sorted(chosen)
+
+
 def templates_of(texts: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
     """Id and normalised text of each template: the texts whole, their paragraphs and sentences, each bag of bigrams once."""
     out: dict[tuple[str, ...], tuple[str, str]] = {}
@@ -96,6 +116,11 @@ def known() -> tuple[tuple[str, str], ...]:
     return tuple(templates_of(texts))
 
 
+@cache
+def _marks(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    return marks((text for _, text in templates), threshold)
+
+
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license_id (of the best template, null if none reaches the threshold), dice (rounded to 6 places, null
     likewise), n_units (the distinct units that reach it)."""
@@ -112,17 +137,17 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
     # folded into a literal once, when the plan is optimised
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<id:string,size:int,low:int,high:int,grams:array<bigint>>>")
 
-    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    text = F.when(lowered.rlike(SIGNS), lowered).otherwise(F.lit(""))
-    found = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    marked = F.array(*map(F.lit, _marks(held, threshold)))
+    worded = lambda text: F.split(F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), " ")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    found = found.select("doc_id", F.when(F.arrays_overlap(worded(F.col("text")), marked), F.col("text")).otherwise(F.lit("")).alias("text"))
     sentences = F.split(F.regexp_replace(F.translate("text", "\n", " "), r"([.!?])[ \t\r]+", "$1\n"), "\n")
     units = F.array_distinct(F.concat(F.split("text", "\n"), sentences, F.split("text", "\n[ \t\r]*\n"), F.array("text")))
-    signed = F.filter(units, lambda u: u.rlike(SIGNS))
-    clean = F.transform(signed, lambda u: F.split(F.btrim(F.regexp_replace(u, r"[^\p{L}\p{N}]+", " ")), " "))
     # each step a projection, so that none is evaluated again inside a function of another
-    found = found.select("doc_id", F.array_distinct(clean).alias("units"))
-    worded = F.filter("units", lambda w: (F.size(w) > least) & (F.size(F.array_distinct(w)) - 1 <= most))
-    found = found.select("doc_id", worded.alias("words"))
+    found = found.select("doc_id", F.array_distinct(F.transform(units, worded)).alias("units"))
+    # a unit of so many distinct words has that many bigrams but one at least
+    fitting = F.filter("units", lambda w: (F.size(w) > least) & F.arrays_overlap(w, marked) & (F.size(F.array_distinct(w)) - 1 <= most))
+    found = found.select("doc_id", fitting.alias("words"))
     paired = F.transform("words", lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))))
     found = found.select("doc_id", F.filter(F.array_distinct(F.transform(paired, lambda g: F.array_sort(g))), lambda g: F.size(g).between(least, most)).alias("grams"))
 
@@ -138,7 +163,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tup
 
 
 def sql(threshold: float = THRESHOLD) -> str:
-    """The same in another engine, from the same templates, without the anchors."""
+    """The same in another engine, from the same templates, without the marks."""
     rows = ", ".join(f"('{name}', '{text}')" for name, text in known())
     return rf"""
 WITH n(id, text) AS (VALUES {rows}),

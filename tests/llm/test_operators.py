@@ -460,6 +460,40 @@ def test_license_bounds_lose_nothing():
         assert all(low <= n <= high for n in range(1, 200) if 2 * min(n, size) / (n + size) >= 0.8)
 
 
+def test_license_marks_lose_nothing():
+    """What reaches the threshold with a template has one of the words that units are passed over without."""
+    rng = random.Random(11)
+    chosen = set(licenses.marks((t for _, t in licenses.known()), 0.8))
+    for _ in range(3000):
+        _, template = rng.choice(licenses.known())
+        w = template.split()
+        drop = rng.choice([0.0, 0.05, 0.15, 0.3])
+        unit = [x for x in w if rng.random() >= drop and x not in chosen] if rng.random() < 0.3 else [x for x in w if rng.random() >= drop]
+        a, b = set(licenses.bigrams(" ".join(unit))), set(licenses.bigrams(template))
+        if a and 2 * len(a & b) >= 0.8 * (len(a) + len(b)):
+            assert not chosen.isdisjoint(unit)
+
+
+def test_license_scan_as_sql(spark):
+    """Notices that lack their usual words, and templates with words left out, changed and moved."""
+    rng = random.Random(12)
+    rows = [(1, "Released under the MIT"), (2, "work is dedicated to the public\tdomain under CC0 1.0 Universal"), (3, "All rights reserved"), (4, None), (5, "")]
+    for i in range(300):
+        w = rng.choice(licenses.known())[1].split()[:400]
+        at = rng.randrange(len(w))
+        w = w[at:] + w[:at] if rng.random() < 0.2 else w
+        rows.append((10 + i, rng.choice(["", "so.\n"]) + " ".join(x if rng.random() < 0.9 else rng.choice(["", "other", "the"]) for x in w) + rng.choice([".", "\n\nand more", ". And more"])))
+    con = connection("/root/testdata/sf0.001")
+    con.execute("DROP VIEW documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(found, con, licenses.sql())
+    got = {r["doc_id"]: (r["license_id"], r["dice"]) for r in found.collect()}
+    assert got[1] == ("MIT", 0.857143) and got[2] == ("CC0-1.0", 0.956522) and got[3][0] == "LicenseRef-Reserved"
+    assert sum(v[0] is not None for v in got.values()) > 50
+
+
 def full(name: str) -> str:
     from pathlib import Path
 
