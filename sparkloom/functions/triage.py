@@ -6,7 +6,6 @@ after it. So a file is one ordered fold, and files are independent rows of Arrow
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -15,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.pairing import pairs
 from sparkloom.functions.text import KEEP_OUT, REVIEW, TEST_ENDS, TEST_PARTS
 
 # Words of the two languages, and names that tell what a line is about.
@@ -94,15 +94,6 @@ def groups(diff: str | None) -> Iterator[tuple[list[str], list[str]]]:
         yield removed, added
 
 
-def pairs(removed: list[str], added: list[str]) -> Iterator[tuple[str, str]]:
-    """Lines side by side; lines that are the same on both sides are left out."""
-    for op, a, b, c, d in difflib.SequenceMatcher(None, removed, added, autojunk=False).get_opcodes():
-        if op != "equal":
-            old, new = removed[a:b], added[c:d]
-            for i in range(max(len(old), len(new))):
-                yield old[i] if i < len(old) else "", new[i] if i < len(new) else ""
-
-
 def texts(tokens: list[Token], kind: str) -> list[str]:
     return [t.text for t in tokens if t.kind == kind]
 

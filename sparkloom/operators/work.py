@@ -71,8 +71,10 @@ def first_start_after_commits(comments: DataFrame, commits: DataFrame, by: str =
 def commits_of_file(commits: DataFrame, files: DataFrame, by: str = "number") -> DataFrame:
     """Commits (number, sha, files array<string>) that touched a file (number, name, previous) under either name, in any
     case: names are exploded and joined by equality."""
-    touched = commits.select(by, "sha", "date", F.explode(F.array_distinct(F.transform("files", lambda f: F.lower(f)))).alias("_n"))
-    names = files.select(by, "name", F.explode(F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower(F.nullif(F.col("previous"), F.lit(""))))))).alias("_n"))
+    # dealt by the join's keys, each side loses its repeats where it lies, without another shuffle
+    touched = commits.select(by, "sha", "date", F.explode(F.array_distinct(F.transform("files", lambda f: F.lower(f)))).alias("_n")).repartition(by, "_n").distinct()
+    either = F.array_distinct(F.array_compact(F.array(F.lower("name"), F.lower(F.nullif(F.col("previous"), F.lit(""))))))
+    names = files.select(by, "name", F.explode(either).alias("_n")).repartition(by, "_n").distinct()
     return names.join(touched, [by, "_n"]).select(by, "name", "sha", "date").distinct()
 
 
@@ -135,9 +137,11 @@ def file_order(files: DataFrame, by: str = "number") -> DataFrame:
 
 
 def commit_order(commits: DataFrame, by: str = "number") -> DataFrame:
-    """Commits (sha, date) with their place by author date, the oldest first, and the newest first."""
+    """Commits (sha, date) with their place by author date, the oldest first, and the newest first. One sort gives both, so
+    rows that are equal in both have the same places in either order, whichever of them comes first."""
     w = Window.partitionBy(by)
-    return commits.withColumn("oldest_first", F.row_number().over(w.orderBy("date", "sha"))).withColumn("newest_first", F.row_number().over(w.orderBy(F.desc("date"), F.desc("sha"))))
+    oldest = commits.withColumn("oldest_first", F.row_number().over(w.orderBy("date", "sha")))
+    return oldest.withColumn("newest_first", (F.count("*").over(w) - F.col("oldest_first") + 1).cast("int"))
 
 
 def in_time_order(rows: DataFrame, time: str, *columns: str, by: str = "number") -> DataFrame:

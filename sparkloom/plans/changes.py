@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import html, triage
+from sparkloom.functions import html, pairing, triage
 from sparkloom.operators import diff, segments
 from sparkloom.plans.registry import query
 from sparkloom.session import table
@@ -128,6 +128,22 @@ def block_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.with_context(blocks, declared, "doc_id").select("doc_id", "block", "start", "context")
 
 
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(0, len(t)))::INTEGER AS pos, unnest(t) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),
+    k AS (SELECT *, sum((pos % 11 NOT IN (0, 4, 5, 6))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM l),
+    o AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) AS i, pos || ': ' || text AS old FROM k WHERE pos % 11 IN (0, 4, 5, 6)),
+    n AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY pos) AS i, pos || '! ' || text AS new FROM k WHERE pos % 11 IN (4, 6, 8))
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block, i) - 1)::INTEGER AS pos, coalesce(old, '') AS old, coalesce(new, '') AS new FROM o FULL JOIN n USING (doc_id, block, i)"""
+)
+def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' lines beside a version in which some are dropped, changed and put in, by a rule on their numbers."""
+    lines = F.split("text", "\n")
+    numbered = F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit(": "), x))
+    other = F.flatten(F.transform(lines, lambda x, i: F.when((i % 11).isin(4, 6), F.array(F.concat(i.cast("string"), F.lit("! "), x))).when((i % 11).isin(0, 5), F.array().cast("array<string>")).when(i % 11 == 8, F.array(F.concat(i.cast("string"), F.lit(": "), x), F.concat(i.cast("string"), F.lit("! "), x))).otherwise(F.array(F.concat(i.cast("string"), F.lit(": "), x)))))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pairing.side_by_side(numbered, other)).alias("pos", "p"))
+    return found.select("doc_id", "pos", "p.old", "p.new")
+
+
 @query()
 def diff_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes made of documents' lines, as files of both languages and others."""

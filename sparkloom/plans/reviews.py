@@ -75,7 +75,7 @@ def comments_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_COMMITS} SELECT number, sha, row_number() OVER (PARTITION BY number ORDER BY date, sha)::INTEGER AS oldest_first,
-    row_number() OVER (PARTITION BY number ORDER BY date DESC, sha DESC)::INTEGER AS newest_first FROM c"""
+    (count(*) OVER (PARTITION BY number) - row_number() OVER (PARTITION BY number ORDER BY date, sha) + 1)::INTEGER AS newest_first FROM c"""
 )
 def commits_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.commit_order(_commits(spark, sf_dir)).select("number", "sha", "oldest_first", "newest_first")
