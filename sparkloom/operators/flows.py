@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import COMMENT_CHARS, has_marker, issue_keys
-from sparkloom.operators import models, packing, vector
+from sparkloom.operators import blocks, models, packing, vector
 from sparkloom.operators.ranks import first_rows
 
 # Signs of a review's risk, from none to high.
@@ -19,8 +19,10 @@ def search_series(samples: DataFrame, queries: DataFrame, threshold: float = 0.6
     candidates where it lies. With each, a column of queries, a series is ranked for each of its queries, without the sample
     whose key is the query's own."""
     by = ["series", each] if each else ["series"]
-    pairs = samples.join(queries, "series")
-    scored = (pairs.filter(F.col("sampling") != F.col(each)) if each else pairs).withColumn("similarity", vector.similarity(F.col("vec"), F.col("query"))).drop("vec", "query")
+    if each:
+        scored = blocks.near(samples, queries, candidates, each, by=("series",)).withColumn("similarity", F.round("similarity", 6))
+    else:
+        scored = samples.join(queries, "series").withColumn("similarity", vector.similarity(F.col("vec"), F.col("query"))).drop("vec", "query")
     order = (F.desc_nulls_last("similarity"), "sampling")
     near = first_rows(scored, order, candidates, *by)
     good = first_rows(near, order, 1, *by, "doc_id").filter(F.col("similarity") >= threshold)

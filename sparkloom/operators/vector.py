@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators import blocks
 from sparkloom.operators.ranks import first_rows
 
 #: Nearest samples that a search looks at, and documents it returns.
@@ -32,16 +33,14 @@ def similarity(a: Column, b: Column, places: int = 6) -> Column:
 def nearest(samples: DataFrame, query: DataFrame, vector: str = "vec", key: str = "sampling", candidates: int = CANDIDATES, each: str | None = None) -> DataFrame:
     """The samples nearest to the query, with their similarity. Ties are in order of the key. The limit belongs to the
     meaning: documents whose samples all lie beyond it are not found. query has a column query and one row (more are an
-    error), or with each any number of rows, which that column tells apart: all samples are then ranked for every row, and
-    a sample whose key is the row's own is left out. The ranks are limits that Spark applies in each task before the
-    shuffle."""
+    error), or with each any number of rows, which that column tells apart: all samples are then ranked for every row by
+    products of blocks, and a sample whose key is the row's own is left out."""
     if each is None:
         one = query.select("query").scalar()  # a subquery that runs once, no join
         scored = samples.withColumn("_query", one).withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
         return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(candidates)
-    pairs = samples.join(query.select(F.col(each), F.col("query").alias("_query")), F.col(key) != F.col(each))
-    scored = pairs.withColumn("similarity", similarity(F.col(vector), F.col("_query"))).drop("_query", vector)
-    return first_rows(scored, (F.desc_nulls_last("similarity"), key), candidates, each)
+    rounded = blocks.near(samples, query, candidates, each, key, vector).withColumn("similarity", F.round("similarity", 6))
+    return first_rows(rounded, (F.desc_nulls_last("similarity"), key), candidates, each)
 
 
 def first_of_document(hits: DataFrame, document: str = "doc_id", key: str = "sampling", each: str | None = None) -> DataFrame:

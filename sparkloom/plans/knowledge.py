@@ -11,36 +11,6 @@ from sparkloom.session import table
 from sparkloom.sources import wiki
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors as samples of documents (their label), without the first, which is the query."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sampling"), F.col("label").alias("doc_id"), F.col("embedding").alias("vec"))
-    return e.filter("sampling <> 0"), e.filter("sampling = 0").select(F.col("vec").alias("query"))
-
-
-_NEAREST = """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-n AS (SELECT vec_id AS sampling, label AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity
-  FROM embeddings, q WHERE vec_id <> 0 ORDER BY similarity DESC, vec_id LIMIT 4096),
-d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, sampling) = 1) """
-
-
-@query(_NEAREST + "SELECT sampling, doc_id, similarity FROM d WHERE similarity >= 0.2 ORDER BY similarity DESC, sampling LIMIT 10")
-def knn_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, one = _samples(spark, sf_dir)
-    return vector.search_by_threshold(samples, one, 0.2).select("sampling", "doc_id", "similarity")
-
-
-@query(_NEAREST + "SELECT sampling, doc_id, similarity FROM d ORDER BY similarity DESC, sampling LIMIT 5")
-def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, one = _samples(spark, sf_dir)
-    return vector.search_by_count(samples, one, 5).select("sampling", "doc_id", "similarity")
-
-
-@query(_NEAREST + "SELECT doc_id AS title, max(similarity) AS similarity FROM n GROUP BY doc_id")
-def hits_by_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, one = _samples(spark, sf_dir)
-    return vector.best_by_title(vector.nearest(samples, one).withColumnRenamed("doc_id", "title"))
-
-
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All vectors as samples, and those whose id is divisible by 100 as queries."""
     e = table(spark, sf_dir, "embeddings")
@@ -48,25 +18,25 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return samples, e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("asked"), F.col("embedding").alias("query"))
 
 
-_NEAREST_EACH = """WITH q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+_NEAREST = """WITH q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 n AS (SELECT asked, vec_id AS sampling, label AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity
   FROM embeddings, q WHERE vec_id <> asked QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, sampling) <= 4096),
 d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY asked, doc_id ORDER BY similarity DESC, sampling) = 1) """
-_BEST_EACH = "QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, sampling)"
+_BEST = "QUALIFY row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, sampling)"
 
 
-@query(_NEAREST_EACH + f"SELECT asked, sampling, doc_id, similarity FROM d WHERE similarity >= 0.2 {_BEST_EACH} <= 10")
-def knn_threshold_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_NEAREST + f"SELECT asked, sampling, doc_id, similarity FROM d WHERE similarity >= 0.2 {_BEST} <= 10")
+def knn_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search_by_threshold(*_asked(spark, sf_dir), 0.2, each="asked").select("asked", "sampling", "doc_id", "similarity")
 
 
-@query(_NEAREST_EACH + f"SELECT asked, sampling, doc_id, similarity FROM d {_BEST_EACH} <= 5")
-def knn_topk_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_NEAREST + f"SELECT asked, sampling, doc_id, similarity FROM d {_BEST} <= 5")
+def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.search_by_count(*_asked(spark, sf_dir), 5, each="asked").select("asked", "sampling", "doc_id", "similarity")
 
 
-@query(_NEAREST_EACH + "SELECT asked, doc_id AS title, max(similarity) AS similarity FROM n GROUP BY asked, doc_id")
-def hits_by_doc_max_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_NEAREST + "SELECT asked, doc_id AS title, max(similarity) AS similarity FROM n GROUP BY asked, doc_id")
+def hits_by_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.best_by_title(vector.nearest(*_asked(spark, sf_dir), each="asked").withColumnRenamed("doc_id", "title"), each="asked")
 
 
@@ -161,39 +131,28 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(c, "turn", "n", 400, "conv_id", carry=100)
 
 
-@query(
-    """WITH s AS (SELECT 'S' || (3 + vec_id % 4) AS series, vec_id AS sampling, label AS doc_id, embedding FROM embeddings WHERE vec_id <> 0), q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
-    n AS (SELECT series, sampling, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM s, q WHERE series IN ('S3', 'S5') QUALIFY row_number() OVER (PARTITION BY series ORDER BY similarity DESC, sampling) <= 4096),
-    d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY series, doc_id ORDER BY similarity DESC, sampling) = 1)
-    SELECT *, row_number() OVER (PARTITION BY series ORDER BY similarity DESC, sampling)::INTEGER AS place FROM d WHERE similarity >= 0.1 QUALIFY place <= 10"""
-)
-def series_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples, one = _samples(spark, sf_dir)
-    samples = samples.withColumn("series", F.concat(F.lit("S"), (3 + F.col("sampling") % 4).cast("string")))
-    asked = one.select(F.explode(F.array(F.lit("S3"), F.lit("S5"))).alias("series"), "query")
-    return flows.search_series(samples, asked, 0.1)
-
-
-@query(
-    """WITH s AS (SELECT 'S' || (3 + vec_id % 4) AS series, vec_id AS sampling, label AS doc_id, embedding FROM embeddings),
+_SERIES = """WITH s AS (SELECT 'S' || (3 + vec_id % 4) AS series, vec_id AS sampling, label AS doc_id, embedding FROM embeddings),
     q AS (SELECT vec_id AS asked, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
     n AS (SELECT asked, series, sampling, doc_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS similarity FROM s, q WHERE sampling <> asked QUALIFY row_number() OVER (PARTITION BY asked, series ORDER BY similarity DESC, sampling) <= 4096),
     d AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY asked, series, doc_id ORDER BY similarity DESC, sampling) = 1)
     SELECT *, row_number() OVER (PARTITION BY asked, series ORDER BY similarity DESC, sampling)::INTEGER AS place FROM d WHERE similarity >= 0.1 QUALIFY place <= 10"""
-)
-def series_search_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+@query(_SERIES)
+def series_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, asked = _asked(spark, sf_dir)
     samples = samples.withColumn("series", F.concat(F.lit("S"), (3 + F.col("sampling") % 4).cast("string")))
     asked = asked.select(F.explode(F.array(*map(F.lit, ("S3", "S4", "S5", "S6")))).alias("series"), "asked", "query")
     return flows.search_series(samples, asked, 0.1, each="asked")
 
 
-@query("SELECT series, 1::BIGINT AS n FROM (VALUES ('S3'), ('S5')) t(series)")
+@query(f"WITH f AS ({_SERIES}) SELECT asked || ' ' || series AS series, count(DISTINCT f.doc_id)::BIGINT AS n_found, 1::BIGINT AS n FROM f JOIN documents d ON d.doc_id = f.doc_id GROUP BY 1")
 def series_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question answered from the documents found, one answer a series, by the stand-in model."""
+    """A question for each query and series, answered from the documents found by the stand-in model."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("int"), "text")
-    found = flows.answer(series_search(spark, sf_dir), docs, "what is it", models.StubChat())
-    return found.groupBy("series").agg(F.count("*").alias("n"))
+    found = series_search(spark, sf_dir).withColumn("series", F.concat_ws(" ", F.col("asked").cast("string"), "series"))
+    answers = flows.answer(found, docs, "what is it", models.StubChat()).groupBy("series").agg(F.count("*").alias("n"))
+    return found.join(docs.select("doc_id"), "doc_id").groupBy("series").agg(F.count_distinct("doc_id").alias("n_found")).join(answers, "series")
 
 
 @query(
