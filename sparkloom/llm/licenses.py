@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 #: Bigrams that a paragraph or sentence of a template has at least, so that headings are none.
 LEAST = 8
+#: Words of most English texts, which are looked for last. They decide how much is passed over, never what is found.
+COMMON = frozenset("a about all an and any are as at be but by can for from had has have he in into is it its may more no not of on one or other our out she so such than that the their them there these they this to under up us was we were when which who will with would you your".split())
 #: What a paragraph or sentence must have one of, in lower case, to be taken as a template. Texts need none of them.
 SIGNS = r"licen[cs]e|copyright|redistribut|warrant|permission|patent|public domain|rights reserved"
 
@@ -80,12 +82,12 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
 def marks(texts: Iterable[str], threshold: float) -> list[str]:
     """Words of which a unit has at least one if it reaches the threshold with one of these templates: of each template they
     lie in more bigrams than such a unit can lack. Small templates first: what serves them serves larger ones; then a
-    template's longest words, as short ones are in most texts."""
+    template's longest words, as short ones are in most texts, and common ones last."""
     chosen: set[str] = set()
     for grams in sorted(({tuple(g.split()) for g in bigrams(text)} for text in texts), key=lambda g: (len(g), sorted(g))):
         lacking = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
         held = sum(not chosen.isdisjoint(g) for g in grams)
-        for word in sorted({w for g in grams for w in g} - chosen, key=lambda w: (-len(w), w)):
+        for word in sorted({w for g in grams for w in g} - chosen, key=lambda w: (w in COMMON, -len(w), w)):
             if held > lacking:
                 break
             held += sum(word in g and chosen.isdisjoint(g) for g in grams)
