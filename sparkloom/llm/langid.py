@@ -53,6 +53,9 @@ def grams_of(word: str, order: int) -> list[str]:
     marked = f"<{word}>" if order > 1 else word
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
+#: accepted(): the share of the usual lead that a text's language needs, if the text has so many words.
+LEAST_SHARE, LEAST_WORDS = 0.1, 8
+
 
 @dataclass
 class Model:
@@ -61,6 +64,7 @@ class Model:
     word_scores: np.ndarray  # log frequency, words x languages
     grams: list[str]
     gram_scores: np.ndarray
+    usual: dict[str, float] = field(default_factory=dict)  # of each language the median of its texts' margins
     _word_at: dict[str, int] | None = field(default=None, repr=False)
     _gram_at: dict[str, int] = field(default_factory=dict, repr=False)
 
@@ -82,13 +86,27 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        total, _ = self.totals(text)
+        if total is None:
+            return UNKNOWN, 0.0
+        best = int(np.argmax(total))
+        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+
+    def margin(self, text: str | None) -> tuple[str, float, int]:
+        """The text's language, by how much it leads the next one for each word on average, and the number of words."""
+        total, n = self.totals(text)
+        if total is None:
+            return UNKNOWN, 0.0, 0
+        order = np.argsort(total)
+        return self.langs[order[-1]], float(total[order[-1]] - total[order[-2]]) / n if len(total) > 1 else np.inf, n
+
+    def totals(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """Sums of the words' scores by language, and the number of words; nothing for a text without a letter."""
         if self._word_at is None:
             self.prepare()
-        if not text or not self.langs:
-            return UNKNOWN, 0.0
-        words = words_of(text)
+        words = words_of(text) if text and self.langs else []
         if not words:
-            return UNKNOWN, 0.0
+            return None, 0
         known, seen = self._word_at, self._seen
         total, at = np.zeros(len(self.langs)), []
         for word in words:
@@ -104,9 +122,7 @@ class Model:
                     self._scores[i] = self.back_off(word)
                     seen[word] = i
             at.append(i)
-        total += self._scores[at].sum(0, dtype=float)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return total + self._scores[at].sum(0, dtype=float), len(words)
 
 
 def _log_frequency(rows: list, langs: list[str]) -> tuple[list[str], np.ndarray]:
@@ -141,9 +157,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in counter], pa.string()), pa.array([x[1] for x in counter], pa.string()), pa.array([gram] * len(counter), pa.bool_()), pa.array(counter.values(), pa.int64())], names=["lang", "item", "gram", "n"])
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, train_bytes: int = TRAIN_BYTES) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, train_bytes: int = TRAIN_BYTES, margins: bool = False) -> Model:
     """Learns from the texts that have a language: all if they are at most max_train with train_bytes of text, else as
-    large a share of them. What the driver collects grows with these two and not with the table."""
+    large a share of them. What the driver collects grows with these two and not with the table. margins: also learn what
+    lead each language usually has in its texts, which accepted() asks for."""
     rows = bounded(docs).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     spread = docs.sparkSession.sparkContext.defaultParallelism * 2  # the sample may lie in a few large files
     with scratch(docs.sparkSession):
@@ -152,8 +169,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_tra
         counted = materialize(counted, "langid-counts")
         several = counted.groupBy("gram", "item").agg(F.sum("n").alias("total")).filter("total > 1").select("gram", "item")
         kept = counted.join(several, ["gram", "item"]).orderBy("gram", "item", "lang").collect()
-    langs = sorted({r["lang"] for r in kept})
-    return Model(langs, *_log_frequency([r for r in kept if not r["gram"]], langs), *_log_frequency([r for r in kept if r["gram"]], langs))
+        langs = sorted({r["lang"] for r in kept})
+        model = Model(langs, *_log_frequency([r for r in kept if not r["gram"]], langs), *_log_frequency([r for r in kept if r["gram"]], langs))
+        if margins:
+            found = _margins(rows.repartition(spread).select("text"), model).filter("margin < double('inf')").groupBy("lang").agg(F.percentile_approx("margin", 0.5).alias("usual"))
+            model.usual = {r["lang"]: r["usual"] for r in found.collect() if r["lang"] != UNKNOWN}
+    return model
+
+
+def _margins(texts: DataFrame, model: Model) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found = [sent.value.margin(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "margin"])
+
+    return texts.mapInArrow(run, "lang string, margin double")
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -176,14 +208,19 @@ def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return predict(docs, fit(docs.filter(~held_out(F.col("doc_id")))), keep=keep)
 
 
-def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, as they are, whose text has a language with a score of at least so much."""
+def accepted(docs: DataFrame, model: Model, share: float = LEAST_SHARE, words: int = LEAST_WORDS, text_col: str = "text") -> DataFrame:
+    """The rows, as they are, whose text has a language: a letter at least and, if it has so many words, a mean lead of one
+    language over the next of at least so large a share of what is usual for it. model: fitted with margins. Of a text of
+    fewer words too little is known to reject it."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
+    def fits(text: str | None) -> bool:
+        lang, margin, n = sent.value.margin(text)
+        return lang != UNKNOWN and (n < words or margin >= share * sent.value.usual.get(lang, 0.0))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = (sent.value.predict(t) for t in batch.column(at).to_pylist())
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([fits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return bounded(docs).mapInArrow(run, docs.schema)

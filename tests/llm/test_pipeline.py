@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import langid, mixing, queries
@@ -25,9 +28,36 @@ def test_columns(states):
 
 
 def test_language(states):
+    """Word by word, by the model's own scores: a tenth of the usual lead, and clean documents stay."""
     before, after = states[0].collect(), {r["doc_id"] for r in states[1].collect()}
-    found = {r["doc_id"]: r for r in langid.identify(states[0]).collect()}
-    assert after == {r["doc_id"] for r in before if found[r["doc_id"]]["lang_pred"] != "und" and found[r["doc_id"]]["score"] >= 0.3}
+    model = langid.fit(states[0].filter(~langid.held_out(F.col("doc_id"))), margins=True)
+    model.prepare()
+    assert len(model.usual) == 4 and all(v > 1 for v in model.usual.values())
+
+    def fits(text: str | None) -> bool:
+        words = langid.words_of(text or "")
+        total = sum((model.word_scores[model.words.index(w)] if w in model._word_at else model.back_off(w)) for w in words) if words else None
+        if total is None or len(words) < 8:
+            return total is not None
+        lead = (sorted(total)[-1] - sorted(total)[-2]) / len(words)
+        return lead >= 0.1 * model.usual[model.langs[list(total).index(max(total))]]
+
+    assert after == {r["doc_id"] for r in before if fits(r["text"])} and len(after) >= 0.97 * len(before)
+
+
+def test_language_rejects_what_has_none(spark, states):
+    rng = random.Random(2)
+    rows = states[0].filter("length(text) > 800").collect()
+    en, fr, de = (next(r["text"] for r in rows if r["lang"] == lang) for lang in ("en", "fr", "de"))
+    mixed = " ".join(w for three in zip(en.split(), fr.split(), de.split(), strict=False) for w in three)
+    letters = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxyzéèöß", k=rng.randint(3, 9))) for _ in range(400))
+    texts = {"en": en, "fr": fr, "de": de, "mixed": mixed, "letters": letters, "digits": "12 34 56 ! ?", "short": "ok"}
+    model = langid.fit(states[0], margins=True)
+    asked = spark.createDataFrame(list(texts.items()), "name string, text string")
+    kept = {r["name"] for r in langid.accepted(asked, model).collect()}
+    assert {"en", "fr", "de", "short"} <= kept and "digits" not in kept
+    leads = {n: model.margin(t)[1] for n, t in texts.items()}
+    assert leads["mixed"] < 0.5 * leads["en"] and leads["letters"] < 0.5 * leads["en"]
 
 
 def test_copies(states):
