@@ -16,6 +16,7 @@ from sparkloom.plans.records import _consoles, _edges
 from sparkloom.plans.registry import query
 from sparkloom.plans.work import _COMMITS, _REVIEWS, _commits, _reviews
 from sparkloom.session import table
+from sparkloom.sources import paged, requests
 
 #: What the stand-in model answers to a prompt: its length and its first eight words.
 _STUB = "length({p}) || ': ' || array_to_string(list_filter(string_split_regex({p}, '\\s+'), lambda x: x <> '')[1:8], ' ')"
@@ -96,22 +97,44 @@ def reviews_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("number", F.array_join(shown, ",").alias("reviews"))
 
 
-@query(
-    f"""WITH {_COMMITS}, {_REVIEWS}, a AS (SELECT number, count(*) AS n, string_agg(sha, ',' ORDER BY date, sha) AS s FROM c GROUP BY 1), b AS (SELECT number, count(*) AS n, max(submitted_at) AS last FROM r GROUP BY 1)
+_READ = f"""WITH {_COMMITS}, {_REVIEWS}, a AS (SELECT number, count(*) AS n, string_agg(sha, ',' ORDER BY date, sha) AS s FROM c GROUP BY 1), b AS (SELECT number, count(*) AS n, max(submitted_at) AS last FROM r GROUP BY 1)
     SELECT 'repo' AS repo, o_orderkey AS number, coalesce(a.n, 0)::BIGINT AS n_commits, coalesce(a.s, '') AS shas, coalesce(b.n, 0)::BIGINT AS n_reviews, b.last AS last_review
     FROM orders LEFT JOIN a ON a.number = o_orderkey LEFT JOIN b ON b.number = o_orderkey"""
-)
+
+
+@query(_READ)
 def pull_requests_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pull requests with their commits and reviews as arrays, as the service's reads give them."""
     pulls = table(spark, sf_dir, "orders").select(F.lit("repo").alias("repo"), F.col("o_orderkey").alias("number"))
     commits = _commits(spark, sf_dir).select(F.lit("repo").alias("repo"), "number", F.col("date").alias("at"), "sha", "message")
     reviews = _reviews(spark, sf_dir).select(F.lit("repo").alias("repo"), "number", F.col("submitted_at").alias("at"), "id", "state")
-    rows = work.nested(pulls, commits=commits, reviews=reviews)
+    return _shown(work.nested(pulls, commits=commits, reviews=reviews))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
     shas = F.array_join(F.transform("commits", lambda x: x["sha"]), ",")
     last = F.try_element_at("reviews", F.lit(-1))["at"]
     return rows.select("repo", "number", F.size("commits").cast("long").alias("n_commits"), shas.alias("shas"), F.size("reviews").cast("long").alias("n_reviews"), last.alias("last_review"))
 
 
+@query(_READ)
+def pull_requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by requests: lists of commits and reviews page by page, and a GET for each commit, of a service that is the
+    tables (its addresses hold its answers)."""
+    by = ["repo", "number"]
+    pulls = table(spark, sf_dir, "orders").select(F.lit("repo").alias("repo"), F.col("o_orderkey").alias("number"))
+    details = F.to_json(F.struct("sha", F.col("date").cast("string").alias("date"), "message"))
+    commits = _commits(spark, sf_dir).withColumn("repo", F.lit("repo")).groupBy(*by).agg(F.to_json(F.collect_list(F.struct("sha", paged.holding(details).alias("url")))).alias("body"))
+    reviews = _reviews(spark, sf_dir).withColumn("repo", F.lit("repo")).groupBy(*by).agg(F.to_json(F.collect_list(F.struct("id", "state", F.col("submitted_at").cast("string").alias("submitted_at")))).alias("body"))
+    asked = [pulls.join(rows, by, "left").select(*by, F.lit(part).alias("part"), paged.holding(F.coalesce("body", F.lit("[]"))).alias("address"), F.lit(True).alias("listed")) for part, rows in (("commits", commits), ("reviews", reviews))]
+    found = requests.pull_request_parts(asked[0].unionByName(asked[1]), "sparkloom.sources.paged:held", size=3, wait=0)
+    field = lambda name, kind: F.get_json_object("answer", f"$.{name}").cast(kind)
+    dates, times = _commits(spark, sf_dir).schema["date"].dataType, _reviews(spark, sf_dir).schema["submitted_at"].dataType
+    each = found.filter("part = 'commit' and failed is null").select(*by, field("date", dates).alias("at"), field("sha", "string").alias("sha"), field("message", "string").alias("message"))
+    told = found.filter("part = 'reviews' and failed is null").select(*by, field("submitted_at", times).alias("at"), field("id", "long").alias("id"), field("state", "string").alias("state"))
+    return _shown(work.nested(pulls, commits=each, reviews=told))
+
+
 @query(
     f"""WITH {_LINES}, {_NUMBERED}, {_BLOCKS} SELECT doc_id, block, count(*) FILTER (type IN ('U', 'D'))::BIGINT AS source_count, count(*) FILTER (type IN ('U', 'I'))::BIGINT AS target_count
     FROM b GROUP BY doc_id, block HAVING bool_or(type <> 'U')"""

@@ -22,6 +22,14 @@ def scan(spark: SparkSession, spaces: dict[str, str], **options: object) -> Data
     return rows.select("id", F.col("key").alias("space"), "title", F.col("metadata.labels.results").alias("labels"), F.col("_links.webui").alias("web_ui"), F.col("_links.tinyui").alias("tiny_ui"))
 
 
+def of_space(spark: SparkSession, address: str, spaces: list[str], **options: object) -> DataFrame:
+    """Metadata of a service's pages, each space under an address of its own. A filter on the space or the title becomes part
+    of the requests: pages of other spaces are not asked for."""
+    fields = "id string, title string"
+    rows = paged.load(spark, {s: paged.with_query(address, spaceKey=s) for s in spaces}, fields, asked={"title": "title"}, size=paged.PAGE_ROWS["wiki"], **options)
+    return rows.select("id", F.col("key").alias("space"), "title")
+
+
 def bodies(answers: DataFrame, column: str = "json") -> DataFrame:
     """Pages of raw answers that are a page or hold results, of which the first counts; neither is an error."""
     found = F.coalesce(F.from_json(column, f"results array<struct<{_struct(BODY)}>>")["results"][0], F.from_json(column, BODY))
