@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.declarations import declared_lines
 from sparkloom.functions.pairing import pairs
 from sparkloom.functions.text import KEEP_OUT, REVIEW, TEST_ENDS, TEST_PARTS
 
@@ -331,17 +332,6 @@ def tokens_of(line: Column, script: bool = False) -> Column:
     return run(line)
 
 
-DECLARATION = re.compile(
-    r"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|virtual|override|async|partial|readonly|extern|unsafe|new|file)\s+)*"
-    r"(?:(?:class|struct|interface|record(?:\s+(?:struct|class))?|enum)\s+\w+|(?!(?:return|new|throw|await|else|using|if|for|while|switch|lock|catch|foreach|var|yield)\b)[\w<>\[\],.?]+\s+(?:operator\s*\S+|\w+(?:<[^>]*>)?)\s*\([^;]*$|\w+\s*\([^;{]*\)\s*(?::\s*(?:base|this)\b.*)?\{?\s*$)"
-)
-
-
 def declarations(source: str | None) -> dict[int, str]:
-    """Lines (from 0) on which a type, method, constructor or operator is declared, with their text. By pattern and not by
-    syntax tree: declarations over several lines count by their first, and unusual layouts are missed."""
-    out = {}
-    for i, line in enumerate((source or "").split("\n")):
-        if DECLARATION.match(line) and not re.match(r"\s*(if|for|foreach|while|switch|lock|using|catch|return|fixed)\b", line):
-            out[i] = line.strip().rstrip("{").strip()
-    return out
+    """Lines (from 0) on which a type, method, constructor or operator is declared, with their text up to the body."""
+    return {line: text.strip().rstrip("{").strip() for line, text in declared_lines(source).items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import html, pairing, triage
+from sparkloom.functions import declarations, html, pairing, triage
 from sparkloom.operators import diff, segments
 from sparkloom.plans.registry import query
 from sparkloom.session import table
@@ -144,6 +144,22 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pos", "p.old", "p.new")
 
 
+@query(
+    """WITH l AS (SELECT doc_id, unnest(range(0, len(t)))::INTEGER AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents))
+    SELECT doc_id, 2::BIGINT AS line, 'class D' || doc_id AS declaration FROM documents
+    UNION ALL SELECT doc_id, 5 + 8 * pos, '  public Task<Map<string,' FROM l WHERE pos % 4 <> 3 UNION ALL SELECT doc_id, 5 + 8 * pos, '  int[] M' || pos || '(' FROM l WHERE pos % 4 = 3"""
+)
+def declared_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of sources that have a method for each of a document's lines, over several lines, with the text in it."""
+    member = lambda x, i: F.concat(
+        F.lit('  [Obsolete("{"), Other]\n'), F.when(i % 4 == 3, F.lit("  int[] M")).otherwise(F.lit("  public Task<Map<string,\n    int>> M")), i.cast("string"), F.lit("(\n    int a)\n"), F.when(i % 4 == 3, F.lit("\n")).otherwise(F.lit("")), F.lit("  {\n    // "), x, F.lit("\n    Call(a);\n  }\n")
+    )
+    body = F.array_join(F.transform(F.split("text", "\n"), member), "")
+    source = F.concat(F.lit("namespace N\n{\nclass D"), F.col("doc_id").cast("string"), F.lit("\n{\n"), body, F.lit("}\n}\n"))
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(declarations.declarations(source)).alias("d"))
+    return found.select("doc_id", "d.line", "d.declaration")
+
+
 @query()
 def diff_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes made of documents' lines, as files of both languages and others."""

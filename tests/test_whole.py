@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions import triage
-from sparkloom.operators import ranks, vector
+from sparkloom.operators import packing, ranks, vector
 from sparkloom.plans.catalogue import QUERIES
 
 
@@ -82,3 +83,22 @@ def test_groups_are_cut_before_the_shuffle(spark):
         assert spark.conf.get(ranks.LIMIT) == "-1"
     finally:
         spark.conf.set(ranks.LIMIT, before)
+
+
+@pytest.mark.parametrize("cut", [100_000, 0])
+def test_truncation_of_one_source(spark, monkeypatch, cut):
+    """The first that fit, found among no more rows of a group than can fit, or by ranges."""
+    monkeypatch.setattr(packing, "CUT", cut)
+    sizes = [(k * 7919) % 23 for k in range(3000)]
+    rows = spark.createDataFrame([(k, "s" if k % 5 else "t", n) for k, n in enumerate(sizes)], "k int, source string, n int").repartition(7)
+    for by, group in (((), lambda k: 0), (("source",), lambda k: k % 5 == 0)):
+        for most in (-1, 0, 3, 40, 1000, 10**9):
+            want, total = set(), {}
+            for k, n in enumerate(sizes):
+                total[group(k)] = total.get(group(k), -4) + n + 4
+                want |= {k} if total[group(k)] <= most else set()
+            got = packing.truncate(rows, "n", ("k",), most, by=by)
+            assert {r["k"] for r in got.collect()} == want, (by, most)
+    plan = packing.truncate(rows, "n", ("k",), 1000)._jdf.queryExecution().executedPlan().toString()
+    assert not cut or "TakeOrderedAndProject" in plan
+    assert packing.truncate(rows.withColumn("n", F.lit(0)), "n", ("k",), 0, separator=0).count() == 3000
