@@ -118,9 +118,9 @@ def urls_of(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda u: u.rlike(r"^https?://[^/]")))
 
 
-def wiki_urls_of(text: Column, host: str) -> Column:
+def wiki_urls_of(text: Column, host: str | Column) -> Column:
     """Addresses in a text that are pages of the wiki on the host."""
-    low = host.lower()
+    low = F.lower(host if isinstance(host, Column) else F.lit(host))
     return F.filter(urls_of(text), lambda u: F.regexp_extract(F.lower(u), "^https?://([^/:?#]+)", 1) == low)
 
 

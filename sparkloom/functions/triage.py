@@ -70,13 +70,14 @@ class Language:
         return out
 
 
-def _language(words: Iterable[str], extra_string: str, name: str, imports: str) -> Language:
+def language(words: Iterable[str], extra_string: str, name: str, imports: str) -> Language:
+    """A language by its words, strings besides those in quotes (a pattern that begins with |), names, and import lines."""
     pattern = rf"(?P<str>{STRING}{extra_string})|(?P<num>{NUMBER})|(?P<id>{name})|(?P<punct>{PUNCTUATION})|(?P<other>\S)"
     return Language(frozenset(words), re.compile(pattern), re.compile(imports))
 
 
-CSHARP = _language(CSHARP_WORDS, "", r"\b[_A-Za-z]\w*\b", r"\s*using\s+[\w.=]+")
-SCRIPT = _language(SCRIPT_WORDS, r"|`(?:\\.|[^`\\])*`", r"\b[$_A-Za-z][$\w]*\b", r"\s*(?:import|export)\b")
+CSHARP = language(CSHARP_WORDS, "", r"\b[_A-Za-z]\w*\b", r"\s*using\s+[\w.=]+")
+SCRIPT = language(SCRIPT_WORDS, r"|`(?:\\.|[^`\\])*`", r"\b[$_A-Za-z][$\w]*\b", r"\s*(?:import|export)\b")
 
 
 def groups(diff: str | None) -> Iterator[tuple[list[str], list[str]]]:
@@ -268,18 +269,41 @@ class Evidence:
         return out
 
 
-def noise(path: str) -> tuple[Language, set[str]] | None:
-    """The language of a file by its extension, and labels that its path gives; nothing for other files."""
-    if path.endswith(".cs"):
-        made = path.endswith((".designer.cs", ".g.cs", ".generated.cs")) or "/obj/" in path or "/bin/" in path
-        return CSHARP, ({"generated-artifact"} if made else set()) | ({"project-noise"} if "/.github/" in path else set())
-    if path.endswith((".js", ".ts", ".jsx", ".tsx")):
-        out = {"generated-artifact"} if path.endswith(".min.js") else set()
-        out |= {"config-formatting-only"} if path.endswith("webpack.config.js") else set()
-        return SCRIPT, out | ({"project-noise"} if "/.github/" in path else set())
+@dataclass(frozen=True)
+class FileKind:
+    """Files that a classifier takes: their endings, how their lines are cut into tokens, and labels that a path gives, each by
+    a pattern (which Python and Java read alike)."""
+
+    ends: tuple[str, ...]
+    language: Language
+    marks: tuple[tuple[str, str], ...] = ()
+
+
+#: The kinds of files known; callers may give others beside them, which come first.
+KINDS = (
+    FileKind((".cs",), CSHARP, (("generated-artifact", r"(\.designer|\.g|\.generated)\.cs$|/obj/|/bin/"), ("project-noise", r"/\.github/"))),
+    FileKind((".js", ".ts", ".jsx", ".tsx"), SCRIPT, (("generated-artifact", r"\.min\.js$"), ("config-formatting-only", r"webpack\.config\.js$"), ("project-noise", r"/\.github/"))),
+)
+
+
+def noise(path: str, kinds: tuple[FileKind, ...] = KINDS) -> tuple[Language, set[str]] | None:
+    """The language of a file by its ending, and labels that its path gives; nothing for other files."""
+    for kind in kinds:
+        if path.endswith(kind.ends):
+            return kind.language, {label for label, pattern in kind.marks if re.search(pattern, path)}
     return None
 
 
+def path_labels(path: Column, kinds: tuple[FileKind, ...] = KINDS) -> Column:
+    """The labels that a path gives (in any case, with either slash), without a worker: an array, null for files of no kind."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    out = F.lit(None).cast("array<string>")
+    for kind in reversed(kinds):
+        labels = F.array_compact(F.array(*(F.when(low.rlike(pattern), F.lit(label)) for label, pattern in kind.marks))) if kind.marks else F.array().cast("array<string>")
+        out = F.when(low.rlike("(" + "|".join(re.escape(e) for e in kind.ends) + ")$"), labels).otherwise(out)
+    return out
+
+
 def decide(labels: set[str]) -> tuple[bool, str]:
     """As text.decide, with labels in their fixed order."""
     out, keep = ([x for x in LABELS if x in labels and x in known] for known in (KEEP_OUT, REVIEW))
@@ -290,10 +314,10 @@ def decide(labels: set[str]) -> tuple[bool, str]:
     return (True, ";".join(keep)) if keep else (False, ";".join(out)) if out else (True, "uncertain-keep")
 
 
-def classify(path: str | None, diff: str | None) -> tuple[bool, str] | None:
+def classify(path: str | None, diff: str | None, kinds: tuple[FileKind, ...] = KINDS) -> tuple[bool, str] | None:
     """Whether to review, and why; nothing for files that no classifier takes."""
     low = (path or "").replace("\\", "/").lower()
-    known = noise(low)
+    known = noise(low, kinds)
     if known is None:
         return None
     language, labels = known
@@ -311,17 +335,28 @@ def classify(path: str | None, diff: str | None) -> tuple[bool, str] | None:
     return decide((labels | evidence.labels()) or {"uncertain-keep"})
 
 
-def triage(path: Column, diff: Column) -> Column:
-    """struct(filter, reason), null fields for files that no classifier takes."""
+def triage(path: Column, diff: Column, others: tuple[FileKind, ...] = ()) -> Column:
+    """struct(filter, reason), null fields for files that no classifier takes. others: kinds of files besides those known."""
+    kinds = (*others, *KINDS)
 
     @F.pandas_udf("struct<filter:boolean,reason:string>")
     def run(paths: pd.Series, diffs: pd.Series) -> pd.DataFrame:
-        found = [classify(p, d) or (None, None) for p, d in zip(paths, diffs, strict=True)]
+        found = [classify(p, d, kinds) or (None, None) for p, d in zip(paths, diffs, strict=True)]
         return pd.DataFrame({"filter": pd.array([f[0] for f in found], "boolean"), "reason": [f[1] for f in found]})
 
     return run(path, diff)
 
 
+def name_distance(a: Column, b: Column) -> Column:
+    """distance() of two names."""
+
+    @F.pandas_udf("long")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(left, right, strict=True)], dtype="Int64")
+
+    return run(a, b)
+
+
 def tokens_of(line: Column, script: bool = False) -> Column:
     language = SCRIPT if script else CSHARP
 

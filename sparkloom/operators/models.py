@@ -11,7 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Texts sent in one request, and repairs of an answer that does not parse.
@@ -101,6 +101,22 @@ def embed(text: Column, endpoint: Embedder, batch: int = BATCH) -> Column:
     return run(text)
 
 
+def embedded(rows: DataFrame, text: str, endpoint: Embedder, vector: str = "vec", batch: int = BATCH) -> tuple[DataFrame, Observation]:
+    """The rows with the vectors of their texts, and what to look out for in them, counted as they pass: rows, bad_dimension
+    (vectors of another dimension than the endpoint's), zero_vector (all but zero). The counts are there when the rows have
+    been written, without another pass; ``warnings`` puts them into words."""
+    found = rows.withColumn(vector, embed(F.col(text), endpoint, batch))
+    v, seen = F.col(vector), Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.size(v) != endpoint.dimensions).alias("bad_dimension"), F.count_if(F.forall(v, lambda x: F.abs(x) < 1e-6)).alias("zero_vector")]
+    return found.observe(seen, *counts), seen
+
+
+def warnings(counts: dict[str, int], dimensions: int) -> list[str]:
+    """What the counts of embedded() warn of."""
+    said = {"bad_dimension": f"have another dimension than {dimensions}", "zero_vector": "are all but zero"}
+    return [f"{counts[k]} of {counts['rows']} vectors {text}" for k, text in said.items() if counts[k]]
+
+
 def complete(prompt: Column, endpoint: Chat) -> Column:
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -110,24 +126,30 @@ def complete(prompt: Column, endpoint: Chat) -> Column:
     return run(prompt)
 
 
+def _json_in(answer: str) -> str | None:
+    begin, end = answer.find("{"), answer.rfind("}")
+    try:
+        json.loads(found := answer[begin : end + 1])
+    except ValueError:
+        return None
+    return found
+
+
 def structured(answer: Column, schema: str, endpoint: Chat, repairs: int = REPAIRS) -> Column:
     """The JSON in an answer, as a struct of the schema. An answer without any is given back for repair, so many times at
-    most; what still has none is null."""
+    most, those of a batch in one request; what still has none is null."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for answers in parts:
-            out = []
-            for a in answers.fillna(""):
-                for attempt in range(repairs + 1):
-                    a = a if not attempt else endpoint.complete([f"Repair: {a}"])[0]
-                    begin, end = a.find("{"), a.rfind("}")
-                    try:
-                        json.loads(found := a[begin : end + 1])
-                        break
-                    except ValueError:
-                        found = None
-                out.append(found)
+            texts = answers.fillna("").tolist()
+            out: list[str | None] = [_json_in(a) for a in texts]
+            for _ in range(repairs):
+                open_ = [i for i, x in enumerate(out) if x is None]
+                if not open_:
+                    break
+                for i, a in zip(open_, endpoint.complete([f"Repair: {texts[i]}" for i in open_]), strict=True):
+                    texts[i], out[i] = a, _json_in(a)
             yield pd.Series(out, dtype=object)
 
     return F.from_json(run(answer), schema)
@@ -152,19 +174,23 @@ def accepted(prompt: Column, endpoint: Chat, valid, tries: int = TRIES) -> Colum
 
 def refined(contexts: Column, endpoint: Chat, first: str, following: str, finals: tuple[str, ...] = ()) -> Column:
     """One answer from an array of contexts: a draft of the first, refined with each that follows, and given to each final
-    prompt in turn. No contexts give null."""
+    prompt in turn. No contexts give null. The rows of a batch go side by side, a request for each step of them all."""
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for rows in parts:
-            out = []
-            for texts in rows:
-                answer = None
-                for i, text in enumerate(texts if texts is not None else []):
-                    answer = endpoint.complete([f"{first}\n{text}" if not i else f"{following}\n{answer}\n{text}"])[0]
-                for final in finals if answer is not None else ():
-                    answer = endpoint.complete([f"{final}\n{answer}"])[0]
-                out.append(answer)
+            given = [list(texts) if texts is not None else [] for texts in rows]
+            out: list[str | None] = [None] * len(given)
+
+            def ask(prompts: dict[int, str]) -> None:
+                if prompts:
+                    for i, a in zip(prompts, endpoint.complete(list(prompts.values())), strict=True):
+                        out[i] = a
+
+            for k in range(max(map(len, given), default=0)):
+                ask({i: f"{following}\n{out[i]}\n{texts[k]}" if k else f"{first}\n{texts[k]}" for i, texts in enumerate(given) if k < len(texts)})
+            for final in finals:
+                ask({i: f"{final}\n{a}" for i, a in enumerate(out) if a is not None})
             yield pd.Series(out, dtype=object)
 
     return run(contexts)

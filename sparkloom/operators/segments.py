@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from sparkloom.functions.text import header_level, header_text
 
+
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -52,6 +58,27 @@ def explode_segments(docs: DataFrame, markdown: str = "md", *keep: str) -> DataF
     return rows.select(*keep, "pos", "s.key", "s.content")
 
 
+def generated(docs: DataFrame, generator: Callable[[dict, str], Iterable[str]], *keep: str, text: str = "md") -> DataFrame:
+    """Samples that a caller's generator makes of each document: a table function over the document's other columns (as a dict)
+    and its text, joined laterally. The columns kept, pos, sample. The generator goes to the workers with the plan; it may
+    give any number of samples, one by one."""
+
+    @udtf
+    class Generator:
+        @staticmethod
+        def analyze(metadata: AnalyzeArgument, text: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(metadata.dataType, StructType) or not isinstance(text.dataType, StringType):
+                raise TypeError("a generator takes a struct and a text")
+            return AnalyzeResult(StructType([StructField("pos", LongType(), False), StructField("sample", StringType())]))
+
+        def eval(self, metadata: Row, text: str | None) -> Iterator[tuple[int, str]]:
+            yield from enumerate(generator(metadata.asDict() if metadata is not None else {}, text or ""))
+
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(*keep, F.struct(*(F.col(f"`{c}`") for c in others)).alias("_m"), F.col(f"`{text}`").alias("_t"))
+    return rows.lateralJoin(Generator(F.col("_m").outer(), F.col("_t").outer())).select(*keep, "pos", "sample")
+
+
 def samples(found: DataFrame, *keep: str) -> DataFrame:
     """Samples that segments give to an index: motivation, requirements, user stories, and headings of introductions."""
     low, filled = F.lower("key"), F.col("content") != ""

@@ -205,9 +205,10 @@ def series_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wiki_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    host = re.match(r"https?://([^/:?#]+)", p.agg(F.min_by("url", "page_id")).first()[0])[1]
-    u = X.wiki_urls_of(F.concat(F.lit("see "), "url", F.lit(" or http://elsewhere.example.org/x.")), host.upper())
-    return p.select("page_id", F.size(u).cast("long").alias("n"), F.get(u, F.lit(0)).alias("first_url"))
+    first = p.agg(F.min_by("url", "page_id").alias("u")).select(F.upper(F.regexp_extract("u", r"^https?://([^/:?#]+)", 1)))
+    asked = p.withColumn("host", first.scalar())  # a subquery of the plan
+    u = X.wiki_urls_of(F.concat(F.lit("see "), "url", F.lit(" or http://elsewhere.example.org/x.")), F.col("host"))
+    return asked.select("page_id", F.size(u).cast("long").alias("n"), F.get(u, F.lit(0)).alias("first_url"))
 
 
 @query(

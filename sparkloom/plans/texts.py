@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import flags
+from sparkloom.functions import flags, triage
 from sparkloom.functions import text as X
 from sparkloom.plans.registry import query
 from sparkloom.session import table
@@ -201,7 +201,7 @@ def json_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     o = n.select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("o"))
-    return n.join(o, F.col("n_nationkey") + 1 == F.col("other")).select("n_nationkey", "other", F.levenshtein("n_name", "o").cast("long").alias("distance"))
+    return n.join(o, F.col("n_nationkey") + 1 == F.col("other")).select("n_nationkey", "other", triage.name_distance(F.col("n_name"), F.col("o")).alias("distance"))
 
 
 @query(
