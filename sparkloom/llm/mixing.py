@@ -8,8 +8,8 @@ part are the first by a seeded hash, whose cut is found by counting words in fin
 
 All costs lie on what patterns offer, and the amounts that patterns can give together form a polymatroid, so the cheapest
 flow is found pass by pass: a maximal flow of all first passes, to which second passes are added, and so on. No amount
-found earlier is ever given up. Each is found by blocking flows, in parts of the network that hang together; a pattern
-of one source that shares it with no other needs no search.
+found earlier is ever given up. Each is found by blocking flows, in parts of the network that hang together; where every
+document has one source, as in op10's table, each source is a network of its own.
 
 Only patterns (not documents) reach the driver: their number is that of the distinct source sets, and more than
 ``MAX_PATTERNS`` of them is an error. No group of documents is ordered or gathered in one task, so a source that holds
@@ -144,10 +144,6 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], epochs
     equals the order of the patterns decides."""
     out: list[dict[int, int]] = [{} for _ in patterns]
     for part in _parts(patterns, len(quotas)):
-        if len(part) == 1 and len(patterns[part[0]][0]) == 1:
-            (s,), size = patterns[part[0]]
-            out[part[0]] = {s: min(quotas[s], size * epochs)}
-            continue
         place = {s: i for i, s in enumerate(sorted({s for i in part for s in patterns[i][0]}))}
         net = _Network(len(part) + len(place) + 2)
         source, sink = len(part) + len(place), len(part) + len(place) + 1

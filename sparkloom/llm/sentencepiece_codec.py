@@ -125,9 +125,6 @@ class Codec:
         self.size_of = np.array([1 if k == 6 else len(x.encode()) for k, x in zip(kinds, names, strict=True)], np.int64)
         self.unknown = np.array([k == 2 for k in kinds])
         self.digits = np.array([str(i) for i in range(len(pieces))], object)
-        self.bytes_of = np.array([bytes([int(x[3:5], 16)]) if k == 6 else b"" if k == 3 else x.replace(SPACE, " ").encode() for k, x in zip(kinds, names, strict=True)], object)
-        #: Without byte pieces what is unknown has no bytes of its own, and other rules may follow in decoding.
-        self.joined = 6 in kinds and not self.suffix and self.escape and not any(_fields(v) for n, v, _ in fields if n == 5 and v)
 
     def normalize(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and the source byte of each of its bytes, with the end of the source last."""
@@ -191,13 +188,6 @@ class Codec:
             return ids, np.array([len(p.surface.encode()) for p in self.bare.encode(normal, return_type="proto").pieces], np.int64)
         return ids, self.size_of[ids]
 
-    def text_of(self, ids: np.ndarray) -> bytes:
-        """What the library decodes a text's own ids to."""
-        if not self.joined or self.unknown[ids].any():
-            return self.library.decode(ids.tolist()).encode()
-        out = b"".join(self.bytes_of[ids].tolist())
-        return out[1:] if out.startswith(b" ") and (self.prefix or self.squeeze) else out
-
     def digest(self, text: str | None) -> tuple[int, bytes, bytes, bytes]:
         """Number of ids, digests of the ids, of their decoding, and of the spans of source bytes (begin and end of each
         piece as little-endian 64-bit numbers)."""
@@ -205,7 +195,7 @@ class Codec:
         ids, sizes = self.segment(normal)
         ends = np.cumsum(sizes)
         spans = align[np.stack([ends - sizes, ends], 1)].astype("<i8") if len(ids) else align[:0]
-        parts = ",".join(self.digits[ids].tolist()).encode(), self.text_of(ids), spans.tobytes()
+        parts = ",".join(self.digits[ids].tolist()).encode(), self.library.decode(ids.tolist()).encode(), spans.tobytes()
         return len(ids), *(hashlib.sha256(x).digest() for x in parts)
 
     def encode(self, text: str | None) -> Encoded:

@@ -419,17 +419,40 @@ def test_spans_as_the_library(codec, text):
             at += len(p.surface)
 
 
-@pytest.mark.parametrize("squeeze", [b"\x00", b"\x01"])
-def test_character_map_as_the_library(squeeze):
-    """The public vocabulary under a normaliser with a compiled map, with and without extra blanks removed."""
+def with_map(squeeze: bytes) -> bytes:
+    """The public vocabulary under a normaliser with one of the library's compiled maps."""
     import sentencepiece
 
     fields = sentencepiece_codec._fields
     rules = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
     blob = {n: v for n, v, _ in fields({n: v for n, v, _ in fields(rules)}[3])}[2]
     spec = sentencepiece_codec._delimited(3, sentencepiece_codec._delimited(2, blob) + b"\x18\x01\x20" + squeeze + b"\x28\x01")
-    model = b"".join(raw for n, _, raw in fields(queries.tokenizer_bytes()) if n != 3) + spec
+    return b"".join(raw for n, _, raw in fields(queries.tokenizer_bytes()) if n != 3) + spec
+
+
+def test_documents_under_a_character_map(spark, sf_dir):
+    """The whole table through the map's trie, beside the library."""
+    import sentencepiece
+
+    model = with_map(b"\x01")
+    library, calls = sentencepiece.SentencePieceProcessor(model_proto=model), []
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"]: r for r in sentencepiece_codec.digests(table, model).collect()}
+    for r in table.collect():
+        ids = library.encode(r["text"] or "")
+        got = found[r["doc_id"]]
+        assert (got["n_tokens"], got["ids_sha256"], got["decoded_sha256"]) == (len(ids), plain.sha(",".join(map(str, ids)).encode()), plain.sha(library.decode(ids).encode()))
     c = sentencepiece_codec.Codec(model)
+    longest = c.map.longest
+    c.map.longest = lambda data, at: calls.append(at) or longest(data, at)
+    c.digest("ﬁne Ａ text")
+    assert calls
+
+
+@pytest.mark.parametrize("squeeze", [b"\x00", b"\x01"])
+def test_character_map_as_the_library(squeeze):
+    """With and without extra blanks removed."""
+    c = sentencepiece_codec.Codec(with_map(squeeze))
     for t in ["ﬁ½", "Ａｂｃ　ｄ", "é①\u200b\tx", "가나", "か\u3099", "plain", "", "  a  ﬁ  ", "\u3000", "a\n b ", " ½ ", *TEXTS]:
         want = c.library.encode(t)
         e = c.encode(t)
@@ -648,6 +671,21 @@ def test_shares():
     assert mixing.shares([], [], 3, 0) == []
 
 
+def test_every_source_goes_through_the_network(spark, sf_dir, monkeypatch):
+    """A network for each source of documents that can give something, none passed by."""
+    built = []
+
+    class Seen(mixing._Network):
+        def fill(self, source: int, sink: int) -> None:
+            built.append(len(self.out))
+            super().fill(source, sink)
+
+    monkeypatch.setattr(mixing, "_Network", Seen)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixing.recipe(table)
+    assert len(built) == 3 * table.select("source").distinct().count()
+
+
 def test_flow_prefers_fresh_documents():
     flows = mixing.route([((0,), 100), ((0, 1), 100), ((1,), 100)], [150, 150], 3)
     assert sum(sum(f.values()) for f in flows) == 300 and all(sum(f.values()) == 100 for f in flows)
