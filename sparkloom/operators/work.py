@@ -40,6 +40,45 @@ def links_of(issues: DataFrame, *texts: str, declared: str | None = None) -> Dat
     return issues.select("key", F.explode(F.array_distinct(F.concat(*arrays))).alias("url"))
 
 
+def all_links(issues: DataFrame, comments: DataFrame, epics: DataFrame, declared: str = "declared") -> DataFrame:
+    """key and each address of an issue, once: those that it declares (a text), that its epic declares, and that its summary,
+    description and comments hold. issues: key, epic_key, declared, summary, description; comments: key, body; epics: key,
+    declared. Each side's addresses come together by key alone, so no text is shuffled."""
+    each = lambda rows, key, *texts: rows.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.concat(*(F.coalesce(urls_of(F.col(t)), F.array().cast("array<string>")) for t in texts)))).alias("url"))
+    epic = each(epics, "key", declared).withColumnsRenamed({"key": "_e"})
+    of_epics = issues.select("key", F.nullif("epic_key", F.lit("")).alias("_e")).join(epic, "_e").select("key", "url")
+    return each(issues, "key", declared, "summary", "description").unionByName(of_epics).unionByName(each(comments, "key", "body")).distinct()
+
+
+def issue_information(issues: DataFrame, epics: DataFrame, comments: DataFrame, docs: DataFrame) -> DataFrame:
+    """All that is told of issues in one row each: the issue with its epic, its comments in order (key, id, body), its links, and
+    the titles of the documents (page_id, title) that they lead to. Empty arrays where there is nothing."""
+    links = all_links(issues, comments, epics)
+    found = links.withColumn("page_id", page_id_of(F.col("url")).cast("long")).join(docs.select("page_id", "title"), "page_id")
+    parts = {
+        "comments": comments.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "body"))), lambda x: x["body"]).alias("comments")),
+        "links": links.groupBy("key").agg(F.sort_array(F.collect_list("url")).alias("links")),
+        "documents": found.groupBy("key").agg(F.sort_array(F.collect_set("title")).alias("documents")),
+    }
+    out = filled(with_epics(issues, epics))
+    for name, rows in parts.items():
+        out = out.join(rows, "key", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
+def full_diff(files: DataFrame, by: str = "number") -> DataFrame:
+    """Each pull request's files (name, diff) as one text in order of their names, the file's name before its diff."""
+    each = F.array_sort(F.collect_list(F.struct("name", F.coalesce("diff", F.lit("")).alias("diff"))))
+    return files.groupBy(by).agg(F.array_join(F.transform(each, lambda x: F.concat(x["name"], F.lit("\n"), x["diff"])), "\n\n").alias("diff"), F.count("*").alias("n_files"))
+
+
+def cases_asked(cases: DataFrame, asked: DataFrame, key: str = "case_id") -> DataFrame:
+    """The cases that are asked for by their number, each once; one that is not there is an error."""
+    missing = F.raise_error(F.concat(F.lit("no case "), F.col("_a").cast("string")))
+    found = asked.select(F.col(key).alias("_a")).distinct().join(cases, F.col("_a") == F.col(key), "left")
+    return found.withColumn(key, F.coalesce(F.col(key), missing.cast(cases.schema[key].dataType))).drop("_a")
+
+
 def commit_phase(date: Column, created: Column, approved: Column) -> Column:
     """Whether a commit came before a pull request was made, before its first approval, or after."""
     return F.when(date <= created, "BeforePullRequestCreation").when(approved.isNull() | (date <= approved), "BeforePullRequestApproval").otherwise("AfterPullRequestApproval")

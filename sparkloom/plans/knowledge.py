@@ -124,7 +124,13 @@ def size_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.truncate(docs, "n", (F.col("doc_id"),), by=("source",))
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT conv_id, turn, strlen(text)::BIGINT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY strlen(text) DESC, turn) AS k FROM conversations),
+    b AS (SELECT conv_id, 0::BIGINT AS k, 0::BIGINT AS held, 0 AS bin, NULL::BIGINT AS turn FROM (SELECT DISTINCT conv_id FROM i)
+      UNION ALL SELECT conv_id, k, CASE WHEN shut THEN 100 ELSE held END + n, bin + shut::INT, turn
+      FROM (SELECT i.conv_id, i.k, i.n, i.turn, b.held, b.bin, b.held + i.n > 800 AND (b.held + i.n) / 3.3 >= 0.9 * 400 AND b.held > CASE WHEN b.bin > 0 THEN 100 ELSE 0 END AS shut FROM b JOIN i ON i.conv_id = b.conv_id AND i.k = b.k + 1))
+    SELECT conv_id, turn, bin::INTEGER AS bin FROM b WHERE k > 0"""
+)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation packed into contexts, the longest first."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("n"))

@@ -186,6 +186,59 @@ def issue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.links_of(issues, "summary", declared="declared")
 
 
+_LINKS = r"""u(t, key, text) AS (SELECT 'i', page_id, 'see ' || url || '. ' || html FROM pages UNION ALL SELECT 'i', i.page_id, e.url FROM pages i JOIN pages e ON e.page_id = i.page_id // 10 * 10
+      UNION ALL SELECT 'c', conv_id, text || ' (http://talk.example.org/' || turn || ').' FROM conversations),
+    l AS (SELECT DISTINCT key, url FROM (SELECT key, unnest(list_transform(regexp_extract_all(text, 'https?://[^\s<>"''\])}]+'), lambda x: rtrim(x, '.,;:!?'))) AS url FROM u) WHERE regexp_matches(url, '^https?://[^/]'))"""
+
+
+def _issue_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages as issues, every tenth as the epic of those after it, and turns of conversations as comments on them."""
+    p, c = table(spark, sf_dir, "pages"), table(spark, sf_dir, "conversations")
+    key = lambda n: F.concat(F.lit("E"), n.cast("string"))
+    tenth = F.floor(F.col("page_id") / 10) * 10
+    issues = p.select(F.col("page_id").alias("key"), key(tenth).alias("epic_key"), F.lit(None).cast("string").alias("declared"), F.concat(F.lit("see "), "url", F.lit(".")).alias("summary"), F.col("html").alias("description"))
+    epics = p.filter("page_id % 10 = 0").select(key(F.col("page_id")).alias("key"), F.col("url").alias("declared"))
+    comments = c.select(F.col("conv_id").alias("key"), F.col("turn").alias("id"), F.concat("text", F.lit(" (http://talk.example.org/"), F.col("turn").cast("string"), F.lit(").")).alias("body"))
+    return issues, epics, comments
+
+
+@query(f"WITH {_LINKS} SELECT key, url FROM l")
+def issue_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of issues, of their epics and of their comments, out of whole pages and turns."""
+    issues, epics, comments = _issue_tables(spark, sf_dir)
+    return work.all_links(issues, comments, epics)
+
+
+@query(
+    f"""WITH {_LINKS}, c AS (SELECT conv_id AS key, string_agg(text || ' (http://talk.example.org/' || turn || ').', chr(10) ORDER BY turn) AS comments, count(*) AS n FROM conversations GROUP BY 1),
+    k AS (SELECT key, string_agg(url, ' ' ORDER BY url) AS links FROM l GROUP BY 1)
+    SELECT page_id AS key, 'E' || (page_id // 10 * 10) AS epic_key, coalesce(e.url, '') AS epic_declared, coalesce(c.comments, '') AS comments, coalesce(c.n, 0)::BIGINT AS n_comments, coalesce(k.links, '') AS links
+    FROM pages p LEFT JOIN (SELECT page_id AS e, url FROM pages) e ON e.e = page_id // 10 * 10 LEFT JOIN c ON c.key = page_id LEFT JOIN k ON k.key = page_id"""
+)
+def issue_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues with all that is told of them, as one call."""
+    issues, epics, comments = _issue_tables(spark, sf_dir)
+    docs = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("title"))
+    found = work.issue_information(issues, epics, comments, docs)
+    return found.select("key", "epic_key", "epic_declared", F.array_join("comments", "\n").alias("comments"), F.size("comments").cast("long").alias("n_comments"), F.array_join("links", " ").alias("links"))
+
+
+@query("SELECT DISTINCT s_suppkey AS case_id, s_name AS title, s_nationkey AS suite_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
+def cases_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by their numbers, as all lines ask for them."""
+    cases = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case_id"), F.col("s_name").alias("title"), F.col("s_nationkey").alias("suite_id"))
+    return work.cases_asked(cases, table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("case_id")))
+
+
+@query(
+    """WITH f AS (SELECT p_size AS number, 'f' || p_partkey AS name, p_name || ' ' || p_type AS diff FROM part)
+    SELECT number, string_agg(name || chr(10) || coalesce(diff, ''), chr(10) || chr(10) ORDER BY name) AS diff, count(*)::BIGINT AS n_files FROM f GROUP BY number"""
+)
+def full_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("number"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.concat("p_name", F.lit(" "), "p_type").alias("diff"))
+    return work.full_diff(p)
+
+
 @query(
     """WITH f AS (SELECT l_orderkey AS pr, (l_suppkey % 4)::INTEGER AS risk, 1 << (l_linenumber - 1) AS min_class, 'f' || l_linenumber AS file,
       concat('### ', CASE l_suppkey % 4 WHEN 0 THEN '⚪' WHEN 1 THEN '🟢' WHEN 2 THEN '🟡' ELSE '🔴' END, ' `f', l_linenumber, '`', chr(10), 'fine', chr(10), '- part ', l_partkey) AS text FROM lineitem),

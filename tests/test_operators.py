@@ -288,3 +288,28 @@ def test_endpoints_by_kind():
     for f in (models.embedder, models.chat):
         with pytest.raises(ValueError, match="unknown kind"):
             f("other")
+
+
+def test_sprints_cases_and_classifier_chain(spark):
+    sprints = spark.createDataFrame([(3, "Next", "future"), (2, "Now", "active"), (1, "Then", "closed"), (5, "Later", "future"), (4, "now", "active")], "id int, name string, state string")
+    assert work.sprint(sprints, "active").first()["id"] == 2 and work.sprint(sprints, "future").first()["id"] == 3
+    assert work.sprint(sprints, name="NOW").first()["id"] == 2 and work.sprint(sprints, "active", "then").count() == 0
+    cases = spark.createDataFrame([(1, "a"), (2, "b")], "case_id int, title string")
+    asked = spark.createDataFrame([(2,), (2,)], "case_id int")
+    assert [tuple(r) for r in work.cases_asked(cases, asked).collect()] == [(2, "b")]
+    with pytest.raises(Exception, match="no case 9"):
+        work.cases_asked(cases, spark.createDataFrame([(9,)], "case_id int")).collect()
+    rows = spark.createDataFrame([(1, None, "b"), (2, "a", "b"), (3, None, None)], "id int, x string, y string")
+    chain = models.first_that_handles(F.col("x"), F.col("y"), F.lit("none"))
+    assert [r["c"] for r in rows.orderBy("id").select(chain.alias("c")).collect()] == ["b", "a", "none"]
+
+
+def test_links_of_issues_epics_and_comments(spark):
+    issues = spark.createDataFrame([(1, "E1", "http://w/own", "see http://w/a.", None), (2, "", None, None, None), (3, "E9", None, "http://w/a", "[http://w/b]")], "key int, epic_key string, declared string, summary string, description string")
+    epics = spark.createDataFrame([("E1", "http://w/epic")], "key string, declared string")
+    comments = spark.createDataFrame([(1, 2, "and http://w/a, http://w/c!"), (1, 1, "first"), (2, 1, None)], "key int, id int, body string")
+    found = sorted(map(tuple, work.all_links(issues, comments, epics).collect()))
+    assert found == [(1, "http://w/a"), (1, "http://w/c"), (1, "http://w/epic"), (1, "http://w/own"), (3, "http://w/a"), (3, "http://w/b")]
+    docs = spark.createDataFrame([(7, "Seven")], "page_id long, title string")
+    told = {r["key"]: r for r in work.issue_information(issues, epics, comments.withColumn("body", F.concat("body", F.lit(" http://w/p?pageId=7"))), docs).collect()}
+    assert told[1]["comments"][0].startswith("first") and told[1]["documents"] == ["Seven"] and told[2]["links"] == [] and told[1]["epic_declared"] == "http://w/epic"
