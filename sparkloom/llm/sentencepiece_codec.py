@@ -5,8 +5,7 @@ normalised byte remembers the source byte it came from. A model without a map (a
 has its blanks marked, which is done at once, with the same alignment; the trie runs for models that have one. The normalised text is segmented by the library under a copy
 of the model whose own normaliser does nothing, and the piece boundaries are projected through that alignment.
 
-A worker holds the model and one text's ids at a time; a text is encoded whole, and what its ids decode to is joined from
-the bytes that its pieces stand for.
+A worker holds the model and one text's ids at a time; a text is encoded whole, and its ids are decoded by the library.
 
 Null texts count as empty: no ids, the hash of nothing. Nothing is cut off however long the text is. Repeated rows
 give repeated results; an empty table gives an empty table; columns besides the id and the text are not read, whatever

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow import bounded, pieces, unused
 from sparkloom.llm.components import components
-from sparkloom.storage import fitted, materialize, remove, reread, scratch
+from sparkloom.storage import fitted, held_bytes, materialize, remove, reread, scratch
 
 SEED = 42
 #: Fingerprints of the sample for each shard of the tree that is grown from it; fingerprints meant for a shard; shards at
@@ -295,11 +295,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: st
     return rows.join(classes, rows["fp"] == classes["known"]).select("doc_id", hexed, "component_id")
 
 
+def only(rows: DataFrame, uids: DataFrame) -> DataFrame:
+    """The rows with these uids (a table of distinct ones)."""
+    return rows.join(fitted(uids, BROADCAST_BYTES), "uid", "left_semi")
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (uid, grams) have a Jaccard similarity of at least so much. Only the sets of texts in
-    some pair are moved."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    held = sets.join(used, "uid", "left_semi")
+    some pair are moved, if the list of those can be sent to all machines."""
+    held = only(sets, materialize(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "simhash-used"))
     first, second = (held.select(F.col("uid").alias(n), F.col("grams").alias(f"g{n}")) for n in ("a", "b"))
     both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("ga", "gb"))
@@ -315,30 +319,40 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
         rows = materialize(signatures(docs, shingle, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "simhash-signatures")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "uid")).alias("best")
         texts = materialize(rows.groupBy("same").agg(best).select("same", "best.*"), "simhash-texts")
-        reps = rows.join(texts.select("uid"), "uid", "left_semi")
-        sets = reps.select("uid", "grams")
+        reps = only(rows, texts.select("uid"))
+        if held_bytes(texts.select("uid")) > BROADCAST_BYTES:
+            reps = materialize(reps, "simhash-reps")  # sets are moved once for it, and not at each use
+        sets = bands_of = reps
         # from the trees: fingerprints that are close, and texts that share one
         owners = materialize(reps.groupBy("fp").agg(F.min("uid").alias("owner")), "simhash-owners")
         near = links(owners.select("fp"), bits).toDF("x", "y")
         near = near.join(owners.toDF("x", "a"), "x").join(owners.toDF("y", "b"), "y").select("a", "b")
         equal = reps.join(owners, "fp").filter("uid <> owner").select(F.col("uid").alias("a"), F.col("owner").alias("b"))
-        found = [materialize(alike(near.unionByName(equal).distinct(), sets, similarity), "simhash-links")]
-        # from the bands, round by round, each with one band more in its key
-        bands_of = reps.select("uid", "bands")
-        members = reps.select("uid", F.posexplode("bands").alias("band", "value"))
-        shared = members.groupBy("band", "value").agg(F.count("*").alias("n"))
-        company = members.join(shared, ["band", "value"]).groupBy("uid").agg(F.sum("n").alias("company"))
-        members, where = reread(members.join(company, "uid"), "simhash-members")
+        close = near.unionByName(equal)
+        found = []
+        # from the bands, round by round, each with one band more in its key; with the first the pairs of the trees
+        members = reps.select("uid", F.size("grams").alias("size"), F.posexplode("bands").alias("band", "value"))
+        # a value that no other text has is no key, now or with more bands, and most are such
+        shared = members.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+        members = materialize(members.join(shared, ["band", "value"]), "simhash-shared")
+        company = members.groupBy("uid").agg(F.sum("n").alias("company"))
+        members, where = reread(members.drop("n").join(company, "uid"), "simhash-members")
         for step in range(1, BANDS + 1):
-            leaders = members.groupBy("band", "value").agg(F.max_by("uid", F.struct("company", F.xxhash64("uid"))).alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-            asked = materialize(members.join(leaders, ["band", "value"]).filter("uid <> b").select("band", "company", F.col("uid").alias("a"), "b"), "simhash-asked")
+            leaders = members.groupBy("band", "value").agg(F.max_by(F.struct("uid", "size"), F.struct("company", F.xxhash64("uid"))).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
+            asked = members.join(leaders, ["band", "value"]).filter("uid <> lead.uid").select("band", "company", "size", F.col("uid").alias("a"), F.col("lead.uid").alias("b"), F.col("lead.size").alias("other"))
+            asked = materialize(asked, "simhash-asked")
             remove(spark, where)
-            if asked.isEmpty():
+            if step > 1 and asked.isEmpty():
                 break
-            found.append(materialize(alike(asked.select("a", "b").distinct(), sets, similarity), "simhash-links"))
-            rest = asked.join(found[-1], ["a", "b"], "left_anti").select(F.col("a").alias("uid"), "band", "company")
+            # sets whose sizes differ too much can't be so alike, and need not be moved
+            fits = F.least("size", "other") + 1e-9 >= similarity * F.greatest("size", "other")
+            pairs = asked.filter(fits).select("a", "b")
+            found.append(materialize(alike((pairs.unionByName(close) if step == 1 else pairs).distinct(), sets, similarity), "simhash-links"))
+            rest = materialize(asked.join(found[-1], ["a", "b"], "left_anti").select(F.col("a").alias("uid"), "band", "company", "size"), "simhash-rest")
+            if step == 1:  # what stays open after that is little: later rounds read no more than this
+                sets = bands_of = materialize(only(reps, materialize(rest.select("uid").distinct(), "simhash-open")).select("uid", "bands", "grams"), "simhash-sets")
             key = F.xxhash64(F.slice(F.concat("bands", "bands"), F.col("band") + 1, F.lit(step + 1)))
-            members, where = reread(rest.join(bands_of, "uid").select("uid", "band", key.alias("value"), "company"), "simhash-members")
+            members, where = reread(rest.join(bands_of.select("uid", "bands"), "uid").select("uid", "size", "band", key.alias("value"), "company"), "simhash-members")
         label = components(reduce(DataFrame.unionByName, found))
         label = materialize(texts.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid")), "simhash-label")
         low = label.groupBy("component").agg(F.min(F.struct("last", "doc_id", "th")).alias("low"))
