@@ -8,13 +8,18 @@ makes a link.
 
 Which pairs are estimated: each vector falls into one bucket of each of several tables, keyed by the signs of further
 random directions. The length of a key grows with the logarithm of the number of vectors, so buckets stay small, and the
-number of tables is that at which a pair at the threshold shares a bucket with probability ``RECALL``. A pair that meets
-in several tables counts in the first. Equal vectors are one vector with a count. A bucket of over ``BLOCK`` vectors is
-split into blocks, and each two blocks meet in a group of their own, so no task holds more than two blocks of a bucket
-and nothing is dropped. Groups give counts and a spanning forest, never their pairs.
+number of tables is that at which a pair at the threshold shares a bucket with probability ``RECALL``. To the tables go
+the codes and factors, and the turned vectors as bytes, whose rounding the bound allows for. Only vectors that have a
+partner there which the bound can't rule out are sent themselves, to those tables alone, where the estimates and exact
+cosines of pairs are made; most vectors of a corpus have none, and are not sent at all.
+
+A pair that meets in several tables counts in the first. Equal vectors are one vector with a count. A bucket of over
+``BLOCK_BYTES`` of vectors is split into blocks, and each two blocks meet in a group of their own, so no task holds more
+than two blocks of a bucket and nothing is dropped. Groups give counts and a spanning forest, never their pairs.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of different
-length do not link with each other. A null id is part of no class's smallest id. Repeated rows count as vectors of their
+length do not link with each other. A cosine of the threshold, as double precision has it, links. Vectors may be of any
+length. A null id is part of no class's smallest id. Repeated rows count as vectors of their
 own, linked if they are equal. An empty table gives an empty one; columns besides the id and the vector are not read.
 """
 
@@ -32,8 +37,8 @@ from sparkloom.llm.components import components
 from sparkloom.storage import materialize
 
 RECALL, CONFIDENCE, SEED = 0.99, 3.5, 7
-#: Vectors that a bucket is meant to have; those of a block; rows of a group.
-BUCKET, BLOCK, GROUP = 64, 4_096, 16_384
+#: Vectors that a bucket is meant to have; bytes of those of a block, in double precision; rows of a group.
+BUCKET, BLOCK_BYTES, GROUP = 64, 8 << 20, 16_384
 
 
 @lru_cache(maxsize=8)
@@ -89,6 +94,44 @@ def compare(x: np.ndarray, code: np.ndarray, factor: np.ndarray, keys: np.ndarra
             yield a[linked], b[linked]
 
 
+def rounded(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turned vectors as bytes, and the steps that these count."""
+    step = np.abs(turned).max(1) / 127
+    return np.rint(turned / step[:, None]).astype(np.int8), step
+
+
+def open_rows(q: np.ndarray, step: np.ndarray, code: np.ndarray, factor: np.ndarray, side: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which vectors of a bucket have a partner that the bound can't rule out. A little more than compare() asks for, by what
+    rounding can have taken away."""
+    m, d = q.shape
+    if d < 8:
+        return np.ones(m, bool)
+    signs = (np.unpackbits(code, axis=1, count=d).astype(np.float32) * 2 - 1).T / np.sqrt(d)
+    spread = CONFIDENCE * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1)) * np.sqrt(1 - threshold**2)
+    floor = (threshold - spread) * factor
+    lost = step * np.sqrt(d) / 2 + 1e-5
+    light = q.astype(np.float32) * step[:, None].astype(np.float32)
+    out = np.zeros(m, bool)
+    for at in range(0, m, 512):
+        near = light[at : at + 512] @ signs >= floor[None, :] - lost[at : at + 512, None]
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        if side is not None:
+            near &= side[at : at + 512, None] != side[None, :]
+        out[at : at + 512] |= near.any(1)
+        out |= near.any(0)
+    return out
+
+
+def _buckets(rows: pa.Table) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """A group's columns of numbers, and the rows of each of its buckets in order of their vectors."""
+    col = {c: rows.column(c).to_numpy() for c in ("d", "t", "key", "low", "high", "block", "uid", "factor")}
+    order = np.lexsort((col["uid"], col["high"], col["low"], col["key"], col["t"], col["d"]))
+    change = np.zeros(len(order), bool)
+    for c in ("d", "t", "key", "low", "high"):
+        change[1:] |= col[c][order][1:] != col[c][order][:-1]
+    return col, [own for own in np.split(order, np.flatnonzero(change)) if len(own) > 1]
+
+
 def _unit(flat: bytes, d: int, kind: str) -> np.ndarray:
     x = np.frombuffer(flat, kind).reshape(-1, d).astype("<f8")
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -108,48 +151,76 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     n = distinct.count()
     bits, tables = plan(n, threshold)
     groups = max(1, -(-n * tables // GROUP))
-    # what goes to every table is as narrow as it can be without a loss
+    # what is sent is as narrow as it can be without a loss
     kind = "<f4" if "float" in vectors.schema[vector_col].dataType.simpleString() else "<f8"
     key_kind = "<u2" if bits <= 16 else "<u4" if bits <= 32 else "<u8"
 
+    def vectors_of(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Places, dimension and vectors (as they are sent) of the rows of each dimension."""
+        sizes, begin = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()
+        flat = lists.values.to_numpy()
+        for d in np.unique(sizes):
+            own = np.flatnonzero(sizes == d)
+            x = flat[begin[own][:, None] + np.arange(d)].astype("<f8")
+            if kind == "<f8":
+                x /= np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
+            yield own, int(d), np.ascontiguousarray(x, kind)
+
+    blobs = lambda a: pa.array([r.tobytes() for r in a], pa.binary())
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, mult = (batch.column(i).to_numpy() for i in (0, 1))
-            lists = batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat, begin = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for d in np.unique(sizes):
-                own = np.flatnonzero(sizes == d)
-                x = flat[begin[own][:, None] + np.arange(d)].astype("<f8")
-                if kind == "<f8":
-                    x /= np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
-                x = np.ascontiguousarray(x, kind)
-                code, factor, keys = encode(_unit(x.tobytes(), int(d), kind), bits, tables)
+            uid = batch.column(0).to_numpy()
+            for own, d, x in vectors_of(batch.column(1)):
+                unit = _unit(x.tobytes(), d, kind)
+                code, factor, keys = encode(unit, bits, tables)
+                q, step = rounded(unit @ directions(d, d).T)
                 for part in range(0, len(own), 512):
                     o = slice(part, part + 512)
                     k = len(own[o])
                     rep = lambda a, k=k: np.repeat(a, tables, axis=0)
-                    body = [pa.array([r.tobytes() for r in a[o]], pa.binary()).take(pa.array(np.repeat(np.arange(k), tables))) for a in (x, code, keys.astype(key_kind))]
+                    body = [blobs(a[o]).take(pa.array(np.repeat(np.arange(k), tables))) for a in (q, code)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k * tables, d, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), k)), pa.array(keys[o].ravel()), pa.array(rep(uid[own[o]])), pa.array(rep(mult[own[o]])), pa.array(rep(factor[o])), *body],
-                        names=["d", "t", "key", "uid", "mult", "factor", "x", "code", "keys"],
+                        [pa.array(np.full(k * tables, d, np.int32)), pa.array(np.tile(np.arange(tables, dtype=np.int32), k)), pa.array(keys[o].ravel()), pa.array(rep(uid[own[o]])), pa.array(rep(factor[o])), pa.array(rep(step[o])), *body],
+                        names=["d", "t", "key", "uid", "factor", "step", "q", "code"],
                     )
 
-    schema = "d int, t int, key long, uid long, mult long, factor double, x binary, code binary, keys binary"
-    entries = distinct.select("uid", "mult", "v").mapInArrow(spread, schema)
-    large = entries.groupBy("d", "t", "key").count().filter(F.col("count") > BLOCK).select("d", "t", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    def still_open(rows: pa.Table) -> pa.Table:
+        col, buckets = _buckets(rows)
+        step, blob = rows.column("step").to_numpy(), {c: rows.column(c).to_pylist() for c in ("q", "code")}
+        found = [np.zeros(0, np.int64)]
+        for own in buckets:
+            q = np.frombuffer(b"".join([blob["q"][i] for i in own]), np.int8).reshape(len(own), -1)
+            code = np.frombuffer(b"".join([blob["code"][i] for i in own]), np.uint8).reshape(len(own), -1)
+            side = col["block"][own] if col["low"][own[0]] != col["high"][own[0]] else None
+            found.append(own[open_rows(q, step[own], code, col["factor"][own], side, threshold)])
+        at = pa.array(np.concatenate(found))
+        return pa.table({c: rows.column(c).take(at) for c in ("grp", "d", "t", "key", "low", "high", "block", "uid")})
+
+    entries = distinct.select("uid", "v").mapInArrow(spread, "d int, t int, key long, uid long, factor double, step double, q binary, code binary")
+    block = max(64, BLOCK_BYTES // (8 * max(1, distinct.agg(F.max(F.size("v"))).first()[0] or 1)))
+    large = entries.groupBy("d", "t", "key").count().filter(F.col("count") > block).select("d", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     large = materialize(large, "rabitq-large")
     dealt = entries.join(large, ["d", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("low"), F.greatest("block", j).alias("high"))))
-    dealt = dealt.withColumn("p", pair).select(F.pmod(F.xxhash64("d", "t", "key", "p.low", "p.high"), F.lit(groups)).cast("int").alias("grp"), "d", "t", "key", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "block", "uid", "mult", "factor", "x", "code", "keys")
+    dealt = dealt.withColumn("p", pair).select(F.pmod(F.xxhash64("d", "t", "key", "p.low", "p.high"), F.lit(groups)).cast("int").alias("grp"), "d", "t", "key", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "block", "uid", "factor", "step", "q", "code")
+    left = materialize(dealt.groupBy("grp").applyInArrow(still_open, "grp int, d int, t int, key long, low int, high int, block int, uid long"), "rabitq-open")
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, d, x in vectors_of(batch.column(8)):
+                code, factor, keys = encode(_unit(x.tobytes(), d, kind), bits, tables)
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[:8]), batch.column(9).take(at), pa.array(factor), blobs(x), blobs(code), blobs(keys.astype(key_kind))], names=["grp", "d", "t", "key", "low", "high", "block", "uid", "mult", "factor", "x", "code", "keys"])
+
+    # the vectors themselves, of rows that are still open
+    exact = left.join(distinct.select("uid", "v", "mult"), "uid").select("grp", "d", "t", "key", "low", "high", "block", "uid", "v", "mult")
+    exact = exact.mapInArrow(sent, "grp int, d int, t int, key long, low int, high int, block int, uid long, mult long, factor double, x binary, code binary, keys binary")
 
     def within(rows: pa.Table) -> pa.Table:
-        col = {c: rows.column(c).to_numpy() for c in ("d", "t", "key", "low", "high", "block", "uid", "mult", "factor")}
+        col, buckets = _buckets(rows)
+        mults = rows.column("mult").to_numpy()
         blob = {c: rows.column(c).to_pylist() for c in ("x", "code", "keys")}
-        order = np.lexsort((col["uid"], col["high"], col["low"], col["key"], col["t"], col["d"]))
-        change = np.zeros(len(order), bool)
-        for c in ("d", "t", "key", "low", "high"):
-            change[1:] |= col[c][order][1:] != col[c][order][:-1]
         uids, where = np.unique(col["uid"], return_inverse=True)
         count = np.zeros(len(uids), np.int64)
         parent = np.arange(len(uids))
@@ -160,15 +231,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                 i = parent[i]
             return i
 
-        for own in np.split(order, np.flatnonzero(change)):
-            if len(own) < 2:
-                continue
+        for own in buckets:
             d, t = int(col["d"][own[0]]), int(col["t"][own[0]])
             x = _unit(b"".join([blob["x"][i] for i in own]), d, kind)
             code = np.frombuffer(b"".join([blob["code"][i] for i in own]), np.uint8).reshape(len(own), -1)
             keys = np.frombuffer(b"".join([blob["keys"][i] for i in own]), key_kind).reshape(len(own), -1)
             side = col["block"][own] if col["low"][own[0]] != col["high"][own[0]] else None
-            place, mult = where[own], col["mult"][own]
+            place, mult = where[own], mults[own]
             for a, b in compare(x, code, col["factor"][own], keys, t, side, threshold):
                 np.add.at(count, place[a], mult[b])
                 np.add.at(count, place[b], mult[a])
@@ -183,7 +252,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         hit = np.flatnonzero(count)
         return pa.table({"uid": uids[hit], "n": count[hit], "other": uids[[root(i) for i in hit]]} if len(hit) else {"uid": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
 
-    found = materialize(dealt.groupBy("grp").applyInArrow(within, "uid long, n long, other long"), "rabitq-links")
+    found = materialize(exact.groupBy("grp").applyInArrow(within, "uid long, n long, other long"), "rabitq-links")
     counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
     label = materialize(components(found.select("uid", "other")), "rabitq-components")
     known = distinct.select("uid", "h1", "h2", "least", "mult").join(label.select(F.col("node").alias("uid"), "component"), "uid", "left").withColumn("component", F.coalesce("component", "uid")).join(counts, "uid", "left")

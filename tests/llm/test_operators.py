@@ -565,7 +565,7 @@ def test_embeddings_recall(spark):
 
 
 def test_embeddings_large_bucket_is_split(spark, monkeypatch):
-    monkeypatch.setattr(rabitq, "BLOCK", 40)
+    monkeypatch.setattr(rabitq, "BLOCK_BYTES", 64 * 8 * 32)
     rng = np.random.default_rng(3)
     centre = rng.standard_normal(16)
     v = {i: (centre + rng.standard_normal(16) * 0.1).tolist() for i in range(200)}
@@ -584,6 +584,36 @@ def test_embeddings_edges(spark):
     assert rabitq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("d", [4, 16, 64, 200])
+def test_rows_with_links_stay_open(d):
+    """Every vector of a pair that the estimates let through is sent, and few others."""
+    rng = np.random.default_rng(d)
+    base = rng.standard_normal((300, d))
+    x = np.concatenate([base, base[:60] + rng.standard_normal((60, d)) * 0.2 / np.sqrt(d) * np.linalg.norm(base[:60], axis=1)[:, None]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    code, factor, keys = rabitq.encode(x, 8, 3)
+    q, step = rabitq.rounded(x @ rabitq.directions(d, d).T)
+    found = rabitq.open_rows(q, step, code, factor, None, 0.95)
+    linked = {int(i) for a, b in rabitq.compare(x, code, factor, keys, 0, None, 0.95) for i in (*a, *b)}
+    assert linked <= set(np.flatnonzero(found)) and (len(linked) >= 100 or d == 4)
+    assert d < 64 or found.sum() < 160
+    side = np.arange(len(x)) % 2
+    across = {int(i) for a, b in rabitq.compare(x, code, factor, keys, 0, side, 0.95) for i in (*a, *b)}
+    assert across <= set(np.flatnonzero(rabitq.open_rows(q, step, code, factor, side, 0.95)))
+
+
+def test_embeddings_with_clashing_columns_long_vectors_and_ties(spark):
+    rng = np.random.default_rng(8)
+    long_ = rng.standard_normal((3, 4000))
+    long_[1] = long_[0] * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(long_)] + [(10, [1.0, 0.0]), (11, [0.95, float(np.sqrt(1 - 0.95**2))]), (12, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit("clash").alias(c) for c in ("uid", "v", "d", "t", "key", "grp", "mult", "h1", "h2", "n", "component", "least")))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rabitq.near_duplicates(df).collect()}
+    dot = np.dot(np.array(rows[3][1]), np.array(rows[4][1]))
+    assert got[0] == (1, 0) and got[1] == (1, 0) and got[2] == (0, 2) and got[12] == (0, 12)
+    assert got[10][0] == int(dot >= 0.95)  # a cosine of the threshold links
+
+
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))
