@@ -18,10 +18,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of the language.
-MODIFIERS = frozenset("public private protected internal static sealed abstract virtual override async partial readonly extern unsafe new file required const volatile".split())
-TYPES = frozenset("class struct interface".split())
+MODIFIERS = frozenset({
+    "public", "private", "protected", "internal", "static", "sealed", "abstract", "virtual", "override", "async", "partial", "readonly",
+    "extern", "unsafe", "new", "file", "required", "const", "volatile",
+})
+TYPES = frozenset({
+    "class", "struct", "interface",
+})
 #: Words that no return type or method name is.
-OTHERS = frozenset("return throw if for while switch lock catch foreach using fixed goto yield await case default do else try finally break continue checked unchecked this base typeof event delegate enum namespace in out is as get set init add remove".split())
+OTHERS = frozenset({
+    "return", "throw", "if", "for", "while", "switch", "lock", "catch", "foreach", "using", "fixed", "goto", "yield", "await", "case",
+    "default", "do", "else", "try", "finally", "break", "continue", "checked", "unchecked", "this", "base", "typeof", "event", "delegate",
+    "enum", "namespace", "in", "out", "is", "as", "get", "set", "init", "add", "remove",
+})
 
 TOKEN = re.compile(
     r"""(?P<blank>\s+|//[^\n]*|/\*.*?(?:\*/|\Z)|(?<![^\n])[ \t]*\#[^\n]*)

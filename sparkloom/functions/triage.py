@@ -19,24 +19,57 @@ from sparkloom.functions.pairing import pairs
 from sparkloom.functions.text import KEEP_OUT, REVIEW, TEST_ENDS, TEST_PARTS
 
 # Words of the two languages, and names that tell what a line is about.
-CSHARP_WORDS = set(
-    "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while async await record var dynamic when nameof get set init add remove".split()
-)
-SCRIPT_WORDS = set(
-    "break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with yield let enum await async implements interface package private protected public null true false".split()
-)
-CONTROL = set("if else for foreach while switch case default return throw try catch finally using await lock yield break continue".split())
-CONCURRENCY = set("await async Task Thread lock Monitor Interlocked Parallel Semaphore Channel IAsyncEnumerable Promise then setTimeout setInterval".split())
-VISIBILITY = set("public private protected internal export default".split())
-ERRORS = set("throw catch finally ILogger Log Console Debug".split())
-DATA = set("Sql Db DbSet ExecuteSql SqlCommand SaveChanges Find Add Update Remove fetch axios".split())
-SECURITY = set("Authorize Authentication Jwt Cors CORS Cookie X-Frame-Options Content-Security-Policy".split())
+CSHARP_WORDS = {
+    "abstract", "as", "base", "bool", "break", "byte", "case", "catch", "char", "checked", "class", "const", "continue", "decimal",
+    "default", "delegate", "do", "double", "else", "enum", "event", "explicit", "extern", "false", "finally", "fixed", "float", "for",
+    "foreach", "goto", "if", "implicit", "in", "int", "interface", "internal", "is", "lock", "long", "namespace", "new", "null", "object",
+    "operator", "out", "override", "params", "private", "protected", "public", "readonly", "ref", "return", "sbyte", "sealed", "short",
+    "sizeof", "stackalloc", "static", "string", "struct", "switch", "this", "throw", "true", "try", "typeof", "uint", "ulong", "unchecked",
+    "unsafe", "ushort", "using", "virtual", "void", "volatile", "while", "async", "await", "record", "var", "dynamic", "when", "nameof",
+    "get", "set", "init", "add", "remove",
+}
+SCRIPT_WORDS = {
+    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export", "extends", "finally",
+    "for", "function", "if", "import", "in", "instanceof", "new", "return", "super", "switch", "this", "throw", "try", "typeof", "var",
+    "void", "while", "with", "yield", "let", "enum", "await", "async", "implements", "interface", "package", "private", "protected",
+    "public", "null", "true", "false",
+}
+CONTROL = {
+    "if", "else", "for", "foreach", "while", "switch", "case", "default", "return", "throw", "try", "catch", "finally", "using", "await",
+    "lock", "yield", "break", "continue",
+}
+CONCURRENCY = {
+    "await", "async", "Task", "Thread", "lock", "Monitor", "Interlocked", "Parallel", "Semaphore", "Channel", "IAsyncEnumerable", "Promise",
+    "then", "setTimeout", "setInterval",
+}
+VISIBILITY = {
+    "public", "private", "protected", "internal", "export", "default",
+}
+ERRORS = {
+    "throw", "catch", "finally", "ILogger", "Log", "Console", "Debug",
+}
+DATA = {
+    "Sql", "Db", "DbSet", "ExecuteSql", "SqlCommand", "SaveChanges", "Find", "Add", "Update", "Remove", "fetch", "axios",
+}
+SECURITY = {
+    "Authorize", "Authentication", "Jwt", "Cors", "CORS", "Cookie", "X-Frame-Options", "Content-Security-Policy",
+}
 CALL_PUNCTUATION = set(".,:=()<>{}[];")
-CALL_FORBIDDEN = set("await throw try catch lock using".split())
-ACCESSORS = set("get set init add remove".split())
+CALL_FORBIDDEN = {
+    "await", "throw", "try", "catch", "lock", "using",
+}
+ACCESSORS = {
+    "get", "set", "init", "add", "remove",
+}
 
 # Labels in the order in which a reason names them.
-LABELS = "generated-artifact config-formatting-only snapshots-formatting-only license-header-only project-noise deletions-only whitespace-only comments-only imports-only regions-only typo-fix pure-rename bad-rename callsite-adaptation-only tests-behavior-changed tests-refactor-only logic-changed signature-or-visibility-changed control-flow-changed concurrency-changed error-handling-logging-changed data-access-changed security-or-boundary-changed build-or-runtime-values-changed uncertain-keep".split()
+LABELS = [
+    "generated-artifact", "config-formatting-only", "snapshots-formatting-only", "license-header-only", "project-noise", "deletions-only",
+    "whitespace-only", "comments-only", "imports-only", "regions-only", "typo-fix", "pure-rename", "bad-rename", "callsite-adaptation-only",
+    "tests-behavior-changed", "tests-refactor-only", "logic-changed", "signature-or-visibility-changed", "control-flow-changed",
+    "concurrency-changed", "error-handling-logging-changed", "data-access-changed", "security-or-boundary-changed",
+    "build-or-runtime-values-changed", "uncertain-keep",
+]
 
 # Patterns of tokens, hunk headers and assertions.
 NUMBER = r"\b(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+\-]?\d+)?)\b"
