@@ -105,12 +105,13 @@ def markdown_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, 2::INTEGER AS pos, 'requirement' AS rule, trim(concat('T > Requirements', chr(10), 'R ' || doc_id)) AS sample FROM documents
-    UNION ALL SELECT doc_id, 1::INTEGER, 'motivation', concat('T > Background & Motivation', chr(10), 'M ' || doc_id) FROM documents"""
+    """WITH d AS (SELECT doc_id, trim(text, chr(10) || chr(32)) AS c FROM documents)
+    SELECT doc_id, 2::INTEGER AS pos, 'requirement' AS rule, trim(concat('T > Requirements', chr(10), c)) AS sample FROM d
+    UNION ALL SELECT doc_id, 1::INTEGER, 'motivation', trim(concat('T > Background & Motivation', chr(10), c)) FROM d WHERE c <> ''"""
 )
 def segment_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("doc_id").cast("string")
-    md = F.concat(F.lit("# T\nx\n## Background & Motivation\nM "), i, F.lit("\n## Requirements\nR "), i)
+    """Samples of Markdown that has a document's whole text below two headings."""
+    md = F.concat(F.lit("# T\nx\n## Background & Motivation\n"), "text", F.lit("\n## Requirements\n"), "text")
     found = segments.explode_segments(table(spark, sf_dir, "documents").select("doc_id", md.alias("md")), "md", "doc_id")
     return segments.samples(found, "doc_id")
 

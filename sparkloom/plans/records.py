@@ -81,12 +81,16 @@ def stub_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", models.embed(F.col("text"), models.StubEmbedder(16)).alias("vec"))
 
 
-@query("SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query(
+    """WITH a AS (SELECT conv_id, turn, length(text) || ': ' || array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:8], ' ') AS answer FROM conversations),
+    m AS (SELECT conv_id, 'Merge:' || chr(10) || string_agg(answer, chr(10) || chr(10) ORDER BY turn) AS p FROM a GROUP BY conv_id)
+    SELECT conv_id, length(p) || ': ' || array_to_string(list_filter(string_split_regex(p, '\\s+'), lambda x: x <> '')[1:8], ' ') AS answer FROM m"""
+)
 def answers_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the stand-in model to each turn, merged for each conversation."""
     c = table(spark, sf_dir, "conversations")
     answers = c.select("conv_id", "turn", models.complete(F.coalesce("text", F.lit("")), models.StubChat()).alias("answer"))
-    return models.merge(answers, "conv_id", "turn", "answer", models.StubChat()).agg(F.count("*").alias("n"))
+    return models.merge(answers, "conv_id", "turn", "answer", models.StubChat())
 
 
 @query("SELECT event_id, '{\"type\":\"' || event_type || '\",\"n\":' || event_id || '}' AS parsed FROM events")
@@ -97,8 +101,14 @@ def structured_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.to_json(models.structured(raw, "type string, n long", models.StubChat())).alias("parsed"))
 
 
-@query("SELECT * FROM (VALUES ('CanceledDueToTimeout', 1), ('DotNetTestsRunFailure', 2), ('DotNetBuildFailure', 4), ('TimeoutDueToLongRunningTest', 8)) t(name, value)")
+@query(
+    """WITH f(name, value) AS (VALUES ('CanceledDueToTimeout', 1), ('DotNetTestsRunFailure', 2), ('DotNetBuildFailure', 4), ('TimeoutDueToLongRunningTest', 8))
+    SELECT name, value, count(l_orderkey)::BIGINT AS n FROM f LEFT JOIN lineitem ON (1 << (l_linenumber - 1)) & value <> 0 GROUP BY ALL"""
+)
 def failure_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The known failures, and how many lines have the flag of each."""
     from sparkloom.functions.flags import FAILURES
 
-    return spark.createDataFrame(sorted(FAILURES.items(), key=lambda x: x[1]), "name string, value int").orderBy("value")
+    flag = F.expr("shiftleft(1, CAST(l_linenumber - 1 AS INT))")
+    counts = table(spark, sf_dir, "lineitem").agg(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).alias("value"), F.count_if(flag.bitwiseAND(F.lit(v)) != 0).alias("n")) for n, v in FAILURES.items())).alias("c"))
+    return counts.select(F.explode("c").alias("c")).select("c.*")

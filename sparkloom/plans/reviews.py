@@ -182,9 +182,10 @@ def issue_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return work.linked_documents(issues, p.select("page_id", F.col("url").alias("title")), "summary").select("key", "page_id", "url", "title")
 
 
-@query("WITH t AS (SELECT doc_id, 'T' || doc_id % 400 AS title FROM documents) SELECT doc_id, title FROM t WHERE title NOT IN (SELECT title FROM t JOIN labels USING (doc_id))")
+@query("SELECT doc_id, text AS title FROM documents WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id))")
 def missing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("T"), (F.col("doc_id") % 400).cast("string")).alias("title"))
+    """Documents whose whole text, as a title, no labelled document has."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"))
     return index.missing_titles(t, t.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")).select("doc_id", "title")
 
 
@@ -227,10 +228,16 @@ def stage_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.first_by_level(nodes, _edges(spark, sf_dir), tree.named(F.col("name"), "parallel SRC5")).select("id", "depth")
 
 
-@query("SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'integer' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE 'string' END AS type FROM (DESCRIBE lineitem)")
+@query(
+    """WITH n AS (UNPIVOT (SELECT count(COLUMNS(*)) FROM lineitem) ON COLUMNS(*) INTO NAME name VALUE n)
+    SELECT column_name AS name, CASE column_type WHEN 'BIGINT' THEN 'integer' WHEN 'INTEGER' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE 'string' END AS type, n FROM (DESCRIBE lineitem) JOIN n ON name = column_name"""
+)
 def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = json.loads(flows.json_schema(table(spark, sf_dir, "lineitem")))
-    return spark.createDataFrame([(n, x["type"]) for n, x in found["properties"].items()], "name string, type string")
+    """Fields and types of the schema that rows are told by, and how many rows have each."""
+    rows = table(spark, sf_dir, "lineitem")
+    types = F.create_map(*(F.lit(x) for n, p in json.loads(flows.json_schema(rows))["properties"].items() for x in (n, p["type"])))
+    counts = F.array(*(F.struct(F.lit(c).alias("name"), F.count(c).alias("n")) for c in rows.columns))
+    return rows.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.name", types[F.col("c.name")].alias("type"), "c.n")
 
 
 @query("SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS at, greatest(0, (epoch_us(TIMESTAMP '2024-01-20 00:00:00') // 1000000) - epoch_us(ts) // 1000000)::BIGINT AS seconds_left FROM events")
@@ -276,19 +283,19 @@ def string_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT item_id, 'item ' || item_id || ' please' AS query, {_stub("'Put as a search query:' || chr(10) || 'item ' || item_id || ' please'")} AS optimised FROM benchmark")
+@query(f"SELECT item_id, text AS query, {_stub("'Put as a search query:' || chr(10) || text")} AS optimised FROM benchmark")
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(" please"))
-    return table(spark, sf_dir, "benchmark").select("item_id", flows.search_query(q, models.StubChat()).alias("s")).select("item_id", "s.query", "s.optimised")
+    found = table(spark, sf_dir, "benchmark").select("item_id", flows.search_query(F.col("text"), models.StubChat()).alias("s"))
+    return found.select("item_id", "s.query", "s.optimised")
 
 
 @query(
-    f"""WITH t AS (SELECT 'S3' AS series, 'P' || page_id AS title, 'about ' || page_id AS sample, page_id FROM pages) SELECT series, title, {_stub("'Rephrase the background of ' || title || ':' || chr(10) || sample")} AS background
+    f"""WITH t AS (SELECT 'S3' AS series, 'P' || page_id AS title, html AS sample, page_id FROM pages) SELECT series, title, {_stub("'Rephrase the background of ' || title || ':' || chr(10) || sample")} AS background
     FROM t WHERE page_id % 3 <> 0"""
 )
 def background_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id").cast("string")
-    t = table(spark, sf_dir, "pages").select(F.lit("S3").alias("series"), F.concat(F.lit("P"), i).alias("title"), F.concat(F.lit("about "), i).alias("sample"), "page_id")
+    """Whole pages as backgrounds; an index that has every third of them."""
+    t = table(spark, sf_dir, "pages").select(F.lit("S3").alias("series"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("title"), F.col("html").alias("sample"), "page_id")
     return flows.background_samples(t, t.filter("page_id % 3 = 0"), models.StubChat()).select("series", "title", "background")
 
 
@@ -342,6 +349,6 @@ def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.review_plan(_files(spark, sf_dir), models.StubChat(), 1)
 
 
-@query(f"SELECT item_id, {_stub("'Improve this prompt for yourself:' || chr(10) || 'prompt ' || item_id")} AS prompt FROM benchmark")
+@query(f"SELECT item_id, {_stub("'Improve this prompt for yourself:' || chr(10) || text")} AS prompt FROM benchmark")
 def better_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", flows.better_prompt(F.concat(F.lit("prompt "), F.col("item_id").cast("string")), models.StubChat()).alias("prompt"))
+    return table(spark, sf_dir, "benchmark").select("item_id", flows.better_prompt(F.col("text"), models.StubChat()).alias("prompt"))
