@@ -169,6 +169,20 @@ def diff_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("t")).select("doc_id", "t.filter", "t.reason")
 
 
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN false END AS filter,
+    CASE doc_id % 4 WHEN 0 THEN 'whitespace-only' WHEN 1 THEN 'comments-only' WHEN 3 THEN 'generated-artifact;comments-only' END AS reason FROM documents"""
+)
+def triage_of_known_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' whole texts, changed in their blanks alone or as comments, in files of several kinds."""
+    kind = F.col("doc_id") % 4
+    moved = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("-"), x, F.lit("\n+  "), x))
+    said = F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("-// "), x, F.lit("\n+ // "), x, F.lit(" again")))
+    path = F.concat(F.lit("Src/F"), F.col("doc_id").cast("string"), F.when(kind == 0, ".cs").when(kind == 1, ".ts").when(kind == 2, ".md").otherwise(".g.cs"))
+    found = triage.triage(path, F.concat(F.lit("@@ -1,9 +1,9 @@\n"), F.array_join(F.when(kind == 0, moved).otherwise(said), "\n")))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("t")).select("doc_id", "t.filter", "t.reason")
+
+
 @query()
 def line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of each kind documents' lines have as code."""
@@ -186,6 +200,28 @@ def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html.to_text(F.col("html")).alias("plain"))
 
 
+_BUILT = """l AS (SELECT doc_id, unnest(range(0, len(t))) AS i, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),
+    b AS (SELECT doc_id, string_agg(CASE WHEN i % 4 = 3 THEN '  - ' || line || chr(10) ELSE line || chr(10) || chr(10) END, '' ORDER BY i) AS body FROM l GROUP BY doc_id)"""
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that have a document's lines as paragraphs and list items, escaped, below a heading."""
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    block = lambda x, i: F.when(i % 4 == 3, F.concat(F.lit("<ul><li>"), x, F.lit("</li></ul>"))).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    body = F.array_join(F.transform(F.split(escaped, "\n"), block), "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("<html><body><h1>Doc &amp; "), F.col("doc_id").cast("string"), F.lit("</h1>"), body, F.lit("</body></html>")).alias("html"))
+
+
+@query(f"WITH {_BUILT} SELECT doc_id, rtrim('# Doc & ' || doc_id || chr(10) || chr(10) || body, chr(10) || chr(32) || chr(9) || chr(13)) AS markdown FROM b")
+def html_built_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).select("doc_id", html.to_markdown(F.col("html")).alias("markdown"))
+
+
+@query(f"WITH {_BUILT} SELECT doc_id, rtrim('Doc & ' || doc_id || chr(10) || chr(10) || body, chr(10) || chr(32) || chr(9) || chr(13)) AS plain FROM b")
+def html_built_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).select("doc_id", html.to_text(F.col("html")).alias("plain"))
+
+
 @query()
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.to_sections(F.col("html"))).alias("pos", "s"))
