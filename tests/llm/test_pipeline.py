@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkloom.llm import langid, mixing, queries
+from sparkloom.llm import langid, mixing, queries, simhash
 from sparkloom.storage import materialize
 from tests.llm import plain
 
@@ -119,3 +119,29 @@ def test_stages_on_odd_rows(spark, sf_dir, odd):
 def test_stages_on_an_empty_table(spark, sf_dir, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), sf_dir).count() == 0
+
+
+def test_copies_among_form_letters(spark):
+    """Families of letters on one form: within a family just above the similarity, across families well below it, so that most
+    of what shares a band is not alike. Nine in ten of the pairs that brute force links end up together."""
+    rng = random.Random(9)
+    form = [f"form{i}" for i in range(200)]
+
+    def varied(words: list[str], at: list[int], tag: str) -> list[str]:
+        return [f"{tag}{i}" if i in at else w for i, w in enumerate(words)]
+
+    letters = []
+    for f in range(60):
+        family = varied(form, rng.sample(range(0, 200, 9), 5), f"f{f}x")
+        for m in range(5):
+            letters.append(varied(family, rng.sample(range(4, 200, 9), 2), f"m{f}x{m}x"))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in letters]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 300 and sum(a // 5 != b // 5 for a, b in pairs) < 0.1 * len(pairs)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(letters)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    together = sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+    print("together", together, len(pairs))
+    assert together >= 0.9
+    wrong = plain.near_copies([(i, " ".join(w)) for i, w in enumerate(letters)])
+    assert all(wrong[i] <= found[i] for i in found)  # nothing is linked that brute force does not link
