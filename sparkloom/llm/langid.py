@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import bounded, pieces
+from sparkloom.llm.arrow import bounded, lent, pieces
 from sparkloom.llm.sampling import bounded_sample
 from sparkloom.storage import materialize, scratch
 
@@ -181,9 +181,10 @@ def _margins(texts: DataFrame, model: Model) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = [sent.value.margin(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "margin"])
+        with lent(sent) as known:
+            for batch in pieces(batches):
+                found = [known.margin(t) for t in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "margin"])
 
     return texts.mapInArrow(run, "lang string, margin double")
 
@@ -193,9 +194,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            found = [sent.value.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["own", "lang_pred", "score"])
+        with lent(sent) as known:
+            for batch in pieces(batches):
+                found = [known.predict(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["own", "lang_pred", "score"])
 
     own = F.struct(F.col(id_col).alias("doc_id"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))).alias("own")
     rows = bounded(docs).select(own, F.col(text_col).alias("text"))
@@ -215,12 +217,13 @@ def accepted(docs: DataFrame, model: Model, share: float = LEAST_SHARE, words: i
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
-    def fits(text: str | None) -> bool:
-        lang, margin, n = sent.value.margin(text)
-        return lang != UNKNOWN and (n < words or margin >= share * sent.value.usual.get(lang, 0.0))
+    def fits(known: Model, text: str | None) -> bool:
+        lang, margin, n = known.margin(text)
+        return lang != UNKNOWN and (n < words or margin >= share * known.usual.get(lang, 0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield batch.filter(pa.array([fits(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+        with lent(sent) as known:
+            for batch in pieces(batches):
+                yield batch.filter(pa.array([fits(known, t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return bounded(docs).mapInArrow(run, docs.schema)

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import bounded, pieces
+from sparkloom.llm.arrow import bounded, pieces, tidy, tidy_pair
 from sparkloom.storage import fitted, held_bytes, materialize, scratch
 
 LENGTH = 50
@@ -419,13 +419,13 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
         lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64())) for x in (firsts_, ends)]
         return pa.Table.from_arrays([pa.array(ord_[which]), pa.array(th[which]), *lists], schema=schema)
 
-    sent = grouped.groupBy("grp").applyInArrow(keys, "bucket int, grp int, keys binary, many binary")
-    back = sent.groupBy("bucket").applyInArrow(shared, "grp int, bucket int, keys binary, hot binary")
+    sent = grouped.groupBy("grp").applyInArrow(tidy(keys), "bucket int, grp int, keys binary, many binary")
+    back = sent.groupBy("bucket").applyInArrow(tidy(shared), "grp int, bucket int, keys binary, hot binary")
     form = "target int, kind int, grp int, n int, ids binary, sizes binary, data binary"
-    cut = grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(segments, form)
+    cut = grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(tidy_pair(segments), form)
     # segments and places go through the same two exchanges, so that neither is worked out twice or stored
-    ordered = cut.groupBy("target").applyInArrow(sort, form)
-    found = ordered.groupBy("grp").applyInArrow(settle, "ord long, th long, begins array<long>, ends array<long>")
+    ordered = cut.groupBy("target").applyInArrow(tidy(sort), form)
+    found = ordered.groupBy("grp").applyInArrow(tidy(settle), "ord long, th long, begins array<long>, ends array<long>")
     return found.unionByName(copies.select("ord", "th", F.array(F.lit(0).cast("long")).alias("begins"), F.array("n").alias("ends")))
 
 
