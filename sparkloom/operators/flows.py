@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import COMMENT_CHARS, has_marker, issue_keys
+from sparkloom.functions.triage import triage
 from sparkloom.operators import blocks, models, packing, vector
 from sparkloom.operators.ranks import first_rows
+from sparkloom.storage import materialize
 
 # Signs of a review's risk, from none to high.
 RISK_SIGNS = ("⚪", "🟢", "🟡", "🔴")
@@ -142,6 +144,25 @@ def review_plan(files: DataFrame, endpoint: models.Chat, worst: int, by: str = "
     return rows.select(by, models.complete(F.concat(F.lit("Plan the review of:\n"), "_names"), endpoint).alias("plan"))
 
 
+def comprehensive_review(files: DataFrame, endpoint: models.Chat, worst: int = 1, limit: int = 32_768, by: str = "number") -> DataFrame:
+    """The whole review of pull requests from their files (number, name, diff), as one call: files that triage finds need none
+    are passed over; the others are classified and reviewed, and of their reviews come a comment, an overview and a plan. A row
+    for each pull request: n_files (reviewed), n_skipped, comment, overview, plan; empty texts where no file was reviewed. What a
+    model says of a file is written to a table, so that it is asked once."""
+    judged = files.withColumn("_t", triage(F.col("name"), F.col("diff")))
+    skipped = F.coalesce(~F.col("_t.filter"), F.lit(False))
+    judged = materialize(judged.select(by, "name", F.coalesce("diff", F.lit("")).alias("diff"), skipped.alias("skipped")), "triage")
+    classed = classify_files(judged.filter("not skipped"), endpoint)
+    level = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class")).cast("int") - 1
+    said = models.complete(F.concat(F.lit("Review "), "name", F.lit("\n"), "diff"), endpoint)
+    done = materialize(classed.select(by, "name", level.alias("min_class"), (len(CLASSES) - 1 - level).alias("risk"), F.col("reason"), said.alias("summary")), "reviews")
+    texts = done.select(by, "risk", "min_class", F.col("name").alias("file"), file_review(F.col("name"), F.col("summary"), F.col("risk"), F.array().cast("array<string>")).alias("text"))
+    comments = review_comment(texts, by).select(by, "comment")
+    counts = judged.groupBy(by).agg(F.count_if(~F.col("skipped")).alias("n_files"), F.count_if("skipped").alias("n_skipped"))
+    out = counts.join(comments, by, "left").join(overview(done, endpoint, limit, by), by, "left").join(review_plan(done, endpoint, worst, by), by, "left")
+    return out.select(by, "n_files", "n_skipped", *(F.coalesce(c, F.lit("")).alias(c) for c in ("comment", "overview", "plan")))
+
+
 def better_prompt(prompt: Column, endpoint: models.Chat) -> Column:
     """A system prompt as the model itself would put it."""
     return models.complete(F.concat(F.lit("Improve this prompt for yourself:\n"), prompt), endpoint)

@@ -349,6 +349,22 @@ def review_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.review_plan(_files(spark, sf_dir), models.StubChat(), 1)
 
 
+@query(
+    f"""WITH f AS (SELECT p_size AS number, 'src/f' || p_partkey || CASE WHEN p_partkey % 5 = 0 THEN '.g.cs' ELSE '.md' END AS name, p_name || ' ' || p_type AS diff, p_partkey % 5 = 0 AS skipped FROM part),
+    r AS (SELECT number, name, '### 🔴 `' || name || '`' || chr(10) || {_stub("'Review ' || name || chr(10) || diff")} AS text FROM f WHERE NOT skipped),
+    t AS (SELECT *, sum(length(text) + 4) OVER (PARTITION BY number ORDER BY name ROWS UNBOUNDED PRECEDING) - 4 AS total FROM r),
+    c AS (SELECT number, string_agg(text, chr(10) || chr(10) || chr(10) || chr(10) ORDER BY name) AS comment FROM t WHERE total <= 65536 GROUP BY number),
+    p AS (SELECT number, string_agg(name, chr(10) ORDER BY name) AS names FROM r GROUP BY number)
+    SELECT number, count(*) FILTER (NOT skipped)::BIGINT AS n_files, count(*) FILTER (skipped)::BIGINT AS n_skipped, coalesce(any_value(c.comment), '') AS comment, coalesce(any_value({_stub("'Plan the review of:' || chr(10) || names")}), '') AS plan
+    FROM f LEFT JOIN c USING (number) LEFT JOIN p USING (number) GROUP BY number"""
+)
+def comprehensive_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reviews of parts as files, every fifth of them generated, by the stand-in model."""
+    ending = F.when(F.col("p_partkey") % 5 == 0, ".g.cs").otherwise(".md")
+    files = table(spark, sf_dir, "part").select(F.col("p_size").alias("number"), F.concat(F.lit("src/f"), F.col("p_partkey").cast("string"), ending).alias("name"), F.concat("p_name", F.lit(" "), "p_type").alias("diff"))
+    return flows.comprehensive_review(files, models.StubChat()).drop("overview")
+
+
 @query(f"SELECT item_id, {_stub("'Improve this prompt for yourself:' || chr(10) || text")} AS prompt FROM benchmark")
 def better_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", flows.better_prompt(F.col("text"), models.StubChat()).alias("prompt"))
