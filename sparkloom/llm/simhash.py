@@ -18,8 +18,14 @@ Texts that share a band value, and fingerprints that the trees find close, are c
 sets decides. Within a band all are held against one leader: the text whose band values most others share, which is the
 middle of a group of copies if the group has one. Those who are not like it meet again in the next round under a key of one
 band more, which few but those that are more alike than that share, until no key has two of them left. So pairs grow with
-the texts and not with a group's square, and texts with equal sets are one text all the way. A text at the very threshold
-that is like none of its leaders may stay apart from others that it is like.
+the texts and not with a group's square, and texts with equal sets are one text all the way.
+
+That joins most of what is alike, but not all: the trees give a forest whose links need not be alike themselves, bands can
+miss, and a text may be like none of its leaders. ``remaining`` finds the rest, whatever the first part has found, by prefixes:
+with the shingles of every set in one order, the rarest first, two sets at the similarity share one among the first fifth
+of each (at 0.8), and where it stands bounds what they can share in all. Only pairs that lie in different components so far
+are compared. The order is by the exact number of sets that have a shingle, but for those in a hundredth of a bounded sample,
+which come last; any order gives the same result, and this one few pairs.
 
 Null and empty texts have fingerprint zero and no shingles, and are linked like any other. A row whose id is null gets its
 fingerprint and the component of the others (null if there is none). Very long texts are read whole, in parts. Ties go to
@@ -36,10 +42,10 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import bounded, pieces, unused
+from sparkloom.llm.arrow import bounded, pieces, tidy, unused
 from sparkloom.llm.components import components
 from sparkloom.storage import fitted, held_bytes, materialize, remove, reread, scratch
 
@@ -54,6 +60,10 @@ BANDS, BAND = 16, 5
 BROADCAST_BYTES = 32 << 20
 #: Fingerprints of a block that is compared in full.
 BLOCK = 256
+#: Shingles that a task deals to buckets at a time, and shingles meant for a bucket, 12 bytes each; buckets at most, as a power of 2.
+DEALT, BUCKET, BUCKET_BITS = 2 << 20, 1 << 19, 16
+#: Sets of the sample in which shingles count as common if a hundredth has them, and where those stand in the order.
+COMMON_SAMPLE, COMMON = 4_096, 1 << 30
 
 
 def hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
@@ -117,24 +127,27 @@ def bands(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (a hash of the text), fp, same (a digest of the set of shingles), bands, grams (the set, as 32-bit hashes)."""
+    """doc_id, th (a hash of the text), fp, same (a digest of the set of shingles), bands, grams (the set, as 32-bit hashes),
+    more (a byte for each of them: the next 8 bits of its hash)."""
     from xxhash import xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fps, same, values, sets = [], [], [], []
+            fps, same, values, sets, more = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 parts = list(hashes(text, shingle))
                 grams = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 fps.append(_majority(parts))
                 same.append(xxh3_128_digest(grams.tobytes()))
                 values.append(bands(grams))
-                sets.append(np.unique((grams >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))], names=["doc_id", "th", "fp", "same", "bands", "grams"])
+                short, first = np.unique((grams >> np.uint64(32)).astype(np.uint32), return_index=True)
+                sets.append(short.view(np.int32))
+                more.append((grams[first] >> np.uint64(24)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())), pa.array(more, pa.binary())], names=["doc_id", "th", "fp", "same", "bands", "grams", "more"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = bounded(docs).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, same binary, bands array<long>, grams array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, th long, fp long, same binary, bands array<long>, grams array<int>, more binary")
 
 
 @dataclass
@@ -311,6 +324,91 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter((union == 0) | (common >= similarity * union - 1e-9)).select("a", "b")
 
 
+def common_grams(reps: DataFrame) -> np.ndarray:
+    """The shingles (32 bits, sorted) that a hundredth of a bounded sample of the sets has."""
+    share = min(1.0, COMMON_SAMPLE / max(1, reps.count()))
+    sample = reps.filter(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counted = sample.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter(F.col("count") >= COMMON_SAMPLE // 100)
+    return np.sort(np.array([r["gram"] for r in counted.select("gram").collect()], np.int32).view(np.uint32))
+
+
+def shared_grams(reps: DataFrame) -> DataFrame:
+    """uid, key (of a shingle that other sets have as well), df (how many sets have it; COMMON for the common ones, whether
+    others have them or not). Tasks send shingles and the ids of their sets in blocks to buckets by hash, where they are
+    counted. Common shingles are dealt by task, so that no bucket has much more than others."""
+    total = reps.agg(F.sum(F.size("grams").cast("long"))).first()[0] or 0
+    bits = min(BUCKET_BITS, max(0, int(total // BUCKET).bit_length()))
+    common = common_grams(reps)
+
+    def block(grams: list[np.ndarray], nexts: list[np.ndarray], uids: list[np.ndarray], salt: int) -> pa.RecordBatch:
+        gram, uid = np.concatenate(grams), np.concatenate(uids)
+        bucket = (((np.concatenate(nexts).astype(np.uint32) << np.uint32(8)) | (gram >> np.uint32(24))) >> np.uint32(16 - bits)).astype(np.int32)
+        if len(common):
+            is_common = common[np.minimum(np.searchsorted(common, gram), len(common) - 1)] == gram
+            bucket[is_common] = (1 << bits) + salt % (1 << bits)
+        order = np.argsort(bucket, kind="stable")
+        numbers, starts = np.unique(bucket[order], return_index=True)
+        gram, uid, ends = gram[order], uid[order], [*starts[1:], len(order)]
+        cut = list(zip(starts, ends, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([gram[i:j].tobytes() for i, j in cut], pa.binary()), pa.array([uid[i:j].tobytes() for i, j in cut], pa.binary())], names=["bucket", "grams", "uids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, nexts, uids, held = [], [], [], 0
+        for batch in pieces(batches):
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            grams.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32))
+            nexts.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8))
+            uids.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
+            held += len(uids[-1])
+            if held >= DEALT:
+                yield block(grams, nexts, uids, int(uids[-1][-1]))
+                grams, nexts, uids, held = [], [], [], 0
+        if held:
+            yield block(grams, nexts, uids, int(next(u for u in reversed(uids) if len(u))[-1]))
+
+    def count(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        gram = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("grams")])
+        uid = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("uids")])
+        if bucket >= 1 << bits:
+            return pa.table({"uid": uid, "key": gram.astype(np.int64), "df": np.full(len(uid), COMMON, np.int32)})
+        order = np.argsort(gram, kind="stable")
+        _, sizes = np.unique(gram[order], return_counts=True)
+        df = np.repeat(sizes, sizes)
+        many = df > 1
+        at = order[many]
+        return pa.table({"uid": uid[at], "key": gram[at].astype(np.int64) | (bucket << 32), "df": df[many].astype(np.int32)})
+
+    dealt = bounded(reps).select("uid", "grams", "more").mapInArrow(run, "bucket int, grams binary, uids binary")
+    return dealt.groupBy("bucket").applyInArrow(tidy(count), "uid long, key long, df int")
+
+
+def remaining(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) that a label (node, component) leaves apart and whose sets may have so high a Jaccard similarity:
+    none that have it is missing. One shingle more than the bounds ask for is allowed, as two may share their 32 bits."""
+    shared = materialize(shared_grams(reps), "simhash-shingles")
+    # the first of a set, the rarest first, of which two that are alike share one
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 2
+    sizes = reps.select("uid", F.size("grams").alias("size")).join(shared.groupBy("uid").agg(F.count("*").alias("n")), "uid")
+    open_ = sizes.filter(F.col("size") - F.col("n") < first)  # the others have enough that no other set has
+    open_ = open_.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    open_ = materialize(open_, "simhash-open-sets")
+    ranked = shared.join(fitted(open_, BROADCAST_BYTES), "uid")
+    place = F.col("size") - F.col("n") + F.row_number().over(Window.partitionBy("uid").orderBy("df", "key"))  # from 1
+    early = ranked.withColumn("place", place).filter(F.col("place") <= first)
+    keys = early.select("key", "uid", "component", "size", (F.col("size") - F.col("place") + 1).alias("left"))
+    keys = materialize(keys, "simhash-keys")
+    # of each shingle, those outside the component that has most of its sets are held against all
+    parts = keys.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    held = materialize(keys.join(mixed, "key"), "simhash-mixed")
+    some, all_ = (held.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("uid", "component", "size", "left", "most"))) for n in ("a", "b"))
+    least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    fits = (F.col("component_a") != F.col("component_b")) & (F.least("left_a", "left_b") + 1 >= least) & (F.least("size_a", "size_b") + 1e-6 >= similarity * F.greatest("size_a", "size_b") - 1)
+    met = some.filter("component_a <> most_a").join(all_.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits)
+    return met.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (a hash of the text), component_id (the smallest id reachable over texts so alike in their shingles, or the
     row's own if all lack one), kept (of each component the row with the smallest id and th). Written to a table."""
@@ -353,7 +451,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
                 sets = bands_of = materialize(only(reps, materialize(rest.select("uid").distinct(), "simhash-open")).select("uid", "bands", "grams"), "simhash-sets")
             key = F.xxhash64(F.slice(F.concat("bands", "bands"), F.col("band") + 1, F.lit(step + 1)))
             members, where = reread(rest.join(bands_of.select("uid", "bands"), "uid").select("uid", "size", "band", key.alias("value"), "company"), "simhash-members")
-        label = components(reduce(DataFrame.unionByName, found))
+        label = materialize(components(reduce(DataFrame.unionByName, found)), "simhash-joined")
+        more = materialize(alike(materialize(remaining(reps, label, similarity), "simhash-remaining"), reps, similarity), "simhash-more")
+        if not more.isEmpty():
+            label = components(label.toDF("a", "b").unionByName(more))
         label = materialize(texts.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid")), "simhash-label")
         low = label.groupBy("component").agg(F.min(F.struct("last", "doc_id", "th")).alias("low"))
         classes = label.join(low, "component").select("same", "low")

@@ -314,6 +314,43 @@ def test_near_copies_of_the_documents(spark):
     assert sum(r["kept"] for r in found.collect()) == len(set(got.values()))
 
 
+def form_letters(seed: int, families: int, members: int, shared: int) -> list[str]:
+    """Letters on one form: just above the similarity within a family, which shares so many words, and mostly below it across."""
+    rng = random.Random(seed)
+    letters = []
+    for f in range(families):
+        family = {i: f"f{f}x{i}" for i in rng.sample(range(0, 200, 9), shared)}
+        for m in range(members):
+            own = family | {i: f"m{f}x{m}x{i}" for i in rng.sample(range(4, 200, 9), 2)}
+            letters.append(" ".join(own.get(i, f"form{i}") for i in range(200)))
+    return letters
+
+
+@pytest.mark.parametrize("bucket, dealt", [(None, None), (64, 1024)])
+def test_near_copies_are_all_found(spark, monkeypatch, bucket, dealt):
+    """Every link of brute force, whatever the trees' forest, the bands and their leaders leave out; also in many buckets."""
+    if bucket:
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        monkeypatch.setattr(simhash, "DEALT", dealt)
+    texts = form_letters(1, 150, 2, 2) + [edited(7 * g + k, words(300 + g, 60), 0.025) for g in range(25) for k in range(4)]
+    rows = list(enumerate([*texts, "one two three", "One two  three", "", None, "a"]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain.near_copies(rows)
+
+
+def test_remaining_finds_all_pairs(spark):
+    """With nothing joined before, no pair at the similarity is missing, and few others are asked."""
+    rows = list(enumerate(form_letters(5, 30, 4, 5)))
+    sets = [plain.shingles(t) for _, t in rows]
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9}
+    reps = simhash.signatures(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("uid", F.col("doc_id"))
+    label = spark.createDataFrame([], "node long, component long")
+    got = {(r["a"], r["b"]) for r in simhash.remaining(reps, label, 0.8).collect()}
+    assert want and want <= got and len(got) <= 2 * len(want)
+    joined = spark.createDataFrame([(i, 0) for i in range(len(rows))], "node long, component long")
+    assert simhash.remaining(reps, joined, 0.8).count() == 0
+
+
 def test_bands_catch_what_is_alike():
     rng = np.random.default_rng(1)
     caught = 0
