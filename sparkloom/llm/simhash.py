@@ -38,14 +38,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import bounded, pieces, tidy, unused
+from sparkloom.llm.arrow import LARGE, bounded, give_back, pieces, unused
 from sparkloom.llm.components import components
 from sparkloom.storage import fitted, held_bytes, materialize, remove, reread, scratch
 
@@ -60,8 +60,9 @@ BANDS, BAND = 16, 5
 BROADCAST_BYTES = 32 << 20
 #: Fingerprints of a block that is compared in full.
 BLOCK = 256
-#: Shingles that a task deals to buckets at a time, and shingles meant for a bucket, 12 bytes each; buckets at most, as a power of 2.
-DEALT, BUCKET, BUCKET_BITS = 2 << 20, 1 << 19, 16
+#: Shingles that a task deals to buckets at a time, of which a worker holds about 80 bytes each; shingles meant for a bucket, 12
+#: bytes each; buckets at most, as a power of 2; rows of shingles in a batch that a worker hands to Spark.
+DEALT, BUCKET, BUCKET_BITS, HANDED = 1 << 18, 1 << 19, 16, 1 << 16
 #: Sets of the sample in which shingles count as common if a hundredth has them, and where those stand in the order.
 COMMON_SAMPLE, COMMON = 4_096, 1 << 30
 
@@ -361,26 +362,41 @@ def shared_grams(reps: DataFrame) -> DataFrame:
             uids.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))
             held += len(uids[-1])
             if held >= DEALT:
-                yield block(grams, nexts, uids, int(uids[-1][-1]))
+                out = block(grams, nexts, uids, int(uids[-1][-1]))
                 grams, nexts, uids, held = [], [], [], 0
+                yield out
         if held:
             yield block(grams, nexts, uids, int(next(u for u in reversed(uids) if len(u))[-1]))
 
-    def count(rows: pa.Table) -> pa.Table:
-        bucket = rows.column("bucket")[0].as_py()
+    def read(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         gram = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("grams")])
-        uid = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("uids")])
-        if bucket >= 1 << bits:
-            return pa.table({"uid": uid, "key": gram.astype(np.int64), "df": np.full(len(uid), COMMON, np.int32)})
+        return gram, np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("uids")])
+
+    def handed(uid: np.ndarray, gram: np.ndarray, df: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(uid), HANDED):
+            part = slice(at, at + HANDED)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[part]), pa.array(gram[part].astype(np.int64) | (bucket << 32)), pa.array(df[part].astype(np.int32))], names=["uid", "key", "df"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches)
+        bucket, rows = first.column("bucket")[0].as_py(), chain([first], batches)
+        if bucket >= 1 << bits:  # not counted, so none is held
+            for gram, uid in map(read, rows):
+                yield from handed(uid, gram, np.full(len(uid), COMMON), 0)
+            return
+        gram, uid = (np.concatenate(x) for x in zip(*map(read, rows), strict=True))
         order = np.argsort(gram, kind="stable")
-        _, sizes = np.unique(gram[order], return_counts=True)
+        gram = gram[order]
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        sizes = np.diff(np.append(starts, len(gram))).astype(np.int32)
         df = np.repeat(sizes, sizes)
         many = df > 1
-        at = order[many]
-        return pa.table({"uid": uid[at], "key": gram[at].astype(np.int64) | (bucket << 32), "df": df[many].astype(np.int32)})
+        yield from handed(uid[order[many]], gram[many], df[many], bucket)
+        if len(gram) * 12 >= LARGE:
+            give_back()
 
     dealt = bounded(reps).select("uid", "grams", "more").mapInArrow(run, "bucket int, grams binary, uids binary")
-    return dealt.groupBy("bucket").applyInArrow(tidy(count), "uid long, key long, df int")
+    return dealt.groupBy("bucket").applyInArrow(count, "uid long, key long, df int")
 
 
 def remaining(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:

@@ -6,8 +6,10 @@ from __future__ import annotations
 import io
 import random
 import string
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -338,6 +340,36 @@ def test_near_copies_are_all_found(spark, monkeypatch, bucket, dealt):
     assert got == plain.near_copies(rows)
 
 
+def test_dealing_shingles_holds_few(spark, monkeypatch):
+    """A task holds a bounded number of shingles, and hands them to Spark in small batches, however many it deals and counts."""
+    frame, group, made = type(spark.range(0)), type(spark.range(0).groupBy("id")), {}
+    for kind, name in ((frame, "mapInArrow"), (group, "applyInArrow")):
+        monkeypatch.setattr(kind, name, lambda self, f, *a, name=name, own=getattr(kind, name), **b: made.update({name: f}) or own(self, f, *a, **b))
+    simhash.shared_grams(spark.createDataFrame([(1, [1, 2], bytearray(b"ab"))], "uid long, grams array<int>, more binary"))
+    rng = np.random.default_rng(1)
+
+    def sets():
+        for uid in range(300):
+            grams = pa.array([rng.integers(-(1 << 31), 1 << 31, 10_000, np.int64).astype(np.int32)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([uid]), grams, pa.array([bytes(10_000)])], names=["uid", "grams", "more"])
+
+    tracemalloc.start()
+    dealt = [(x.nbytes, x.num_rows) for x in made["mapInArrow"](sets())]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(x for x, _ in dealt) >= 12 * 3_000_000
+    assert max(x for x, _ in dealt) < 8 << 20 and most < 48 << 20
+    # of a bucket whose shingles are all in two sets, and of one of common shingles
+    grams, uids = np.repeat(np.arange(200_000, dtype=np.uint32), 2), np.arange(400_000)
+    for bucket in (0, 1):
+        rows = pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([grams.tobytes()]), pa.array([uids.tobytes()])], names=["bucket", "grams", "uids"])
+        counted = list(made["applyInArrow"](iter([rows])))
+        assert max(x.nbytes for x in counted) < 2 << 20
+        counted = pa.Table.from_batches(counted)
+        assert counted.column("uid").to_pylist() == uids.tolist() and counted.column("key").to_pylist() == grams.tolist()
+        assert set(counted.column("df").to_pylist()) == {simhash.COMMON if bucket else 2}
+
+
 def test_remaining_finds_all_pairs(spark):
     """With nothing joined before, no pair at the similarity is missing, and few others are asked."""
     rows = list(enumerate(form_letters(5, 30, 4, 5)))
