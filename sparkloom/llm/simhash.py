@@ -21,11 +21,13 @@ band more, which few but those that are more alike than that share, until no key
 the texts and not with a group's square, and texts with equal sets are one text all the way.
 
 That joins most of what is alike, but not all: the trees give a forest whose links need not be alike themselves, bands can
-miss, and a text may be like none of its leaders. ``remaining`` finds the rest, whatever the first part has found, by prefixes:
+miss, and a text may be like none of its leaders. ``joined`` finds the rest, whatever the first part has found, by prefixes:
 with the shingles of every set in one order, the rarest first, two sets at the similarity share one among the first fifth
 of each (at 0.8), and where it stands bounds what they can share in all. Only pairs that lie in different components so far
 are compared. The order is by the exact number of sets that have a shingle, but for those in a hundredth of a bounded sample,
-which come last; any order gives the same result, and this one few pairs.
+which come last; any order gives the same result, and this one few pairs. Of a large group just below the similarity nearly
+all pairs share such shingles. They are compared inside tasks by sketches, whose bits bound the difference of two sets from
+below, and are no rows; a set asks the nearest first, and those of a component that it has been joined to need not be asked.
 
 Null and empty texts have fingerprint zero and no shingles, and are linked like any other. A row whose id is null gets its
 fingerprint and the component of the others (null if there is none). Very long texts are read whole, in parts. Ties go to
@@ -45,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.arrow import LARGE, bounded, give_back, pieces, unused
+from sparkloom.llm.arrow import LARGE, bounded, give_back, pieces, tidy, unused
 from sparkloom.llm.components import components
 from sparkloom.storage import fitted, held_bytes, materialize, remove, reread, scratch
 
@@ -65,6 +67,9 @@ BLOCK = 256
 DEALT, BUCKET, BUCKET_BITS, HANDED = 1 << 18, 1 << 19, 16, 1 << 16
 #: Sets of the sample in which shingles count as common if a hundredth has them, and where those stand in the order.
 COMMON_SAMPLE, COMMON = 4_096, 1 << 30
+#: Bits of a sketch for each shingle of its set, and at most; sets of a shingle that meet in a cell, on each side; early shingles
+#: meant for a task; pairs that are looked at in one go; what ranks count in, of all shingles of a pair.
+SKETCH, SKETCH_BITS, CELL, MEET, MET, RANKS = 4, 1 << 15, 2_048, 256, 1 << 17, 1_000_000
 
 
 def hashes(text: str | None, shingle: int = 3) -> Iterator[np.ndarray]:
@@ -399,9 +404,79 @@ def shared_grams(reps: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(count, "uid long, key long, df int")
 
 
-def remaining(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) that a label (node, component) leaves apart and whose sets may have so high a Jaccard similarity:
-    none that have it is missing. One shingle more than the bounds ask for is allowed, as two may share their 32 bits."""
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """For each residue of the shingles (32 bits each) whether an odd number of them has it, as 64-bit words. The sketches of
+    two sets differ in no more bits than the sets in shingles. Halves laid over each other are the sketch of half the bits."""
+    bits = min(SKETCH_BITS, max(64, 1 << (SKETCH * len(grams) - 1).bit_length()))
+    return np.packbits(np.bincount(grams & np.uint32(bits - 1), minlength=bits) % 2 == 1).view(np.uint64)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """uid, sketch of sets (uid, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            made = [sketch(x.values.to_numpy(zero_copy_only=False).view(np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["uid", "sketch"])
+
+    return bounded(sets).select("uid", "grams").mapInArrow(run, "uid long, sketch binary")
+
+
+def met(rows: pa.Table, similarity: float, each: int | None) -> pa.Table:
+    """The pairs (a, b) of the cells in the rows that may be so alike, as far as their components, sizes, places and sketches
+    tell, with their rank: the share of shingles in which they differ at least. Of each that asks and each cell the first so
+    many that come after those it has asked before."""
+    uid, component, size, left, after_rank, after = (rows.column(c).to_numpy() for c in ("uid", "component", "size", "left", "after_rank", "after"))
+    asks, there = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "there"))
+    words = rows.column("sketch").to_pylist()
+    width = np.array([len(w) // 8 for w in words])
+    bits, place = {}, np.zeros(len(width), np.int64)
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        bits[w], place[own] = np.frombuffer(b"".join(words[k] for k in own), np.uint64).reshape(-1, w), np.arange(len(own))
+
+    def taken(which: np.ndarray, w: int, upto: int) -> np.ndarray:
+        out = bits[w][place[which]]
+        while out.shape[1] > upto:
+            out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+        return out
+
+    cells = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
+    order = np.lexsort(cells)
+    edges = np.flatnonzero((np.diff(cells[:, order]) != 0).any(0)) + 1
+    found = [np.zeros((3, 0), np.int64)]
+    for cell in np.split(order, edges):
+        own, others = cell[asks[cell]], cell[there[cell]]
+        step = max(1, MET // max(1, len(others)))
+        for at in range(0, len(own), step):
+            a, b = own[at : at + step, None], others[None, :]
+            total = size[a] + size[b]
+            fits = (component[a] != component[b]) & (np.minimum(left[a], left[b]) + 1 >= similarity / (1 + similarity) * total - 1e-6)
+            fits &= np.minimum(size[a], size[b]) + 1e-6 >= similarity * np.maximum(size[a], size[b]) - 1
+            x, y = np.nonzero(fits)
+            x, y = own[at + x], others[y]
+            differ = np.zeros(len(x), np.int64)
+            for wx, wy in {*zip(width[x].tolist(), width[y].tolist(), strict=True)}:
+                some, w = np.flatnonzero((width[x] == wx) & (width[y] == wy)), min(wx, wy)
+                for part in np.split(some, range(MET * 8 // w, len(some), MET * 8 // w)):
+                    differ[part] = np.bitwise_count(taken(x[part], wx, w) ^ taken(y[part], wy, w)).sum(1, dtype=np.int64)
+            total = size[x] + size[y]
+            rank = differ * RANKS // total
+            good = (differ <= (1 - similarity) / (1 + similarity) * total + 1e-6) & ((rank > after_rank[x]) | ((rank == after_rank[x]) & (uid[y] > after[x])))
+            x, y, rank = uid[x[good]], uid[y[good]], rank[good]
+            first = np.lexsort((y, rank, x))
+            x, y, rank = x[first], y[first], rank[first]
+            starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            number = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+            near = slice(None) if each is None else number < each
+            found.append(np.stack([x[near], y[near], rank[near]]))
+    return pa.table(dict(zip(("a", "b", "rank"), np.concatenate(found, axis=1), strict=True)))
+
+
+def early(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """key, uid, size, left (shingles from there on), outside (the component that has most sets of the key) of the shingles by
+    which sets meet that a label (node, component) leaves apart and that may be so alike. One shingle more than the bounds
+    ask for is taken, as two may share their 32 bits."""
     shared = materialize(shared_grams(reps), "simhash-shingles")
     # the first of a set, the rarest first, of which two that are alike share one
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 2
@@ -411,18 +486,70 @@ def remaining(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame
     open_ = materialize(open_, "simhash-open-sets")
     ranked = shared.join(fitted(open_, BROADCAST_BYTES), "uid")
     place = F.col("size") - F.col("n") + F.row_number().over(Window.partitionBy("uid").orderBy("df", "key"))  # from 1
-    early = ranked.withColumn("place", place).filter(F.col("place") <= first)
-    keys = early.select("key", "uid", "component", "size", (F.col("size") - F.col("place") + 1).alias("left"))
+    keys = ranked.withColumn("place", place).filter(F.col("place") <= first)
+    keys = keys.select("key", "uid", "component", F.col("size").cast("long"), (F.col("size") - F.col("place") + 1).cast("long").alias("left"))
     keys = materialize(keys, "simhash-keys")
-    # of each shingle, those outside the component that has most of its sets are held against all
     parts = keys.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    held = materialize(keys.join(mixed, "key"), "simhash-mixed")
-    some, all_ = (held.select("key", *(F.col(c).alias(f"{c}_{n}") for c in ("uid", "component", "size", "left", "most"))) for n in ("a", "b"))
-    least = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) - 1e-6
-    fits = (F.col("component_a") != F.col("component_b")) & (F.least("left_a", "left_b") + 1 >= least) & (F.least("size_a", "size_b") + 1e-6 >= similarity * F.greatest("size_a", "size_b") - 1)
-    met = some.filter("component_a <> most_a").join(all_.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & fits)
-    return met.select(F.least("uid_a", "uid_b").alias("a"), F.greatest("uid_a", "uid_b").alias("b")).distinct()
+    mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    return materialize(keys.join(mixed, "key").select("key", "uid", "size", "left", (F.col("component") != F.col("most")).alias("outside")), "simhash-mixed")
+
+
+def apart(keys: DataFrame, drawn: DataFrame, label: DataFrame, similarity: float, each: int | None = None, asking: DataFrame | None = None) -> DataFrame:
+    """a, b, rank: pairs of early shingles' sets in different components that may be so alike, repeated if they share several.
+    Of each shingle, the sets outside ask all, or those of them that are asking (uid, after_rank, after), for the first so many
+    of each. Who is outside stays as it was, whatever the label joins later, so that what one has asked is asked. Sets that
+    share a shingle are compared in cells of a grid by their sketches (drawn), so that only pairs that pass become rows."""
+    if asking is None:
+        asking = keys.filter("outside").select("uid").distinct().select("uid", *(F.lit(-1).cast("long").alias(c) for c in ("after_rank", "after")))
+    named = keys.join(fitted(label.withColumnRenamed("node", "uid"), BROADCAST_BYTES), "uid", "left").join(fitted(asking, BROADCAST_BYTES), "uid", "left")
+    named = named.withColumn("component", F.coalesce("component", "uid")).withColumn("ask", F.col("outside") & F.col("after").isNotNull()).fillna(-1, ["after_rank", "after"])
+    mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.count_if("ask").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = named.join(mixed.filter("m > 0 and low <> high").drop("low", "high"), "key").join(fitted(drawn, BROADCAST_BYTES), "uid")
+    down, across = F.ceil(F.col("m") / CELL), F.ceil(F.col("n") / CELL)
+    rows = rows.withColumn("down", down).withColumn("across", across).withColumn("own_i", F.pmod(F.xxhash64("uid", F.lit(1)), "down")).withColumn("own_j", F.pmod(F.xxhash64("uid"), "across"))
+    met_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("down") - 1), lambda i: F.struct(i.alias("i"), F.col("own_j").alias("j"), (F.col("ask") & (i == F.col("own_i"))).alias("asks"), F.lit(True).alias("there")))
+    asks_in = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda j: F.col("ask") & (j != F.col("own_j"))), lambda j: F.struct(F.col("own_i").alias("i"), j.alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("there")))
+    rows = rows.withColumn("cell", F.explode(F.concat(met_in, asks_in))).select("key", "cell.*", "uid", "component", "size", "left", "after_rank", "after", "sketch")
+    tasks = 1 + keys.count() // MEET
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInArrow(tidy(lambda group: met(group, similarity, each)), "a long, b long, rank long")
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def remaining(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) that a label (node, component) leaves apart and whose sets may have so high a Jaccard similarity:
+    none that have it is missing."""
+    keys = early(reps, label, similarity)
+    return pairs_of(apart(keys, sketches(only(reps, keys.select("uid").distinct())), label, similarity))
+
+
+def joined(reps: DataFrame, label: DataFrame, similarity: float) -> DataFrame:
+    """The label (node, component) with the components joined that it leaves apart although two of their sets have so high a
+    Jaccard similarity. Round by round each set asks the one of another component that differs least from it, four times as
+    many in each round, until it has asked all that its components leave it: so pairs that need not be asked, as others have
+    joined them by then, are none."""
+    keys = early(reps, label, similarity)
+    sets = materialize(only(reps, materialize(keys.select("uid").distinct(), "simhash-open")).select("uid", "grams"), "simhash-sets")
+    drawn = materialize(sketches(sets), "simhash-sketches")
+    each, asking = 1, None
+    while True:
+        found = apart(keys, drawn, label, similarity, each, asking).distinct()
+        number = F.row_number().over(Window.partitionBy("a").orderBy("rank", "b"))
+        found = materialize(found.withColumn("number", number).filter(F.col("number") <= each), "simhash-remaining")
+        if found.isEmpty():
+            return label
+        more = materialize(alike(pairs_of(found), sets, similarity), "simhash-more")
+        if not more.isEmpty():
+            label = materialize(components(label.toDF("a", "b").unionByName(more)), "simhash-joined")
+        last = F.max(F.struct("rank", "b")).alias("last")
+        asking = found.groupBy("a").agg(F.count("*").alias("n"), last).filter(F.col("n") == each).select(F.col("a").alias("uid"), F.col("last.rank").alias("after_rank"), F.col("last.b").alias("after"))
+        asking = materialize(asking, "simhash-asking")
+        if asking.isEmpty():
+            return label
+        each *= 4
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,9 +595,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits
             key = F.xxhash64(F.slice(F.concat("bands", "bands"), F.col("band") + 1, F.lit(step + 1)))
             members, where = reread(rest.join(bands_of.select("uid", "bands"), "uid").select("uid", "size", "band", key.alias("value"), "company"), "simhash-members")
         label = materialize(components(reduce(DataFrame.unionByName, found)), "simhash-joined")
-        more = materialize(alike(materialize(remaining(reps, label, similarity), "simhash-remaining"), reps, similarity), "simhash-more")
-        if not more.isEmpty():
-            label = components(label.toDF("a", "b").unionByName(more))
+        label = joined(reps, label, similarity)
         label = materialize(texts.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid")), "simhash-label")
         low = label.groupBy("component").agg(F.min(F.struct("last", "doc_id", "th")).alias("low"))
         classes = label.join(low, "component").select("same", "low")

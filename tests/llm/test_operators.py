@@ -383,6 +383,41 @@ def test_remaining_finds_all_pairs(spark):
     assert simhash.remaining(reps, joined, 0.8).count() == 0
 
 
+def test_sketches_bound_the_difference():
+    """Two sketches never differ in more bits than the sets in shingles, of whatever sizes, and hardly in fewer where it counts."""
+    rng = np.random.default_rng(4)
+    for n, m in ((0, 1), (1, 1), (5, 60), (140, 150), (146, 180), (1_000, 1_100), (20_000, 21_000)):
+        pool = rng.integers(0, 1 << 32, n + m, np.uint64).astype(np.uint32)
+        for lost in (0, 1, n // 9):
+            a, b = np.unique(pool[:n]), np.unique(pool[lost : m + lost])
+            x, y = simhash.sketch(a), simhash.sketch(b)
+            w = min(len(x), len(y))
+            x, y = (z.reshape(len(z) // w, w) for z in (x, y))
+            bits = int(np.bitwise_count(np.bitwise_xor.reduce(x) ^ np.bitwise_xor.reduce(y)).sum())
+            differ = len(np.setxor1d(a, b))
+            assert bits <= differ and (n < 100 or n >= 20_000 or bits >= 0.8 * differ)
+
+
+@pytest.mark.parametrize("cell", [None, 16])
+def test_near_copies_just_below_ask_few(spark, monkeypatch, cell):
+    """Texts on one form, nearly all pairs of which share many rare shingles and are not alike: pairs that are rows stay in
+    proportion to the texts, not to their square, and no link is missing; also where the texts meet in many cells."""
+    if cell:
+        monkeypatch.setattr(simhash, "CELL", cell)
+        monkeypatch.setattr(simhash, "MET", 64)
+    rng, rows = random.Random(3), []
+    for k in range(240):
+        at = rng.sample(range(0, 200, 5), 3 + k % 3)
+        rows.append((k, " ".join(f"own{k}x{i}" if i in at else f"form{i}" for i in range(200))))
+    asked, alike = [], simhash.alike
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a: asked.append(pairs.count()) or alike(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain.near_copies(rows)
+    assert got == want and 100 < len(set(want.values())) < 230
+    print("asked", asked)
+    assert sum(asked[1:]) < 10 * len(rows)
+
+
 def test_bands_catch_what_is_alike():
     rng = np.random.default_rng(1)
     caught = 0
